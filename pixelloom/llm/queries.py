@@ -32,6 +32,12 @@ def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op3_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprints
 
