@@ -56,6 +56,18 @@ def op9_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_recurrent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simjoin import classes
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
