@@ -38,6 +38,12 @@ def op3_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op5_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprints
 
