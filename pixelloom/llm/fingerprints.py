@@ -99,25 +99,15 @@ def with_successor(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = part_bounds(rows, width(spark))
-    part = part_column(bounds)
-    # the least doc_id of each part; a part with null ids alone is marked by a null
-    firsts = sorted(rows.select(part.alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("least")).collect())
-    order = {r.part: i for i, r in enumerate(firsts)}
-    n = max(1, len(firsts))
-    # parts without rows vanish: place = rank of the part among those that have rows
-    place = F.lit(0)
-    for r in firsts[1:]:
-        place = place + (part >= r.part).cast("int")
-    here = rows.withColumn("part", place).withColumn("ahead", F.lit(False))
-    copies = []
-    for r in firsts:
-        same = F.col("doc_id").isNull() if r.least is None else F.col("doc_id") == r.least
-        copies.append(F.when(same & (F.col("part") == order[r.part]), F.lit((order[r.part] - 1) % n)))
-    if not copies:
-        return here
-    ahead = here.withColumn("to", F.coalesce(*copies)).where("`to` is not null")
-    # several rows with the least doc_id all go along; the reader takes the first by text
-    ahead = ahead.select("doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("ahead"))
+    firsts = sorted(rows.select(part_column(bounds).alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("least")).collect())
+    # parts without rows vanish: a bound stays where the part above it has rows, but for the first part
+    bounds = [bounds[r.part - 1] for r in firsts[1:]]
+    n = len(bounds) + 1
+    here = rows.withColumn("part", part_column(bounds))
+    least = part_column(bounds, [r.least for r in firsts] or [None])
+    # the first row of a part also follows the part before; of several rows with its doc_id the reader takes the first by text
+    ahead = here.where(F.col("doc_id").eqNullSafe(least)).select("doc_id", "text", F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(True).alias("ahead"))
+    here = here.withColumn("ahead", F.lit(False)).select("doc_id", "text", "part", "ahead")
     both = here.unionByName(ahead).repartitionById(n, F.col("part"))
     return both.sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_last(), "text")
 

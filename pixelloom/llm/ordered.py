@@ -22,12 +22,14 @@ def part_bounds(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(row.q or []))
 
 
-def part_column(bounds: list[int]) -> Column:
-    """The part of a doc_id: how many bounds are at or below it, as a balanced tree of comparisons."""
+def part_column(bounds: list[int], values: list | None = None) -> Column:
+    """The part of a doc_id: how many bounds are at or below it, as a balanced tree of comparisons. With ``values``, the
+    part's value instead."""
+    out = values if values is not None else list(range(len(bounds) + 1))
 
     def tree(low: int, high: int) -> Column:
         if low == high:
-            return F.lit(low)
+            return F.lit(out[low]).cast("bigint" if values is not None else "int")
         mid = (low + high) // 2
         return F.when(F.col("doc_id") < F.lit(int(bounds[mid])), tree(low, mid)).otherwise(tree(mid + 1, high))
 
