@@ -56,6 +56,12 @@ def op8_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import spans
+
+    return spans(table(spark, sf_dir, "documents"))
+
+
 def op9_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import judged
 
