@@ -170,10 +170,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     each run of chosen blocks, as lines; other columns as they were, n_chars counted anew."""
     cols = docs.columns
     planned = taken(plan(docs))
-    # the text comes back by (doc_id, key); equal rows are equal texts, so one text each is enough
-    texts = docs.select("doc_id", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("_key"), "text").dropDuplicates(["doc_id", "_key"])
-    kept = planned.where("taken > 0").withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "_k")
-    joined = kept.join(texts, kept["_id"].eqNullSafe(texts["doc_id"]) & (kept["_k"] == texts["_key"]))
+    # the text comes back by the key of (doc_id, text); equal rows are equal texts, so one text a key is enough
+    texts = docs.select(F.xxhash64(F.lit(SEED), "doc_id", "text").alias("_key"), "text").dropDuplicates(["_key"])
+    joined = planned.where("taken > 0").join(texts, "_key")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     start = lambda j: F.greatest(j * F.col("block") - F.col("at"), F.lit(0))
     stop = lambda j: F.least((j + 1) * F.col("block") - F.col("at"), F.col("size"))

@@ -87,8 +87,8 @@ def base_spans(text: Column) -> Column:
     for rank, kind in enumerate(KINDS):
         need = NEEDS[kind]
         maybe = F.contains(text, F.lit(need)) if need else text.rlike(r"[0-9][\x20-]?[0-9]")
-        good = F.filter(placed(text, PATTERNS[kind]), lambda m, kind=kind: valid(kind, m["value"]))
-        spans = F.transform(good, lambda m, rank=rank, kind=kind: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value")))
+        good = F.filter(placed(text, PATTERNS[kind]), lambda m: valid(kind, m["value"]))
+        spans = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value")))
         parts.append(F.when(maybe, spans).otherwise(F.array().cast(SPAN)))
     return F.array_sort(F.concat(*parts))
 
@@ -159,7 +159,7 @@ def all_spans() -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base kinds, base_sha256 and spans of every row."""
     rows = analysed(docs, ["doc_id"])
-    counts = [F.size(F.filter("_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(joined(F.col("_spans")).cast("binary"), 256).alias("base_sha256"), joined(all_spans()).alias("spans"))
 
 

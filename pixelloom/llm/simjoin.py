@@ -364,3 +364,14 @@ def classes(docs: DataFrame) -> DataFrame:
     # one row a set: sets are joined by id, empty ones not at all; a set of thousands of copies is split by AQE
     out = held.join(names, held["set_id"] == names["_set"], "left").drop("_set")
     return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """docs, the same columns, with one row of each component: the one that names it. Rows without words stay.
+
+    Of rows that repeat doc_id and text one stays; a component of rows without doc_id keeps one row of each text.
+    """
+    found = classes(docs)
+    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])

@@ -266,23 +266,23 @@ def feature_rows(docs: DataFrame, entries: list) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, features array<double>")
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and score, for every row."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of docs and the score as column ``name``, for every row."""
     schema = docs.schema
     names = docs.columns
-    if "score" in names:
-        raise ValueError("docs already has a column score")
+    if name in names:
+        raise ValueError(f"docs already has a column {name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.entries)
         at = names.index("text")
         for batch in batches:
             rows = np.array([features(t, lexicon) for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(rows))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(rows))], [*names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id) -> Column:
@@ -294,6 +294,14 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(docs.select("doc_id", "text"), labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, the same columns, without the rows that are judged toxic."""
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, learned(docs, labels), name).where(F.col(name) < THRESHOLD).drop(name)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     rows = scored(docs.select("doc_id", "text"), learned(docs, labels))
