@@ -1,4 +1,28 @@
 """Name -> query and name -> DuckDB SQL, filled by the modules of this package."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with its oracle."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def r6(c: Column, n: int = 6) -> Column:
+    """Rounded for comparison between engines; a negative zero becomes zero."""
+    return F.round(c, n) + F.lit(0.0)
