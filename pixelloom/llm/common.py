@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,12 @@ def drop_saved(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files of finished steps: Spark removes them when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     """How many partitions a shuffle should have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

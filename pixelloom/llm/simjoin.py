@@ -19,7 +19,8 @@ pairs with Jaccard similarity of at least 0.8:
   partners, so nothing is lost. Only pairs of two sets that are mostly common text remain; in each group of
   such sets, those outside the group's largest component are queries against the whole group, in blocks.
 
-Every candidate is verified on the full shingle sets.
+Every candidate first meets the Hamming bound on whole parity sketches of at least as many bits as elements, a 64th of
+the sets' size; what is left is verified on the full shingle sets.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing (each its own component, repeated
 rows of one doc_id together); fewer than five words are one shingle; repeated rows are equal sets; rows with a null
@@ -37,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import release, saved
 from .components import components
 
 WORDS = 5
 LINK, OF = 80, 100
-RATIO = 1.5
+RATIO = 2.0
 BUCKETS = 0.36
 SPARE = 1.2
 FEW = 32
@@ -194,11 +195,30 @@ def key_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, KEYS)
 
 
-FULL = "set_id long, n long, shingles binary"
+def sketch(s: np.ndarray) -> bytes:
+    """One bit for each element's hash, XORed: as many bits as elements at least, a power of two."""
+    words = max(4, 1 << max(0, (len(s) - 1).bit_length() - 6))
+    out = np.zeros(words, np.uint64)
+    h = mix(s + np.uint64(99))
+    np.bitwise_xor.at(out, ((h >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out.tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference: the longer sketch is folded to the shorter one's length first."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+FULL = "set_id long, n long, sketch binary, shingles binary"
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, firsts: DataFrame) -> DataFrame:
-    """set_id, n, shingles of the wanted set_ids, from the text of each set's first document."""
+    """set_id, n, sketch, shingles of the wanted set_ids, from the text of each set's first document."""
     # ids alone: a few megabytes may be broadcast, more are joined by shuffling
     ids = firsts.join(wanted, "set_id", "left_semi").where("doc_id is not null").select("doc_id", "set_id")
     side = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
@@ -208,32 +228,45 @@ def full_sets(docs: DataFrame, wanted: DataFrame, firsts: DataFrame) -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, ns, raw = [], [], []
+                ids, ns, bits, raw = [], [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingles(text)
                     if set_id(s) == i:  # repeated doc_ids may have other texts
                         ids.append(i)
                         ns.append(len(s))
+                        bits.append(sketch(s))
                         raw.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(raw, pa.binary())], ["set_id", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(bits, pa.binary()), pa.array(raw, pa.binary())], ["set_id", "n", "sketch", "shingles"])
 
-    return texts.mapInArrow(run, FULL).dropDuplicates(["set_id"])
+    # repeated rows may give a set twice, which gives links twice
+    return texts.mapInArrow(run, FULL)
 
 
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs (a, b) of set_ids that are linked."""
-    size = full.select("set_id", "n")
-    left, right = size.select(F.col("set_id").alias("a"), F.col("n").alias("na")), size.select(F.col("set_id").alias("b"), F.col("n").alias("nb"))
-    fit = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * OF >= F.greatest("na", "nb") * LINK).select("a", "b")
-    x = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa"))
-    y = full.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb"))
+    size = full.select("set_id", "n", "sketch")
+    left = size.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    right = size.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    fit = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * OF >= F.greatest("na", "nb") * LINK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in range(2, 6))
+            good = [9 * apart(p, q) <= m + n for m, n, p, q in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    near = saved(fit.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(bounded, "a long, b long").distinct(), "near-pairs")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return fit.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    needed = saved(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "near-sets")
+    side = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    keep = full.join(side, "set_id", "left_semi").select("set_id", "shingles")
+    x, y = (keep.select(F.col("set_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    return near.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, column: str = "set_id") -> DataFrame:
@@ -247,6 +280,7 @@ def set_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     by_key = Window.partitionBy("key")
     dup = saved(key_rows(docs).distinct().withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1"), "shared-keys")
+    release(spark)
     if dup.isEmpty():
         return spark.createDataFrame([], "a long, b long")
     full = saved(full_sets(docs, dup.select("set_id").distinct(), firsts), "full-sets")
