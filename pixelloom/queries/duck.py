@@ -55,16 +55,7 @@ def linear(src: str, keys: str = "image_id,idx,r,g,b") -> str:
 
 def lab(src: str, keys: str = "image_id,idx,r,g,b") -> str:
     """lab_l, lab_a, lab_b beside the keys."""
-    rgb = ("lr", "lg", "lb")
-    xyz = ", ".join(f"{dot(row, rgb)}/{num(w)} AS {n}" for row, w, n in zip(colour.TO_XYZ, colour.WHITE, "XYZ", strict=True))
-    f = ", ".join(f"CASE WHEN {n}>{num(216 / 24389)} THEN cbrt({n}) ELSE ({n}*{num(24389 / 27)}+16)/116 END AS f{n}" for n in "XYZ")
-    return f"SELECT {keys}, fY*116-16 AS lab_l, (fX-fY)*500 AS lab_a, (fY-fZ)*200 AS lab_b FROM (SELECT {keys}, {f} FROM (SELECT {keys}, {xyz} FROM ({linear(src, keys)})))"
-
-
-def lab_back(src: str, keys: str) -> str:
-    """R, G, B in 0..1 from lab_l, lab_a, lab_b."""
-    fs = f"SELECT {keys}, (lab_l+16)/116+lab_a/500 AS fx, (lab_l+16)/116 AS fy, (lab_l+16)/116-lab_b/200 AS fz FROM ({src})"
-    back = ", ".join(f"(CASE WHEN f{n}>{num(6 / 29)} THEN f{n}*f{n}*f{n} ELSE (f{n}*116-16)*{num(27 / 24389)} END)*{num(w)} AS {n}" for n, w in zip("xyz", colour.WHITE, strict=True))
-    rgb = ", ".join(f"{dot(row, ('x', 'y', 'z'))} AS l{n}" for row, n in zip(colour.FROM_XYZ, "rgb", strict=True))
-    inner = f"SELECT {keys}, {rgb} FROM (SELECT {keys}, {back} FROM ({fs}))"
-    return f"SELECT {keys}, " + ", ".join(f"{clamp(gam('l' + n))} AS {n.upper()}" for n in "rgb") + f" FROM ({inner})"
+    rgb, names = ("lr", "lg", "lb"), ("tx", "ty", "tz")
+    xyz = ", ".join(f"{dot(row, rgb)}/{num(w)} AS {n}" for row, w, n in zip(colour.TO_XYZ, colour.WHITE, names, strict=True))
+    f = ", ".join(f"CASE WHEN {n}>{num(216 / 24389)} THEN cbrt({n}) ELSE ({n}*{num(24389 / 27)}+16)/116 END AS f{n}" for n in names)
+    return f"SELECT {keys}, fty*116-16 AS lab_l, (ftx-fty)*500 AS lab_a, (fty-ftz)*200 AS lab_b FROM (SELECT {keys}, {f} FROM (SELECT {keys}, {xyz} FROM ({linear(src, keys)})))"
