@@ -37,8 +37,6 @@ BITS = 6.0
 GENERALISE, REMOVE = 0.5, 0.8
 TERM = r"(?<=\P{L})\p{L}{4,}(?=\P{L})"
 WORD = r"\p{L}{4,}"
-#: Terms that may be broadcast to the word count: some megabytes. More are joined by shuffling counts.
-BROADCAST_TERMS = 100_000
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
@@ -126,11 +124,8 @@ def disclosing(near: DataFrame, texts: DataFrame) -> DataFrame:
     terms = saved(terms.select("_row", "entity", "place", F.lower("t.value").alias("term"), begin.alias("start"), (begin + F.length("t.value")).alias("end")), "pii-terms")
     seen = terms.groupBy("term", "entity").agg(F.countDistinct("place").alias("places"), F.countDistinct("_row").alias("both")).where(F.col("places") >= SUPPORT)
     seen = saved(seen, "pii-pairs")
-    wanted = seen.select("term").distinct()
-    few = wanted.count()
+    # all words are counted before any join: partial counts are what is shuffled, whatever terms are in question
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1)))).alias("term"))
-    if few <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
     frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     entity = mentions.groupBy("m.entity").agg(F.countDistinct("_row").alias("n"))
     total = F.lit(float(max(1, texts.count())))
