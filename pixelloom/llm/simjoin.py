@@ -279,7 +279,8 @@ def set_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """Links (a, b) between set_ids, enough that components are those of all links."""
     spark = docs.sparkSession
     by_key = Window.partitionBy("key")
-    dup = saved(key_rows(docs).distinct().withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1"), "shared-keys")
+    # dealt out by key once: rows are made distinct and counted where they arrive
+    dup = saved(key_rows(docs).repartition("key").distinct().withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1"), "shared-keys")
     release(spark)
     if dup.isEmpty():
         return spark.createDataFrame([], "a long, b long")
