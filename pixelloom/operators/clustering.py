@@ -161,15 +161,19 @@ def octree(rgb: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
     leaves: dict[tuple, list[int]] = {}
     for i, t in enumerate(path):
         leaves.setdefault(t, []).append(i)
-    while len(leaves) > k:
-        deepest = max(map(len, leaves))
-        parents: dict[tuple, float] = {}
-        for t, own in leaves.items():
-            if len(t) == deepest:
-                parents[t[:-1]] = parents.get(t[:-1], 0) + w[own].sum()
-        t = min(parents, key=lambda x: (parents[x], x))
-        merged = [i for child in [c for c in leaves if c[:-1] == t and len(c) == deepest] for i in leaves.pop(child)]
-        leaves.setdefault(t, []).extend(merged)
+    for depth in range(8, 0, -1):
+        parents: dict[tuple, list[tuple]] = {}
+        for t in leaves:
+            if len(t) == depth:
+                parents.setdefault(t[:-1], []).append(t)
+        size = {t: sum(w[leaves[c]].sum() for c in own) for t, own in parents.items()}
+        for t in sorted(parents, key=lambda x: (size[x], x)):
+            if len(leaves) <= k:
+                break
+            merged = [i for c in parents[t] for i in leaves.pop(c)]
+            leaves.setdefault(t, []).extend(merged)
+        if len(leaves) <= k:
+            break
     label = np.zeros(len(rgb), int)
     for j, t in enumerate(sorted(leaves)):
         label[leaves[t]] = j

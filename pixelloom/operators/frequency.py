@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stencil import COL, ROW, clamped
+from .stencil import clamped, col, row
 
 
 def dct_row(u: int, n: int = 8) -> list[float]:
@@ -35,16 +35,16 @@ def tile_complexity(tiles: DataFrame, t: int = 4) -> DataFrame:
 
 def complexity_map(df: DataFrame, column: str, t: int = 4) -> DataFrame:
     """Adds complexity: of the 8x8 block at x-4..x+3, y-4..y+3, edges clamped; separable windows."""
-    rows = {"_sq": sum((clamped(F.col(column), i - 4, ROW) ** 2 for i in range(1, 8)), clamped(F.col(column), -4, ROW) ** 2)}
+    rows = {"_sq": sum((clamped(F.col(column), i - 4, row()) ** 2 for i in range(1, 8)), clamped(F.col(column), -4, row()) ** 2)}
     for u in range(t):
         k = dct_row(u)
-        rows[f"_r{u}"] = sum((clamped(F.col(column), i - 4, ROW) * k[i] for i in range(1, 8)), clamped(F.col(column), -4, ROW) * k[0])
+        rows[f"_r{u}"] = sum((clamped(F.col(column), i - 4, row()) * k[i] for i in range(1, 8)), clamped(F.col(column), -4, row()) * k[0])
     df = df.withColumns(rows)
-    cols = {"_e": sum((clamped(F.col("_sq"), i - 4, COL) for i in range(1, 8)), clamped(F.col("_sq"), -4, COL))}
+    cols = {"_e": sum((clamped(F.col("_sq"), i - 4, col()) for i in range(1, 8)), clamped(F.col("_sq"), -4, col()))}
     for u in range(t):
         for v in range(t - u):
             k = dct_row(v)
-            cols[f"_f{u}{v}"] = sum((clamped(F.col(f"_r{u}"), i - 4, COL) * k[i] for i in range(1, 8)), clamped(F.col(f"_r{u}"), -4, COL) * k[0])
+            cols[f"_f{u}{v}"] = sum((clamped(F.col(f"_r{u}"), i - 4, col()) * k[i] for i in range(1, 8)), clamped(F.col(f"_r{u}"), -4, col()) * k[0])
     df = df.withColumns(cols)
     low = [F.col(c) for c in cols if c not in ("_e", "_f00")]
     return df.withColumn("complexity", dct_ratio(F.col("_e"), low, F.col("_f00"))).drop(*rows, *cols)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import colour as C
 
-from .stencil import COL, ROW, edge_strength
+from .stencil import col, edge_strength, row
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def link(other: dict[str, Column], p: SegmentParams = SegmentParams()) -> Column
 
 def with_links(pixels: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     """Adds right and down: links with the next pixel of the row and column (null at the edge)."""
-    return pixels.withColumns({n: link({k: F.lead(k, 1).over(w) for k in ("r", "g", "b", "edge")}, p) for n, w in (("right", ROW), ("down", COL))})
+    return pixels.withColumns({n: link({k: F.lead(k, 1).over(w) for k in ("r", "g", "b", "edge")}, p) for n, w in (("right", row()), ("down", col()))})
 
 
 def with_edges(pixels: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
@@ -139,7 +139,7 @@ def merge(label: np.ndarray, rgb: np.ndarray, edge: np.ndarray, w: int, h: int,
 
 def segment(pixels: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     """pixels (image_id, x, y, r, g, b) with edge and region."""
-    linked = with_links(with_edges(pixels, p), p).select("image_id", "x", "y", "r", "g", "b", "edge", "right", "down")
+    linked = with_links(with_edges(pixels, p), p).select("image_id", "x", "y", "r", "g", "b", "edge", F.coalesce("right", F.lit(False)).alias("right"), F.coalesce("down", F.lit(False)).alias("down"))
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["y", "x"])
@@ -147,9 +147,9 @@ def segment(pixels: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
         if len(t) != w * h:
             raise ValueError("the image has gaps")
         u = Union(w * h)
-        for i in np.flatnonzero(t.right.fillna(False).to_numpy(bool)):
+        for i in np.flatnonzero(t.right.to_numpy(bool)):
             u.join(int(i), int(i) + 1)
-        for i in np.flatnonzero(t.down.fillna(False).to_numpy(bool)):
+        for i in np.flatnonzero(t.down.to_numpy(bool)):
             u.join(int(i), int(i) + w)
         label = _relabel([u.find(i) for i in range(w * h)])
         label = merge(label, t[["r", "g", "b"]].to_numpy(float), t.edge.to_numpy(float), w, h, p)
@@ -170,7 +170,7 @@ def region_stats(labelled: DataFrame) -> DataFrame:
 def adjacency(labelled: DataFrame) -> DataFrame:
     """image_id, a, b, length, edge and colour difference (sums) of touching regions."""
     parts = []
-    for w in (ROW, COL):
+    for w in (row(), col()):
         n = {k: F.lead(k, 1).over(w) for k in ("r", "g", "b", "edge", "region")}
         parts.append(labelled.select("image_id", "r", "g", "b", "edge", "region", *[v.alias(f"n_{k}") for k, v in n.items()]).where("n_region is not null and n_region <> region"))
     s = parts[0].unionByName(parts[1])
@@ -191,7 +191,7 @@ def reached(pixels: DataFrame, seed: Column, step: Column) -> DataFrame:
     """
     cols = [c for c in pixels.columns if c not in ("image_id", "x", "y")]
     flags = {}
-    for name, w, f in (("right", ROW, F.lead), ("left", ROW, F.lag), ("down", COL, F.lead), ("up", COL, F.lag)):
+    for name, w, f in (("right", row(), F.lead), ("left", row(), F.lag), ("down", col(), F.lead), ("up", col(), F.lag)):
         flags |= {f"_{name}_{c}": f(c, 1).over(w) for c in cols}
     wide = pixels.withColumns(flags)
 

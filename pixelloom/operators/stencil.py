@@ -8,11 +8,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
-COL = Window.partitionBy("image_id", "x").orderBy("y")
+
+def row() -> WindowSpec:
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def col() -> WindowSpec:
+    return Window.partitionBy("image_id", "x").orderBy("y")
+
 
 
 def clamped(v: Column, k: int, w) -> Column:
@@ -25,7 +31,7 @@ def clamped(v: Column, k: int, w) -> Column:
 
 def _both(df: DataFrame, columns: list[str], one) -> DataFrame:
     """A one-dimensional filter along rows, then along columns."""
-    for w in (ROW, COL):
+    for w in (row(), col()):
         df = df.withColumns({c: one(F.col(c), w) for c in columns})
     return df
 
@@ -85,13 +91,13 @@ def sobel_parts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds <c>_gx and <c>_gy; null on the image's border."""
     step = {}
     for c in columns:
-        before, after = F.lag(c, 1).over(ROW), F.lead(c, 1).over(ROW)
+        before, after = F.lag(c, 1).over(row()), F.lead(c, 1).over(row())
         step |= {f"_{c}_d": after - before, f"_{c}_s": before + F.col(c) * 2 + after}
     df = df.withColumns(step)
     out = {}
     for c in columns:
         d, s = f"_{c}_d", f"_{c}_s"
-        out |= {f"{c}_gx": F.lag(d, 1).over(COL) + F.col(d) * 2 + F.lead(d, 1).over(COL), f"{c}_gy": F.lead(s, 1).over(COL) - F.lag(s, 1).over(COL)}
+        out |= {f"{c}_gx": F.lag(d, 1).over(col()) + F.col(d) * 2 + F.lead(d, 1).over(col()), f"{c}_gy": F.lead(s, 1).over(col()) - F.lag(s, 1).over(col())}
     return df.withColumns(out).drop(*step)
 
 
@@ -118,4 +124,4 @@ def edge_strength(df: DataFrame, threshold: float = 0.05, gamma: float = 1.0) ->
 
 def boundary(label: str) -> Column:
     """Whether a neighbour has another label; the image's edge isn't a boundary."""
-    return F.greatest(*[(~F.coalesce(n, F.col(label)).eqNullSafe(F.col(label))).cast("int") for w in (ROW, COL) for n in (F.lag(label, 1).over(w), F.lead(label, 1).over(w))])
+    return F.greatest(*[(~F.coalesce(n, F.col(label)).eqNullSafe(F.col(label))).cast("int") for w in (row(), col()) for n in (F.lag(label, 1).over(w), F.lead(label, 1).over(w))])
