@@ -61,7 +61,7 @@ def _track_pages(samples: bytes, serial: int, packet: int, rate: int) -> list[by
     for at in range(0, max(len(laces), 1), 255):
         seg = bytes(laces[at : at + 255])
         size = sum(seg)
-        granule = next((g for g in reversed(ends[at : at + 255]) if g >= 0), -1 if seg else 0)
+        granule = next((g for g in reversed(ends[at : at + 255]) if g >= 0), -1)
         flags = (1 if at and laces[at - 1] == 255 else 0) | (4 if at + 255 >= len(laces) else 0)
         pages.append(_page(flags, granule, serial, len(pages), seg, samples[done : done + size]))
         done += size

@@ -169,6 +169,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: a row for each document that it takes words of, its text the whole passes and then the words of
     each run of chosen blocks, as lines; other columns as they were, n_chars counted anew."""
     cols = docs.columns
+    # other columns travel in one struct, so that their names can't clash with the plan's
+    rest = F.struct(*[F.col(c) for c in cols if c != "text"]).alias("_rest")
+    docs = docs.select("doc_id", "text", "source", rest)
     planned = taken(plan(docs))
     # the text comes back by the key of (doc_id, text); equal rows are equal texts, so one text a key is enough
     texts = docs.select(F.xxhash64(F.lit(SEED), "doc_id", "text").alias("_key"), "text").dropDuplicates(["_key"])
@@ -179,4 +182,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     parts = F.transform("chosen", lambda j: F.array_join(F.slice(F.col("_words"), (start(j) + 1).cast("int"), (stop(j) - start(j)).cast("int")), " "))
     whole = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
     out = joined.withColumn("_words", F.when(F.size("chosen") > 0, words)).withColumn("text", F.array_join(F.concat(whole, F.when(F.size("chosen") > 0, parts).otherwise(F.array().cast("array<string>"))), "\n"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*cols)
+    back = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[back.get(c, F.col(f"_rest.{c}")).alias(c) for c in cols])

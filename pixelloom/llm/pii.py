@@ -153,7 +153,7 @@ def all_spans() -> Column:
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base kinds, base_sha256 and spans of every row."""
-    rows = analysed(docs, ["doc_id"])
+    rows = analysed(docs.select("doc_id", "text"), ["doc_id"])
     counts = [F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(joined(F.col("_spans")).cast("binary"), 256).alias("base_sha256"), joined(all_spans()).alias("spans"))
 
@@ -161,7 +161,9 @@ def spans(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs, the same columns, with every span's text replaced: base spans by their kind, terms generalised or removed."""
     cols = docs.columns
-    rows = analysed(docs, cols).withColumn("_all", all_spans())
+    # other columns travel in one struct, so that their names can't clash
+    inner = docs.select("text", F.struct(*[F.col(c) for c in cols if c != "text"]).alias("_rest"))
+    rows = analysed(inner, ["text", "_rest"]).withColumn("_all", all_spans())
     text = F.col("text")
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -173,7 +175,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
     clean = F.when(F.size("_all") > 0, F.aggregate("_all", state, step, rest)).otherwise(text)
-    out = rows.withColumn("text", clean)
+    out = rows.withColumn("_text", clean)
+    back = {"text": F.col("_text")}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+        back["n_chars"] = F.when(F.size("_all") > 0, F.length("_text").cast("long")).otherwise(F.col("_rest.n_chars"))
+    return out.select(*[back.get(c, F.col(f"_rest.{c}")).alias(c) for c in cols])
