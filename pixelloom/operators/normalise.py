@@ -43,6 +43,20 @@ def percentile_stretch(df: DataFrame, column: str, low: float = 1.0, high: float
     return df.join(F.broadcast(s), "image_id").withColumn(column, out).drop("_lo", "_hi", "_min", "_max")
 
 
+def stretch_all(df: DataFrame, columns: list[str], low: float = 1.0, high: float = 99.0) -> DataFrame:
+    """Several columns stretched at once: their ranks come from one aggregate over (image_id, column). A flat map in 0..1
+    stays as it is."""
+    ranks = {"lo": floor_rank(low), "hi": ceil_rank(high), "min": F.lit(0), "max": F.col("n") - 1}
+    s = at_ranks(df.unpivot(["image_id"], columns, "_f", "_x"), "_x", ranks, ("image_id", "_f"))
+    s = s.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("_f", F.struct(*ranks)))).alias("_r"))
+    out = {}
+    for c in columns:
+        r, v = F.col("_r")[c], F.col(c)
+        flat = (r["hi"] - r["lo"] < 1e-12) & (r["min"] >= -1e-9) & (r["max"] <= 1 + 1e-9)
+        out[c] = F.when(flat, v).otherwise(clamp01((v - r["lo"]) / F.greatest(r["hi"] - r["lo"], F.lit(1e-12))))
+    return df.join(F.broadcast(s), "image_id").withColumns(out).drop("_r")  # one row an image
+
+
 def min_max(df: DataFrame, column: str) -> DataFrame:
     s = df.groupBy("image_id").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     return df.join(F.broadcast(s), "image_id").withColumn(column, (F.col(column) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))).drop("_lo", "_hi")

@@ -23,7 +23,7 @@ def fit(w: Column, h: Column, most: int) -> tuple[Column, Column]:
     return one(w), one(h)
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
+def scan(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """path, stem, w, h, data of the folder's images; files that can't be decoded are left out. Bytes are B, G, R (and
     alpha) by row."""
     df = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")

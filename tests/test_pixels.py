@@ -98,3 +98,42 @@ def test_without_training_operators(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'rgb_to_lab' in q and len(e.oracle_sql()) > 50"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_parameters():
+    from pixelloom.plans import params
+
+    p = params.from_yaml(R.SegmentParams, "edge_threshold: 0.08\ncolor_merge_distance: 5.0\n")
+    assert (p.edge_threshold, p.color_merge_distance, p.min_region_area) == (0.08, 5.0, 24)
+    assert params.from_yaml(R.SegmentParams, "{}") == R.SegmentParams()
+    for bad in ({"method": "x"}, {"gamma": 0.0}, {"quantile": 0.5}, {"method": "quantile"}):
+        with pytest.raises(ValueError):
+            params.validated(params.FilterParams(**bad))
+    with pytest.raises(ValueError):
+        params.from_dict(R.SegmentParams, {"no_such": 1})
+
+
+def test_plans(spark):
+    from pixelloom.plans import pipelines, reports
+
+    rng = np.random.default_rng(2)
+    a = np.full((20, 20, 3), (230, 230, 235))
+    a[6:14, 6:14] = (200, 40, 60)
+    a = np.clip(a + rng.integers(-2, 3, a.shape), 0, 255)
+    px = _image(spark, a).cache()
+    p = pipelines.impression(px, 2).toPandas()
+    assert abs(p.proportion.sum() - 1) < 1e-9 and len(p) <= 2
+    _, regions = pipelines.segmented(px, R.SegmentParams(min_region_area=4))
+    assert reports.region_json(regions, 5).first().json.startswith('[{"color":"#')
+    page = reports.palette_html(pipelines.palette_matrix(px, ("median_cut",), ("RGB",), 3), "a <b>")
+    assert "a &lt;b&gt;" in page and "median_cut" in page
+
+
+def test_stream(spark, tmp_path):
+    from pixelloom.streaming.images import palettes
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a_p0.png").write_bytes(images.png(np.full((4, 4, 3), 90, np.uint8)))
+    q = palettes(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), algorithm="median_cut", space="RGB", k=2)
+    assert q.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
