@@ -62,9 +62,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Hashes of words that a worker remembers; emptied when full, which changes speed only.
+MEMORY = 250_000
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > MEMORY:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
