@@ -1,20 +1,21 @@
 """LM scoring: a probabilistic suffix tree over words.
 
 A text is its words (A-Z lower-cased) and an end. The tree holds contexts, the last one to DEPTH words, with counts of
-next words. Level by level, a string of words is counted only if its parts were frequent, and kept if it makes up at
-least RARE of all training tokens (two at least), so each level holds 1 / RARE strings at most whatever the corpus:
-that bound is what makes the tree fit for broadcasting. A context is retained if the divergence test finds a next word, likely enough after
-it, whose probability differs from that after the context without its first word by the factor FAR. Suffixes
-of retained contexts are retained.
+next words. Level by level, a string of words is counted only if its parts were kept, and kept if it occurs LEAST times in
+the training texts, however many those are: the tree grows with the corpus. A context is retained if the divergence test
+finds a next word, likely enough after it, whose probability differs from that after the context without its first word by
+the factor FAR. Suffixes of retained contexts are retained.
 
 Next-word distributions are smoothed by those of the next shorter context (Witten-Bell); words that aren't kept after a
 context share the rest by the shorter context. The root is add-one smoothed over the V training words and one
-unknown word. Scores use the longest retained suffix of what precedes a word. As a rare word is never kept after a
-context, its probability is a product of the contexts' shares and its root probability, so only its count
-has to be looked up by a shuffle join; frequent words are looked up in the task.
+unknown word. Scores use the longest retained suffix of what precedes a word.
 
-Words are known by 64-bit hashes. Counting goes through sorted, delta-coded arrays per task and bucket of keys,
-so that what is shuffled is a few bytes for each distinct string and task.
+No task holds the tree. Texts are encoded once into chunks. For each level a chunk sends its distinct strings with their
+training counts to buckets by context; a bucket adds them up, tests its contexts, and answers every chunk in the order
+asked. So counting and looking up are one exchange of what is distinct in a chunk, and a frequent context costs
+a bucket one row a chunk. ``Tree`` is the same model in one process, which tests compare with.
+
+Words are known by 64-bit hashes until their bucket numbers those that are kept; kept strings are numbered by their buckets too.
 
 Edge cases: null and blank texts are the end alone; an empty training set leaves the unknown word only; repeated rows
 count as often as they occur, each with a score of its own; null doc_ids are training rows (their remainder isn't 2).
@@ -28,20 +29,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, width
+from .common import release, saved, width
 
 DEPTH = 2
-RARE = 2e-7
+LEAST = 2
 FAR = 1.5
 LIKELY = 1e-4
 #: Words cannot hold white space, so this stands for the end of a text.
 END = xxhash.xxh3_64_intdigest(b"\n")
 SHIFT = np.uint64(24)
-#: Distinct strings that one counting task merges, about.
-BUCKET_KEYS = 4_000_000
+#: Where a context's length stands in what suffixes are known by.
+LENGTH = np.uint64(56)
+#: Words of a chunk, and of all chunks for each bucket, about.
+CHUNK, BUCKET = 1_000_000, 1_500_000
+#: In place of a level: contexts that are retained as suffixes. In place of a chunk: a bucket's totals, and those contexts.
+SUFFIXES, TOTALS, LONGER = 99, -1, -2
 NONE = np.int64(-1)
 
 
@@ -79,39 +85,6 @@ def find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == asked, at, NONE)
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of all parts, and their summed counts."""
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
-
-
-class Tally:
-    """Counts of keys in a task: arrays gathered and merged now and then."""
-
-    def __init__(self, most: int = 2_000_000) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held, self.most = 0, most
-
-    def add(self, keys: np.ndarray) -> None:
-        u, c = np.unique(keys, return_counts=True)
-        self.parts.append((u, c.astype(np.int64)))
-        self.held += len(u)
-        if self.held > self.most:
-            self.parts = [merged(self.parts)]
-            self.held = len(self.parts[0][0])
-
-    def full(self) -> bool:
-        return self.held > 2 * self.most
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = merged(self.parts) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.parts, self.held = [], 0
-        return out
-
-
 def pack_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
     """Sorted keys as byte planes of their differences, and counts, compressed."""
     gaps = np.diff(keys, prepend=np.uint64(0))
@@ -131,46 +104,6 @@ def unpack_keys(blob: bytes, n: int, size: int) -> tuple[np.ndarray, np.ndarray]
     return keys, counts
 
 
-BLOBS = "bucket int, n int, size int, blob binary"
-
-
-def _blobs(tally: Tally, buckets: int) -> pa.RecordBatch:
-    keys, counts = tally.take()
-    where = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
-    order = np.argsort(where, kind="stable")  # keys stay sorted inside a bucket
-    ends = np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
-    rows = []
-    for b in range(buckets):
-        own = order[ends[b] : ends[b + 1]]
-        if len(own):
-            blob, n = pack_keys(keys[own], counts[own])
-            rows.append((b, n, 9 * n + 8 * int((counts[own] >= 255).sum()), blob))
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["bucket", "n", "size", "blob"])
-
-
-def tally(docs: DataFrame, keys_of, buckets: int) -> DataFrame:
-    """(key, count) of all keys that ``keys_of`` gives for the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tally()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                found = [keys_of(hashes(t)) for t in batch.column(0).slice(at, 512).to_pylist()]
-                if found:
-                    own.add(np.concatenate(found))
-                if own.full():
-                    yield _blobs(own, buckets)
-        yield _blobs(own, buckets)
-
-    def merge(t: pa.Table) -> pa.Table:
-        parts = [unpack_keys(b, n, s) for b, n, s in zip(t.column("blob").to_pylist(), t.column("n").to_pylist(), t.column("size").to_pylist(), strict=True)]
-        keys, counts = merged(parts)
-        return pa.table({"key": pa.array(keys.view(np.int64)), "count": pa.array(counts)})
-
-    return docs.select("text").mapInArrow(run, BLOBS).groupBy("bucket").applyInArrow(merge, "key long, count long")
-
-
 @dataclass
 class Level:
     """Strings of one length: sorted keys, counts; as contexts: retained, their total, and the share left to shorter
@@ -265,85 +198,309 @@ def _contexts(levels: list[Level], tokens: int, words: int, texts: int, far: flo
             levels[k - 1].retained = below
 
 
-def learn(docs: DataFrame, rare: float = RARE, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (key, count) of all training words."""
-    n_texts = docs.count()
-    buckets = max(1, width(docs.sparkSession))
-    words = saved(tally(docs, lambda h: h, buckets), "word-counts")
-    row = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    least = max(2, int(np.ceil(rare * row.n)))
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a string of words from that of all but its last word and the last word's."""
+    x = (a * np.uint64(0x9E3779B97F4A7C15) ^ (b >> np.uint64(29)) ^ b) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27)) ^ a) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def kept(rows: DataFrame) -> Level:
-        # at most 1 / rare rows: each makes up that share of all tokens
-        t = rows.where(F.col("count") >= least).toArrow()
-        keys, counts = t.column("key").to_numpy().view(np.uint64), t.column("count").to_numpy()
-        order = np.argsort(keys)
-        return Level(keys[order], counts[order])
 
-    levels = [kept(words)]
-    spark = docs.sparkSession
-    for _ in range(depth):
-        tree = Tree(levels, row.n, row.v, n_texts)
-        held = spark.sparkContext.broadcast(tree)
-
-        def strings(h: np.ndarray, held=held) -> np.ndarray:
-            at = held.value.places(h)
-            p, x = at[-1][:-1], at[0][1:]
-            ok = (p >= 0) & (x >= 0)
-            if len(at) > 1:
-                # the string without its first word must have been frequent as well
-                ok &= at[-1][1:] >= 0
-            return (p[ok].astype(np.uint64) << SHIFT) | x[ok].astype(np.uint64)
-
-        levels = [*levels, kept(tally(docs, strings, max(buckets, -(-row.n // BUCKET_KEYS))))]
-        held.unpersist()
-    _contexts(levels, row.n, row.v, n_texts, FAR, LIKELY)
-    return Tree(levels, row.n, row.v, n_texts), words
-
-
-def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    spark = docs.sparkSession
-    tree, words = learn(training.select("text"))
-    held = spark.sparkContext.broadcast(tree)
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Columns of 8-byte values as byte planes, compressed."""
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in map(np.ascontiguousarray, columns))
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_columns(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=8 * n * len(kinds), codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(p.reshape(8, n).T).view(k).reshape(-1) for p, k in zip(raw.reshape(len(kinds), 8 * n), kinds, strict=True)]
+
+
+CHUNKS = "chunk long, n int, size int, vocabulary binary, tokens binary, total int, doc_ids array<long>, held array<boolean>, sizes array<int>"
+PARTS = "chunk long, level int, bucket int, n int, size int, blob binary, more binary"
+NAMES = ["chunk", "level", "bucket", "n", "size", "blob", "more"]
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _parts(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], NAMES)
+
+
+def _bucket(keys: np.ndarray, level: int, buckets: int) -> np.ndarray:
+    """Words' hashes are dealt by range; numbers are hashed first, as those of a frequent context's strings are alike."""
+    h = keys * np.uint64(0x9E3779B97F4A7C15) if level else keys
+    return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The order of numbers by bucket, then number."""
+    return np.lexsort((keys, _bucket(keys, 1, buckets)))
+
+
+def _sent(chunk: int, level: int, buckets: int, keys: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> list[tuple]:
+    """Parts for each bucket of keys that are sorted by bucket."""
+    ends, rows = np.searchsorted(_bucket(keys, level, buckets), np.arange(buckets + 1, dtype=np.uint64)), []
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        at = slice(ends[b], ends[b + 1])
+        blob, n = pack_keys(keys[at], counts[at])
+        rows.append((chunk, level, b, n, 9 * n + 8 * int((counts[at] >= 255).sum()), blob, pack_columns([m[at] for m in more]) if more else b""))
+    return rows
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """Chunks of docs (doc_id, held, text): distinct words with training counts, and the words by their places there."""
+
+    def row(number: int, found: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(h) for _, _, h in found])
+        vocabulary, at = np.unique(np.concatenate([h for _, _, h in found]), return_inverse=True)
+        train = np.repeat(~np.array([x for _, x, _ in found], bool), sizes)
+        blob, n = pack_keys(vocabulary, counts := np.bincount(at[train], minlength=len(vocabulary)))
+        chunk = (TaskContext.get().partitionId() << 32) + number
+        size = 9 * n + 8 * int((counts >= 255).sum())
+        values = [chunk, n, size, blob, pa.compress(np.ascontiguousarray(at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True), len(at), [i for i, _, _ in found], [x for _, x, _ in found], sizes.tolist()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in CHUNKS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, words, number = [], 0, 0
+        for batch in batches:
+            for i, held, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                h = hashes(text)
+                found.append((i, held, h))
+                words += len(h)
+                if words >= CHUNK:
+                    yield row(number, found)
+                    found, words, number = [], 0, number + 1
+        if found:
+            yield row(number, found)
+        _hashes.clear()
+
+    return docs.mapInArrow(run, CHUNKS)
+
+
+class _Chunk:
+    """A chunk's words in one row of positions, with one before each text for its start, which is never predicted; levels
+    are filled in as answers come. ``keys``: numbers of the kept strings that end at each position; the start's is 0."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table, totals: tuple[int, int, int], buckets: int) -> None:
+        r = table.to_pylist()[0]
+        self.number, self.doc_ids, self.held = r["chunk"], r["doc_ids"], r["held"]
+        raw = np.frombuffer(pa.decompress(r["tokens"], decompressed_size=4 * r["total"], codec="zstd", asbytes=True), np.uint8)
+        tokens = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).reshape(-1)
+        self.sizes = np.array(r["sizes"])
+        ends = np.cumsum(self.sizes + 1)
+        self.starts = ends - self.sizes - 1
+        self.left = np.arange(ends[-1]) - np.repeat(self.starts, self.sizes + 1)
+        self.train = np.repeat(~np.array(self.held, bool), self.sizes + 1)
+        self.tokens, self.words, self.texts = totals
+        self.buckets = buckets
+        word = self.left > 0
+        self.answers: dict[int, list] = {}
+        for a in sorted(answers.to_pylist(), key=lambda a: a["bucket"]):
+            self.answers.setdefault(a["level"], []).append(a)
+        n, number = np.full(ends[-1], self.texts), np.zeros(ends[-1], np.int64)
+        n[word], number[word] = (c[tokens] for c in self._answer(0, 2))
+        self.keys = [number.view(np.uint64)]
+        self.counts, self.kept, self.tests = [n], [(n >= LEAST) | ~word], []
+        self.root = (n + 1) / (self.tokens + self.words + 1)
+
+    def _answer(self, level: int, columns: int) -> list[np.ndarray]:
+        found = [unpack_columns(a["blob"], a["n"], [np.int64] * columns) for a in self.answers.get(level, [])]
+        return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * columns
+
+    def asked(self, k: int) -> tuple:
+        """Positions after a kept context of k words; which string each has, in the order of contexts; each string's first
+        position; whether the string itself is counted at each position, or stands for all that aren't."""
+        at = np.flatnonzero((self.left >= k) & np.roll(self.kept[k - 1], 1))
+        ok = self.kept[k - 1][at]
+        context = self.keys[k - 1][at - 1]
+        # 0 stands for the words that aren't counted here
+        last = np.where(ok, self.keys[0][at], np.uint64(0))
+        _, first, which = np.unique(mix(context, last), return_index=True, return_inverse=True)
+        order = _dealt(context[first], self.buckets)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return at, rank[which], first[order], ok, last[first[order]]
+
+    def learn(self, k: int) -> None:
+        """Takes in the answers of level k."""
+        at, which, _, ok, _ = self.asked(k)
+        n, kept, kinds, number = (c[which] for c in self._answer(k, 4))
+        counts, numbers = np.zeros(len(self.left), np.int64), np.zeros(len(self.left), np.int64)
+        counts[at[ok]], numbers[at[ok]] = n[ok], number[ok]
+        self.keys.append(numbers.view(np.uint64))
+        self.counts.append(counts)
+        self.kept.append(counts >= LEAST)
+        self.tests.append((at, kept, kinds >> 1, (kinds & 1).astype(bool)))
+
+    def ask(self, k: int) -> list[tuple]:
+        """Parts of level k: by context, last word, training count, the context's count, the last word's probability after the
+        shorter context as two numbers, and the shorter contexts."""
+        at, which, first, ok, last = self.asked(k)
+        counts = np.bincount(which[ok & self.train[at]], minlength=len(first))
+        i = at[first]
+        if k == 1:
+            shorter = [self.counts[0][i] + 1, np.full(len(i), self.tokens + self.words + 1)]
+        else:
+            shorter = [self.counts[k - 1][i], np.maximum(self.counts[k - 2][i - 1], 1)]
+        more = [last, self.counts[k - 1][i - 1], *shorter, *(self.keys[j][i - 1] for j in range(k - 1))]
+        return _sent(self.number, k, self.buckets, self.keys[k - 1][i - 1], counts, more)
+
+    def doubtful(self, tests: list) -> np.ndarray:
+        """Contexts, with their lengths, that aren't retained for themselves, but may be as suffixes."""
+        found = [np.zeros(0, np.uint64)]
+        for k, (at, _, _, retained) in enumerate(tests):
+            found.append(self.keys[k][at[~retained] - 1] | np.uint64(k) << LENGTH)
+        keys = np.unique(np.concatenate(found))
+        return keys[_dealt(keys, self.buckets)]
+
+    def scores(self, depth: int) -> pa.Table:
+        p = self.root.copy()
+        suffixes = np.zeros(0, np.uint64)
+        if SUFFIXES in self.answers:
+            suffixes = np.sort(self.doubtful(self.tests[: depth - 1])[self._answer(SUFFIXES, 1)[0] > 0])
+        for k, (at, kept, kinds, retained) in enumerate(self.tests, 1):
+            if k < depth:
+                retained = retained | (find(suffixes, self.keys[k - 1][at - 1] | np.uint64(k - 1) << LENGTH) >= 0)
+            i = at[retained]
+            count, kept, kinds = self.counts[k - 1][i - 1], kept[retained], kinds[retained]
+            total = np.maximum(count + kinds, 1).astype(float)
+            n = np.where(self.kept[k][i], self.counts[k][i], 0)
+            p[i] = n / total + np.maximum(count - kept + kinds, 0.5) / total * p[i]
+        word = self.left > 0
+        add = lambda x: np.add.reduceat(np.where(word, x, 0), self.starts)
+        columns = [self.doc_ids, self.held, self.sizes, add(self.counts[0] > 0), add(np.log10(self.root)), add(np.log10(p))]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in SCORES.split(", ")])
+
+
+def _answered(level: int, buckets: int):
+    """Adds up a bucket's parts of a level and answers each chunk."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        bucket = rows[0]["bucket"]
+        out = [tuple(r[c] for c in NAMES) for r in rows if r["level"] == SUFFIXES]  # wait for what this level retains
+        rows = [r for r in rows if r["level"] == level]
+        if not rows:
+            return _parts(out)
+        found = [unpack_keys(r["blob"], r["n"], r["size"]) for r in rows]
+        context, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+        if level:
+            kinds = [np.uint64, np.int64, np.int64, np.int64] + [np.uint64] * (level - 1)
+            more = [np.concatenate(c) for c in zip(*(unpack_columns(r["more"], r["n"], kinds) for r in rows), strict=True)]
+        strings = mix(context, more[0]) if level else context
+        order = np.argsort(strings, kind="stable")
+        new = np.r_[True, np.diff(strings[order]) != 0]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        n = np.add.reduceat(counts[order], np.flatnonzero(new))
+        kept = n >= LEAST
+        number = np.where(kept, 1 + (np.cumsum(kept) - 1) * buckets + bucket, 0)[which]
+        answers = [n[which]]
+        if level:
+            contexts, one, of = np.unique(context[first], return_index=True, return_inverse=True)
+            size = len(contexts)
+            p, shorter = n / np.maximum(more[1][first], 1), more[2][first] / more[3][first]
+            differs = kept & (p >= LIKELY) & ((p >= FAR * shorter) | (p * FAR <= shorter))
+            retained = np.bincount(of[differs], minlength=size) > 0
+            kinds = np.bincount(of[kept], minlength=size)
+            answers += [np.bincount(of, np.where(kept, n, 0), size).astype(np.int64)[of][which], (2 * kinds + retained)[of][which]]
+            for k, suffix in enumerate(more[4:]):
+                keys = np.unique(suffix[first][one[retained]]) | np.uint64(k) << LENGTH
+                keys = keys[_dealt(keys, buckets)]
+                out += _sent(LONGER, SUFFIXES, buckets, keys, np.ones(len(keys), np.int64), [])
+        else:
+            out.append((TOTALS, 0, bucket, 2, 16, pack_columns([np.array([n.sum(), (n > 0).sum()])]), b""))
+        answers.append(number)
+        ends = np.cumsum([r["n"] for r in rows])
+        for r, end in zip(rows, ends, strict=True):
+            at = slice(end - r["n"], end)
+            out.append((r["chunk"], level, bucket, r["n"], 0, pack_columns([a[at] for a in answers]), b""))
+        return _parts(out)
+
+    return run
+
+
+def _suffixes(t: pa.Table) -> pa.Table:
+    """Tells each chunk which of its contexts are suffixes of retained ones."""
+    rows = t.to_pylist()
+    longer = [unpack_keys(r["blob"], r["n"], r["size"])[0] for r in rows if r["chunk"] == LONGER]
+    there = np.unique(np.concatenate(longer)) if longer else np.zeros(0, np.uint64)
+    out = []
+    for r in rows:
+        if r["chunk"] != LONGER:
+            yes = find(there, unpack_keys(r["blob"], r["n"], r["size"])[0]) >= 0
+            out.append((r["chunk"], SUFFIXES, r["bucket"], r["n"], 0, pack_columns([yes.astype(np.int64)]), b""))
+    return _parts(out)
+
+
+def _words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Parts of level 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = []
-                for t in part.column(1).to_pylist():
-                    h = hashes(t)
-                    a, b, n, rare = model.score(h)
-                    found.append((a, b, len(h), n, rare.view(np.int64)))
-                a, b, k, n, rare = zip(*found, strict=True)
-                offsets = np.zeros(len(rare) + 1, np.int32)
-                np.cumsum([len(r) for r in rare], out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare)))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(a), pa.array(b), pa.array(k, pa.int64()), pa.array(n, pa.int64()), lists], ["doc_id", "tree", "base", "tokens", "frequent", "rare"])
-
-    schema = "doc_id long, tree double, base double, tokens long, frequent long, rare array<long>"
-    part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    # rows are numbered once, in a table, so that repeated doc_ids stay apart
-    part = saved(part.withColumn("row", F.monotonically_increasing_id()), "lm-partial")
-    rare = part.select("row", F.explode("rare").alias("key"))
-    unit = F.lit(float(tree.tokens + tree.words + 1))
-    found = rare.join(words, "key", "left").groupBy("row").agg(F.sum(F.log10((F.coalesce("count", F.lit(0)) + 1) / unit)).alias("more"), F.count("count").alias("known"))
-    out = part.drop("rare").join(found, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        F.col("tokens").alias("n_tokens"),
-        (F.col("frequent") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(tree.tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("tree") + more).alias("score"),
-    )
+            for r in batch.to_pylist():
+                yield from _parts(_sent(r["chunk"], 0, buckets, *unpack_keys(r["vocabulary"], r["n"], r["size"]), [])).to_batches()
+
+    return chunks.select("chunk", "n", "size", "vocabulary").mapInArrow(run, PARTS)
+
+
+def _asking(k: int, depth: int, buckets: int, totals: tuple[int, int, int]):
+    """A chunk's parts of level k, and with the last level its doubtful contexts."""
+
+    def run(c: pa.Table, a: pa.Table) -> pa.Table:
+        chunk = _Chunk(c, a, totals, buckets)
+        for j in range(1, k):
+            chunk.learn(j)
+        out = chunk.ask(k)
+        if k == depth:
+            keys = chunk.doubtful(chunk.tests)
+            out += _sent(chunk.number, SUFFIXES, buckets, keys, np.ones(len(keys), np.int64), [])
+        return _parts(out)
+
+    return run
+
+
+def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """docs: doc_id, held (not learned from), text. SCORES and train_tokens of every row."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held", "text")
+    chunks = saved(encoded(rows), "lm-chunks")
+    size = chunks.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("texts")).first()
+    buckets = max(1, min(width(spark), size.n // (BUCKET // 8)), -(-size.n // BUCKET))
+    totals = (0, 0, int(size.texts))
+    texts = chunks.drop("n", "size", "vocabulary")
+    both = lambda: texts.groupBy("chunk").cogroup(answers.where(F.col("chunk") >= 0).groupBy("chunk"))
+    for k in range(depth + 1):
+        asked = both().applyInArrow(_asking(k, depth, buckets, totals), PARTS) if k else _words(chunks, buckets)
+        found = saved(asked.groupBy("bucket").applyInArrow(_answered(k, buckets), PARTS), "lm-answers")
+        answers = answers.unionByName(found) if k else found
+        if k == 0:
+            sums = [unpack_columns(r.blob, r.n, [np.int64])[0] for r in found.where(F.col("chunk") == TOTALS).select("n", "blob").collect()]
+            totals = (int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums)), totals[2])
+        # Spark holds on to the step that ran last, so an empty one runs before this one's shuffle files are let go of
+        del asked
+        spark.range(1).count()
+        release(spark)
+    closing = answers.where(F.col("level") == SUFFIXES)
+    answers = answers.where(F.col("level") != SUFFIXES).unionByName(saved(closing.groupBy("bucket").applyInArrow(_suffixes, PARTS), "lm-answers"))
+    spark.range(1).count()
+    release(spark)
+
+    def score(c: pa.Table, a: pa.Table) -> pa.Table:
+        chunk = _Chunk(c, a, totals, buckets)
+        for j in range(1, depth + 1):
+            chunk.learn(j)
+        return chunk.scores(depth)
+
+    return both().applyInArrow(score, SCORES).withColumn("train_tokens", F.lit(totals[0]).cast("long"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """All documents, learning from those that aren't held out."""
-    rows = docs.select("doc_id", "text")
-    out = scores(rows, rows.where(~held_out(F.col("doc_id"))))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = scores(docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
