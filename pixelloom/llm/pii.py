@@ -3,9 +3,9 @@
 Base spans are found by pattern and validity: e-mail addresses, IPv4 addresses, payment cards (Luhn), phone numbers. They are the protected
 entities. Terms (words of four letters or more) within NEAR characters of an entity are counted over the corpus: how many documents
 hold the term near the entity, and how many hold the term at all. The share of the two estimates how strongly the
-term reveals the entity, P(entity | term); with P(entity) it gives the information in bits. Where the term was seen near
-the entity in at least SUPPORT different surroundings, gives at least BITS bits, and P(entity | term) reaches
-GENERALISE, its occurrences near the entity become spans too: they are generalised to a placeholder, or removed from
+term reveals the entity, P(entity | term). Where the term was seen near the entity in at least SUPPORT different
+surroundings, P(entity | term) reaches GENERALISE, and so many surroundings would hold the entity by chance, at its own
+P(entity), for fewer than 1 / DOUBT of the terms tried with it (in bits: surroundings times divergence), its occurrences near the entity become spans too: they are generalised to a placeholder, or removed from
 REMOVE on.
 
 Patterns are written so that matching is linear in the text (possessive runs, and no second start inside a run that has
@@ -33,7 +33,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 NEAR = 120
 SUPPORT = 3
-BITS = 6.0
+DOUBT = 10
 GENERALISE, REMOVE = 0.5, 0.8
 TERM = r"(?<=\P{L})\p{L}{4,}(?=\P{L})"
 WORD = r"\p{L}{4,}"
@@ -114,6 +114,13 @@ def with_base(docs: DataFrame) -> DataFrame:
     return out.withColumn("_near", F.when(F.size("_spans") > 0, F.transform("_spans", around)))
 
 
+def evidence(places: str, share: str, base: Column) -> Column:
+    """Bits against a term's being with the entity by chance: its surroundings times the divergence of share from base."""
+    s, p = F.col(share), F.least(base, F.lit(1.0))
+    without = F.when((s < 1) & (p < 1), (1 - s) * F.log2((1 - s) / (1 - p))).otherwise(0.0)
+    return F.when(s > p, F.col(places) / s * (s * F.log2(s / p) + without)).otherwise(0.0)
+
+
 def disclosing(near: DataFrame, texts: DataFrame) -> DataFrame:
     """(_row, start, end, share) of terms near entities that they reveal. near: _row, _near of rows with entities;
     texts: the texts of all rows, for document frequencies."""
@@ -130,7 +137,8 @@ def disclosing(near: DataFrame, texts: DataFrame) -> DataFrame:
     entity = mentions.groupBy("m.entity").agg(F.countDistinct("_row").alias("n"))
     total = F.lit(float(max(1, texts.count())))
     reveals = seen.join(frequency, "term").join(entity, "entity").withColumn("share", F.col("both") / F.greatest("df", "both"))
-    reveals = reveals.where((F.col("share") >= GENERALISE) & (F.log2(F.col("share") * total / F.col("n")) >= BITS)).select("term", "entity", "share")
+    tried = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("tried"))
+    reveals = reveals.join(tried, "entity").where((F.col("share") >= GENERALISE) & (evidence("places", "share", F.col("n") / total) >= F.log2(F.col("tried") * DOUBT))).select("term", "entity", "share")
     return terms.join(reveals, ["term", "entity"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
 
 
