@@ -1,18 +1,19 @@
 """PII: information-theoretic sanitisation, in DataFrame expressions alone.
 
 Base spans are found by pattern and validity: e-mail addresses, IPv4 addresses, payment cards (Luhn), phone numbers. They are the protected
-entities. Terms (words of four letters or more) within NEAR characters of an entity are counted over the corpus: how many documents
-hold the term near the entity, and how many hold the term at all. The share of the two estimates how strongly the
-term reveals the entity, P(entity | term). Where the term was seen near the entity in at least SUPPORT different
-surroundings, P(entity | term) reaches GENERALISE, and so many surroundings would hold the entity by chance, at its own
-P(entity), for fewer than 1 / DOUBT of the terms tried with it (in bits: surroundings times divergence), its occurrences near the entity become spans too: they are generalised to a placeholder, or removed from
-REMOVE on.
+entities. Terms (runs of letters, marks and digits, of any length) are counted over the corpus by document: how many documents
+hold the term and the entity, and how many hold the term at all. The share of the two is P(entity | term). Where the term
+was seen with the entity in at least SUPPORT different texts, the share reaches GENERALISE, and so many texts
+would hold the entity by chance, at its own P(entity), for fewer than 1 / DOUBT of the terms tried with it (in bits:
+texts times divergence), all of the term's occurrences in all documents become spans too: they are generalised to
+a placeholder, or removed from REMOVE on. Exact copies are one text here.
 
 Patterns are written so that matching is linear in the text (possessive runs, and no second start inside a run that has
 failed) and finds exactly the leftmost non-overlapping matches of the plain patterns. Positions are code points.
 
 Edge cases: null text is empty and stays null in sanitised output; repeated rows are rows of their own; documents without
-entities are never changed; an empty table gives no rows.
+entities change where they hold a disclosing term; words of scripts without spaces are whole runs; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -31,19 +32,18 @@ PATTERNS = {
 }
 #: A character that each kind needs: texts without it aren't searched.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-NEAR = 120
 SUPPORT = 3
 DOUBT = 10
 GENERALISE, REMOVE = 0.5, 0.8
-TERM = r"(?<=\P{L})\p{L}{4,}(?=\P{L})"
-WORD = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{M}\p{N}]++"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
-def placed(text: Column, pattern: str) -> Column:
+def placed(text: Column, pattern: str | Column) -> Column:
     """array of (start, value) of a pattern's matches: the gaps between matches and the matches, added up."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    whole = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, whole, F.lit(1))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -96,60 +96,63 @@ def joined(spans: Column) -> Column:
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """docs with _row, _spans, and _near: for each span its entity and the text around it with that text's start."""
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_spans", base_spans(text))
-
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - NEAR, F.lit(0))
-        before = F.substring(text, low + 1, s["start"] - low)
-        after = F.substring(text, s["end"] + 1, F.lit(NEAR))
-        # a blank stands for the text's own ends: there a word isn't cut
-        edge = F.when(s["end"] + NEAR >= F.length(text), F.lit(" ")).otherwise(F.lit(""))
-        head = F.when(low == 0, F.lit(" ")).otherwise(F.lit(""))
-        left = F.struct((low - F.length(head)).alias("at"), F.concat(head, before, F.lit(" ")).alias("text"))
-        right = F.struct((s["end"] - 1).alias("at"), F.concat(F.lit(" "), after, edge).alias("text"))
-        return F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), F.array(left, right).alias("sides"))
-
-    return out.withColumn("_near", F.when(F.size("_spans") > 0, F.transform("_spans", around)))
+    """docs with _spans, and _entities: the hashes of the row's different entities, or null."""
+    out = docs.withColumn("_spans", base_spans(F.coalesce("text", F.lit(""))))
+    entities = F.array_distinct(F.transform("_spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    return out.withColumn("_entities", F.when(F.size("_spans") > 0, entities))
 
 
 def evidence(places: str, share: str, base: Column) -> Column:
-    """Bits against a term's being with the entity by chance: its surroundings times the divergence of share from base."""
+    """Bits against a term's being with the entity by chance: its texts times the divergence of share from base."""
     s, p = F.col(share), F.least(base, F.lit(1.0))
     without = F.when((s < 1) & (p < 1), (1 - s) * F.log2((1 - s) / (1 - p))).otherwise(0.0)
     return F.when(s > p, F.col(places) / s * (s * F.log2(s / p) + without)).otherwise(0.0)
 
 
-def disclosing(near: DataFrame, texts: DataFrame) -> DataFrame:
-    """(_row, start, end, share) of terms near entities that they reveal. near: _row, _near of rows with entities;
-    texts: the texts of all rows, for document frequencies."""
-    mentions = near.select("_row", F.explode("_near").alias("m"))
-    sides = mentions.select("_row", "m.entity", F.xxhash64("m.sides").alias("place"), F.explode("m.sides").alias("side"))
-    terms = sides.select("_row", "entity", "place", F.col("side.at").alias("at"), F.explode(placed(F.col("side.text"), TERM)).alias("t"))
-    begin = F.col("at") + F.col("t.start")
-    terms = saved(terms.select("_row", "entity", "place", F.lower("t.value").alias("term"), begin.alias("start"), (begin + F.length("t.value")).alias("end")), "pii-terms")
-    seen = terms.groupBy("term", "entity").agg(F.countDistinct("place").alias("places"), F.countDistinct("_row").alias("both")).where(F.col("places") >= SUPPORT)
+def terms_of(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))
+
+
+def disclosing(marked: DataFrame) -> DataFrame:
+    """(term, share) of terms that reveal an entity. marked: _row, text, _entities of all rows."""
+    mentions = marked.where("_entities is not null").select("_row", F.xxhash64("text").alias("place"), F.explode("_entities").alias("entity"))
+    mentions = saved(mentions, "pii-mentions")
+    # an entity in fewer texts than SUPPORT can't have a term
+    entity = mentions.groupBy("entity", "place").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places")).where(F.col("places") >= SUPPORT)
+    entity = saved(entity.select("entity", "n"), "pii-entities")
+    known = mentions.join(entity.select("entity"), "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "place")).alias("found"))
+    held = marked.where("_entities is not null").select("_row", "text").join(known, "_row")
+    pairs = held.select("found", F.explode(terms_of(F.col("text"))).alias("term")).select("term", F.inline("found"))
+    seen = pairs.groupBy("term", "entity", "place").agg(F.count(F.lit(1)).alias("n")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("places"), F.sum("n").alias("both")).where(F.col("places") >= SUPPORT)
     seen = saved(seen, "pii-pairs")
     # all words are counted before any join: partial counts are what is shuffled, whatever terms are in question
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1)))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    entity = mentions.groupBy("m.entity").agg(F.countDistinct("_row").alias("n"))
-    total = F.lit(float(max(1, texts.count())))
-    reveals = seen.join(frequency, "term").join(entity, "entity").withColumn("share", F.col("both") / F.greatest("df", "both"))
+    frequency = marked.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = F.lit(float(max(1, marked.count())))
     tried = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("tried"))
-    reveals = reveals.join(tried, "entity").where((F.col("share") >= GENERALISE) & (evidence("places", "share", F.col("n") / total) >= F.log2(F.col("tried") * DOUBT))).select("term", "entity", "share")
-    return terms.join(reveals, ["term", "entity"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
+    reveals = seen.join(frequency, "term").join(entity, "entity").join(tried, "entity").withColumn("share", F.col("both") / F.col("df"))
+    reveals = reveals.where((F.col("share") >= GENERALISE) & (evidence("places", "share", F.col("n") / total) >= F.log2(F.col("tried") * DOUBT)))
+    return saved(reveals.groupBy("term").agg(F.max("share").alias("share")), "pii-terms")
+
+
+def occurrences(marked: DataFrame, reveals: DataFrame) -> DataFrame:
+    """(_row, _terms) of rows that hold disclosing terms: start, end and share of every occurrence outside base spans."""
+    words = marked.select("_row", F.explode(terms_of(F.col("text"))).alias("term"))
+    by_row = words.join(reveals, "term").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_shares"))
+    # terms are letters, marks and digits, so they stand for themselves in a pattern
+    found = by_row.withColumn("_pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(F.map_keys("_shares"), "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])")))
+    rows = marked.select("_row", "text", "_spans").join(found, "_row")
+    own = F.filter(placed(F.col("text"), F.col("_pattern")), lambda t: ~F.exists("_spans", lambda s: (s["start"] < t["start"] + F.length(t["value"])) & (t["start"] < s["end"])))
+    terms = F.transform(own, lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["value"])).alias("end"), F.coalesce(F.element_at("_shares", F.lower(t["value"])), F.array_max(F.map_values("_shares"))).alias("share")))
+    return rows.select("_row", terms.alias("_terms"))
 
 
 def analysed(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs with _spans (base) and _terms (start, end, share), row by row."""
-    marked = with_base(docs).select(*keep, "_spans", "_near").withColumn("_row", F.monotonically_increasing_id())
+    marked = with_base(docs).select(*dict.fromkeys([*keep, "text"]), "_spans", "_entities").withColumn("_row", F.monotonically_increasing_id())
     marked = saved(marked, "pii-base")
-    terms = disclosing(marked.where("_near is not null").select("_row", "_near"), docs.select("text"))
-    by_row = terms.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("_terms"))
-    by_row = saved(by_row, "pii-spans")
-    return marked.drop("_near").join(by_row, "_row", "left").drop("_row")
+    by_row = saved(occurrences(marked, disclosing(marked.select("_row", "text", "_entities"))), "pii-spans")
+    return marked.select(*keep, "_spans", "_row").join(by_row, "_row", "left").drop("_row")
 
 
 def all_spans() -> Column:

@@ -26,3 +26,14 @@ def test_a_frequent_entity_has_terms(spark):
     got = _sanitised(spark, [_text(i, "Zebulon hot@mail.org", "end") if i % 3 == 0 else _text(i) for i in range(300)])
     assert all("Zebulon" not in t for t in got.values())
     assert all(got[i] == _text(i) for i in range(300) if i % 3)
+
+
+def test_every_occurrence_of_a_term_of_any_length_and_distance(spark):
+    far = " ".join(FILL) + " " + " ".join(reversed(FILL))
+    own = [_text(i, "Kim X7 Zebulon", far, "zeb@mail.org", far, "kim.") for i in range(8)]
+    other = [_text(8, "(KIM, zebulon"), *(_text(i, far) for i in range(9, 60))]
+    got = _sanitised(spark, own + other)
+    for i in range(9):
+        assert not {"kim", "x7", "zebulon"} & set(got[i].lower().replace(".", " ").replace("(", " ").replace(",", " ").split())
+        assert far in got[i] or i == 8
+    assert all(got[i] == _text(i, far) for i in range(9, 60))
