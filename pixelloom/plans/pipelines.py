@@ -1,4 +1,4 @@
-"""Whole programs as plans over pixel tables: the palette matrix, DCT dominant colour, impression colour, and fusion."""
+"""Plans over pixel tables: the palette matrix, DCT dominant colour, and parts of fusion and impression colour (README: Missing)."""
 
 from __future__ import annotations
 
@@ -67,7 +67,7 @@ WEIGHTS = {"dct": 0.20, "lab_grad": 0.20, "local_light": 0.15, "local_sat": 0.10
 
 
 def fused(pixels: DataFrame, weights: dict[str, float] = WEIGHTS, filter_: FilterParams = FilterParams()) -> DataFrame:
-    """image_id, x, y, r, g, b, fuse: feature maps with dynamic weights, blended, filtered and stretched."""
+    """image_id, x, y, r, g, b, fuse: 7 of the reference's 19 maps with dynamic weights of our own, blended, filtered and stretched."""
     p = validated(filter_)
     m = saved(features(pixels), "features")
     used = [c for c, w in weights.items() if w]
@@ -84,7 +84,7 @@ def fused(pixels: DataFrame, weights: dict[str, float] = WEIGHTS, filter_: Filte
 
 
 def impression(pixels: DataFrame, k: int = 5) -> DataFrame:
-    """Palette of the fused foreground."""
+    """Palette weighed by the fused map; no foreground or background is computed."""
     return K.palette(fused(pixels), "kmeans", "RGB", k, weight=F.col("fuse"))
 
 
