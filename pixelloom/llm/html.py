@@ -34,12 +34,19 @@ SEED = 11
 PATH, LEAF, WORDS, MEASURES = 96, 24, 24, 8
 INPUT = PATH + LEAF + WORDS + MEASURES
 
-#: Comment, declaration, raw element with its content, or tag.
+#: Comment, declaration, script or style with its content (to the page's end if not closed), or tag.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|head|template|noscript|svg|math|iframe|object|canvas)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
+#: Elements whose content isn't text, if they are closed; those of other vocabularies can close themselves.
+SKIPPED = frozenset("template noscript svg math iframe object canvas".split())
+FOREIGN = frozenset(("svg", "math"))
+#: What a head can hold; any other tag ends it.
+IN_HEAD = frozenset("head base link meta title style script noscript template basefont bgsound noframes".split())
+#: Elements of a head whose content isn't text.
+HEAD_TEXT = frozenset(("title", "noframes"))
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,16 +87,39 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if stack[i][0] in SCOPES:
                 return
 
-    for m in MARKUP.finditer(page):
+    marks = list(MARKUP.finditer(page))
+    tags = [(m[3] or m[6] or "").lower() for m in marks]
+    skips = _skips(marks, tags)
+    until, head = 0, False
+    for k, m in enumerate(marks):
+        if k < until:
+            at = m.end()
+            continue
+        tag = tags[k]
+        shut = m[2] if m[3] else m[5]
+        if head and tag and tag not in IN_HEAD:
+            head = False
         if m.start() > at:
-            add(page[at : m.start()])
+            # text between a head's elements is the body's, unless it is blank or a title
+            between = page[at : m.start()]
+            if not head or (between.strip() and not (k and tags[k - 1] in HEAD_TEXT and tag in HEAD_TEXT)):
+                head = False
+                add(between)
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
         if not tag:
             if m[1]:
                 add(" ")
             continue
-        shut = m[2] if m[3] else m[5]
+        if tag == "head":
+            end()
+            head = not shut
+            continue
+        if k in skips:
+            until = skips[k]
+            add(" ")
+            continue
+        if head:
+            continue
         if tag == "a":
             in_link = 0 if shut else 1
         if tag in INLINE:
@@ -116,6 +146,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
+def _skips(marks: list, tags: list[str]) -> dict[int, int]:
+    """For each opening tag of a skipped element that is closed or closes itself, the number of the mark after its end."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for k, (m, tag) in enumerate(zip(marks, tags, strict=True)):
+        if tag not in SKIPPED:
+            continue
+        if m[2] if m[3] else m[5]:
+            if open_.get(tag):
+                out[open_[tag].pop()] = k + 1
+        elif tag in FOREIGN and m[0].endswith("/>"):
+            out[k] = k + 1
+        else:
+            open_.setdefault(tag, []).append(k)
+    return out
+
+
 class Vectors:
     """Block vectors; hashes of paths and words are remembered."""
 
