@@ -33,11 +33,14 @@ SAMPLE = 20_000
 PRIOR = 0.05
 THRESHOLD = 0.3
 STEM = (4, 8)
-FUZZY_FROM = 6
+#: Least letters of words, and of stems, that are found with an edit: a short stem with one would begin too many words.
+FUZZY_FROM, FUZZY_STEM = 4, 6
 WINDOW = 8
 #: Least likelihood ratio of a term's uses: about what the best of a million terms without meaning reaches.
 CHANCE = 28.0
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»‘]|[^\w\s]", re.UNICODE)
+#: Words with inner digits and signs are whole; PART cuts such a word into its letters.
+TOKEN = re.compile(r"(?:(?<!\d)\d++)?[^\W\d_](?:[^\W_]|['’](?=[^\W\d_])|[*@$!#+|_](?=[^\W_]))*|[\"“”„«»‘]|[^\w\s]", re.UNICODE)
+PART = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*", re.UNICODE)
 #: Words that address a person, words of reported speech, and marks of quotation.
 ADDRESS = frozenset("you your youre yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted tú ti tus".split())
 SPEECH = frozenset("said says wrote quote quoted called word term sagte schrieb dit écrit dijo escribió".split())
@@ -49,6 +52,8 @@ class Lexicon:
     """Entries (term, is a stem, weight) as a trie; ``match`` gives (weight, edits) of a word's best entry."""
 
     entries: list[tuple[str, bool, float]]
+    #: Words near an entry that aren't it misspelled, as their own labels show.
+    plain: frozenset = frozenset()
     children: list[dict[str, int]] = field(default_factory=list)
     ends: list[tuple[bool, float, int] | None] = field(default_factory=list)
 
@@ -83,7 +88,7 @@ class Lexicon:
         found = []
         for node, e in state:
             end = self.ends[node]
-            if end and (end[0] or not stems) and (e == 0 or end[2] >= FUZZY_FROM):
+            if end and (end[0] or not stems) and (e == 0 or end[2] >= (FUZZY_STEM if end[0] else FUZZY_FROM)):
                 found.append((-e, end[1]))
         return (lambda x: (x[1], -x[0]))(max(found)) if found else None
 
@@ -127,6 +132,11 @@ class Lexicon:
                 best = full
         if len(self.words) > 500_000 or len(self._steps) > 2_000_000:
             self.words.clear()
+        if not best and not word.isalpha():
+            # the whole first, as a letter may be disguised; then what stands between digits and signs
+            best = max((self.match(x) for x in PART.findall(word) if x != word and len(x) > 2), key=lambda x: (x[0] > 0, -x[1], x[0]), default=None)
+        if best and best[1] and word in self.plain:
+            best = None
         self.words[word] = out = best or (0.0, 0)
         return out
 
@@ -157,6 +167,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
 class Model:
     entries: list[tuple[str, bool, float]]
     weights: list[float] | None  # bias last
+    plain: frozenset = frozenset()
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -233,7 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             terms, stems, marks, uses = [], [], [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = Counter(t for t in TOKEN.findall((text or "").lower()) if len(t) >= STEM[0] and t[0].isalpha())
+                tokens = TOKEN.findall((text or "").lower())
+                tokens += [x for t in tokens if len(t) > 1 and not t.isalpha() for x in PART.findall(t) if x != t]
+                words = Counter(t for t in tokens if len(t) >= STEM[0])
                 cut: Counter = Counter()
                 for t, k in words.items():
                     for n in range(STEM[0], min(STEM[1], len(t) - 1) + 1):
@@ -248,17 +261,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     bad, good = F.col("toxic") == 1, F.col("toxic") != 1
     found = held.select("text", "toxic").mapInArrow(run, TERMS).groupBy("term", "stem").agg(F.count_if(bad).alias("bad"), F.count_if(good).alias("good"), F.sum(F.when(bad, F.col("uses")).otherwise(0)).alias("bad_uses"), F.sum(F.when(good, F.col("uses")).otherwise(0)).alias("good_uses"))
     # telling terms only: few, as each needs its share of the toxic documents
+    found = saved(found, "toxicity-terms")
     rows = found.where((F.col("bad") >= support) & (F.col("good") <= F.col("bad") / 2)).collect()
     entries = _choose(rows, toxic, clean)
-    vectors = feature_rows(held.withColumn("doc_id", F.col("toxic").cast("long")), entries).collect()
+    # words that clean documents use at least as often; few of them are near an entry
+    usual = found.where(~F.col("stem") & (F.col("good") >= 2) & (F.col("good") * float(toxic) >= F.col("bad") * float(clean)))
+    plain = frozenset(r.term for r in usual.select("term").mapInArrow(_near(entries), "term string").collect())
+    vectors = feature_rows(held.withColumn("doc_id", F.col("toxic").cast("long")), entries, plain).collect()
     x = np.array([list(r.features) for r in vectors])
     y = np.array([float(r.doc_id == 1) for r in vectors])
-    return Model(entries, _logistic(x, y))
+    return Model(entries, _logistic(x, y), plain)
 
 
-def feature_rows(docs: DataFrame, entries: list) -> DataFrame:
+def _near(entries: list):
+    """Of words, those an edit away from an entry."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(entries)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([t for t in batch.column(0).to_pylist() if lexicon.match(t)[1]], pa.string())], ["term"])
+
+    return run
+
+
+def feature_rows(docs: DataFrame, entries: list, plain: frozenset = frozenset()) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(entries, plain)
         for batch in batches:
             rows = [features(t, lexicon) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"])
@@ -274,7 +302,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         raise ValueError(f"docs already has a column {name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model.entries)
+        lexicon = Lexicon(model.entries, model.plain)
         at = names.index("text")
         for batch in batches:
             rows = np.array([features(t, lexicon) for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
