@@ -5,26 +5,29 @@ pairs with Jaccard similarity of at least 0.8:
 
 * Size bands. Sizes are cut at bounds that grow by RATIO; a set enters its own band and, if a partner could be
   there, the next one. In a band, linked sets differ by at most ``k = min(n / 4, (n + largest) / 9)`` elements.
-* Parity sketch. Each shingle belongs to one of the band's P buckets; a bucket holds the XOR of its shingles' hashes.
-  Every element of the symmetric difference changes one bucket, so the number of differing buckets (the sketches'
-  Hamming distance) is at most the symmetric difference.
-* Pigeonhole. Of a set's first E non-empty buckets (E > k) at most k differ from a linked set's: the rest agree.
-  (band, bucket, XOR) is the join key. A set with k or fewer non-empty buckets also enters its least 1/5 n + 1 shingles as keys
-  (prefix filter), which finds pairs of two such sets.
-* Links. Members of a key are compared with the key's first member, and then, where a key still spans
-  several components, with members drawn by hash. Components are joined after each round, so large groups of
-  near copies are joined by stars, not by all their pairs.
-* The rest, exactly. Keys of at most FEW members compare all pairs that lie in different components. A set of whose first
-  E buckets fewer than E - k are in larger keys has an agreeing bucket in a smaller key with each of its
-  partners, so nothing is lost. Only pairs of two sets that are mostly common text remain; in each group of
-  such sets, those outside the group's largest component are queries against the whole group, in blocks.
-
-Every candidate first meets the Hamming bound on whole parity sketches of at least as many bits as elements, a 64th of
-the sets' size; what is left is verified on the full shingle sets.
+* Parity sketch. Each shingle belongs to one of the band's buckets, by the leading bits of its hash; a bucket holds the XOR
+  of its shingles' hashes. Every element of the symmetric difference changes one bucket, so the number of differing
+  buckets (the sketches' Hamming distance) is at most the symmetric difference.
+* Pigeonhole. Of a set's m non-empty buckets at most k differ from a linked set's, so m - k at least agree: (band, bucket,
+  XOR) is the join key. A set with m <= k also enters its least n / 5 + 1 shingles as keys (prefix filter), which finds pairs of
+  two such sets.
+* Texts are read and shingled once for this. Tasks gather keys in chunks and send packed runs of them to buckets by range of
+  keys; a bucket returns the keys that several sets share. A key with more than FEW members is common. Where a
+  chunk has that many by itself, it sends one for all and returns the rest directly, so no bucket meets them all.
+* Links. Members of a key are compared with the key's first member; where a key still spans several components, those of
+  other keys are compared in all pairs between components, those of common keys with members drawn by hash.
+* The rest, exactly. A set with fewer than m - k common keys has an agreeing bucket in another key with each of its
+  partners, so nothing is lost. Only pairs of two sets that are mostly common text remain (fewer than k + 1 own buckets); in each
+  group of such sets, the bit sketches of those outside the group's largest component meet those of the whole group, in blocks.
+
+Candidates first meet the Hamming bound on parity sketches of one bit a bucket, with at least as many bits as elements;
+what is left is verified on the full shingle sets, made again from these sets' texts alone.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing (each its own component, repeated
 rows of one doc_id together); fewer than five words are one shingle; repeated rows are equal sets; rows with a null
-doc_id belong to classes but never name one, alone they have a null component.
+doc_id belong to classes but never name one, alone they have a null component; an empty table gives no rows. Very long texts
+are hashed in blocks (``words``). Other columns are carried by ``without_near_copies`` and ignored elsewhere, so
+their names can't clash. Ties: among equal texts the least doc_id counts.
 """
 
 from __future__ import annotations
@@ -34,62 +37,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved
-from .components import components
+from .common import release, saved, width
+from .components import components, moved
+from .words import mix, words_of
 
 WORDS = 5
 LINK, OF = 80, 100
 RATIO = 2.0
 BUCKETS = 0.36
-SPARE = 1.2
+#: More members make a key common.
 FEW = 32
-BLOCK = 64
-ROWS = 512
+#: Sets of a block that are compared with ROWS sets in a task.
+BLOCK, ROWS = 2048, 4096
+#: Keys of a chunk; chunks whose keys meet in a task.
+CHUNK, FAN = 1_500_000, 512
 #: Ids that may be broadcast: 8 bytes each, some megabytes in all. More are joined by shuffling.
 BROADCAST_IDS = 500_000
-
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words without visible pattern."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-#: Hashes of words that a worker remembers; emptied when full, which changes speed only.
-MEMORY = 250_000
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-_POWERS = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-
-
-def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles. Lower-casing bytes changes A-Z alone, and splitting them cuts at the six
-    white-space characters alone."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, len(h) if len(h) < size else size, np.uint64)
-    for k in range(min(size, len(h))):
-        out = mix(out + h[k : k + n] * _POWERS[k % len(_POWERS)])
-    return np.unique(out)
+#: The band of a key is its last BAND_BITS bits; keys have KEY_BITS.
+BAND_BITS, KEY_BITS = 5, 56
+
+_U = np.uint64
+_POWERS = [_U(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    h, cuts = words_of(texts)
+    runs = h[: max(0, len(h) - WORDS + 1)] * _POWERS[0]
+    for k in range(1, WORDS):
+        runs += h[k : k + len(runs)] * _POWERS[k]
+    runs = mix(runs)
+    ends = cuts.tolist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        if b - a >= WORDS:
+            s = np.sort(runs[a : b - WORDS + 1])
+            new = np.empty(len(s), bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield s[new]
+        elif b > a:
+            short = np.full(1, b - a, _U)
+            for k in range(a, b):
+                short = short * _POWERS[4] + h[k]
+            yield mix(short)
+        else:
+            yield h[:0]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.string())))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -105,7 +107,8 @@ def bands(most: int) -> list[int]:
     return out
 
 
-_BOUNDS = bands(1 << 40)
+#: Sets have fewer than 2^30 elements, so a band fits BAND_BITS bits.
+_BOUNDS = bands(1 << 30)
 
 
 def differ_most(n: int, largest: int) -> int:
@@ -113,9 +116,13 @@ def differ_most(n: int, largest: int) -> int:
     return min(n // 4, (n + largest) // 9)
 
 
+def _key(x: np.ndarray, band: int) -> np.ndarray:
+    return (mix(x) >> _U(64 - KEY_BITS + BAND_BITS)) << _U(BAND_BITS) | _U(band)
+
+
 def keys(s: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
     """(band, keys, spare): the join keys of a set in each band; spare is how many of them agree with any partner at
-    least (0: prefix keys, which guard themselves)."""
+    least (1 where the prefix keys guard the set)."""
     n, out = len(s), []
     if n < 4:
         return out  # a single differing element is too much already
@@ -126,151 +133,292 @@ def keys(s: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
             continue
         k = differ_most(n, high)
         count = max(2, math.ceil(1.25 * BUCKETS * low), math.ceil(differ_most(high, high) * 1.15) + 2)
-        where = (mix(s + np.uint64(band)) % np.uint64(count)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        ranked = where[order]
-        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        parity = np.bitwise_xor.reduceat(mix(s[order] * _M2), starts)
-        most = math.ceil(differ_most(high, high) * SPARE) + 1
-        bucket, parity = ranked[starts][:most], parity[:most]
-        out.append((band, mix(parity + mix(bucket.astype(np.uint64) + np.uint64(band << 32))), max(0, len(bucket) - k)))
+        where = ((s >> _U(32)) * _U(count)) >> _U(32)
+        first = np.empty(n, bool)
+        first[0] = True
+        np.not_equal(where[1:], where[:-1], out=first[1:])
+        starts = np.flatnonzero(first)
+        parity = np.bitwise_xor.reduceat(s * _POWERS[1], starts)
+        found = _key(parity + mix(where[starts] + _U(band << 32)), band)
         if len(starts) <= k:
-            prefix = s[: n - math.ceil(LINK * n / OF) + 1]
-            out.append((band, mix(prefix ^ np.uint64(0x5BF0_3635_0000_0000 + band)), 0))
+            found = np.concatenate([found, _key(s[: n - math.ceil(LINK * n / OF) + 1] ^ _U(0x5BF0_3635_0000_0000), band)])
+        out.append((band, found, max(1, len(starts) - k)))
     return out
 
 
-def intersection(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    return int(np.count_nonzero(b[at] == a))
+def sketch(s: np.ndarray) -> bytes:
+    """One bit for each element's hash, XORed: as many bits as elements at least, a power of two."""
+    bits = max(256, 1 << max(0, (len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference: the longer sketch is folded to the shorter one's length first."""
+    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if OF * min(len(a), len(b)) < LINK * max(len(a), len(b)):
+    if OF * min(len(a), len(b)) < LINK * max(len(a), len(b)) or not len(a):
         return False
-    both = intersection(a, b)
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int(np.count_nonzero(b[at] == a))
     return OF * both >= LINK * (len(a) + len(b) - both)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+# Rows that tasks send to buckets: documents (kind 0) and members of common keys (1) only pass, runs of keys (3) are met.
+SENT = "bucket int, chunk long, kind int, doc_id long, set_id long, n int, band int, own int, next int, runs int, blob binary"
+# What buckets return: documents (0), members of shared keys (1: key, set_id, common), pairs of a key's first member and another (2: key, set_id).
+MET = "kind int, key long, common boolean, doc_id long, set_id long, n int, band int, own int, next int, blob binary"
 
 
-SETS = "doc_id long, n_shingles long, set_id long"
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, size of its set, and the set's id (0: empty)."""
+def pack(k: np.ndarray, ids: np.ndarray, many: np.ndarray) -> bytes:
+    """Sorted keys, their members' set_ids, and whether a member stands for many."""
+    there, at = np.unique(ids, return_inverse=True)
+    head = np.array([len(k), len(there)], np.int64).tobytes()
+    return pa.compress(head + _planes(np.diff(k, prepend=_U(0))) + _planes((at.astype(np.uint32) << np.uint32(1)) | many) + there.tobytes(), codec="lz4", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(len(s), set_id(s)) for s in map(shingles, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["doc_id", "n_shingles", "set_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+def unpack(blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob, decompressed_size=size, codec="lz4", asbytes=True)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 16).reshape(8, n).T).view(_U).reshape(-1)
+    at = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 16 + 8 * n).reshape(4, n).T).view(np.uint32).reshape(-1)
+    there = np.frombuffer(raw, np.int64, m, 16 + 12 * n)
+    return np.cumsum(gaps, dtype=_U), there[at >> np.uint32(1)], (at & np.uint32(1)).astype(bool)
+
 
+def _size(k: np.ndarray, ids: np.ndarray) -> int:
+    return 16 + 12 * len(k) + 8 * len(np.unique(ids))
 
-KEYS = "key long, set_id long"
 
+def grouped(k: np.ndarray, ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct members in the order of keys and set_ids, and where each key starts."""
+    order = np.lexsort((ids, k))
+    k, ids, many = k[order], ids[order], many[order]
+    fresh = np.empty(len(k), bool)
+    fresh[:1] = True
+    fresh[1:] = (k[1:] != k[:-1]) | (ids[1:] != ids[:-1])
+    if not fresh.all():
+        starts = np.flatnonzero(fresh)
+        k, ids, many = k[starts], ids[starts], np.logical_or.reduceat(many, starts)
+    fresh = np.empty(len(k), bool)
+    fresh[:1] = True
+    fresh[1:] = k[1:] != k[:-1]
+    return k, ids, many, np.flatnonzero(fresh)
 
-def key_rows(docs: DataFrame) -> DataFrame:
-    """(key, set_id) of every set; a task enters a set once, however many copies it has there."""
+
+def folded(k: np.ndarray, ids: np.ndarray, many: np.ndarray) -> tuple[tuple, tuple]:
+    """Members with those of each key that has more than FEW folded into the least; and all members of such keys."""
+    k, ids, many, starts = grouped(k, ids, many)
+    sizes = np.diff(starts, append=len(k))
+    if not (sizes > FEW).any():
+        return (k, ids, many), (k[:0], ids[:0])
+    hot = np.repeat(sizes > FEW, sizes)
+    first = np.zeros(len(k), bool)
+    first[starts] = True
+    keep = ~hot | first
+    return (k[keep], ids[keep], (many | hot)[keep]), (k[hot], ids[hot])
+
+
+def _rows(schema: str, size: int, /, **columns) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    names = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[t]) if c in columns else pa.nulls(size, kinds[t]) for c, t in names], [c for c, _ in names])
+
+
+def _sent(chunk: int, buckets: int, k: np.ndarray, ids: np.ndarray, many: np.ndarray, passing: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's runs for each bucket, and its common keys' members."""
+    (k, ids, many), (hot, of) = folded(k, ids, many)
+    ends = np.searchsorted(_bucket(k, buckets), np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        at = slice(ends[b], ends[b + 1])
+        yield _rows(SENT, 1, bucket=[b], chunk=[chunk], kind=[3], runs=[_size(k[at], ids[at])], blob=[pack(k[at], ids[at], many[at])])
+    for at in range(0, len(hot), CHUNK):
+        part = slice(at, at + CHUNK)
+        none = np.zeros(len(hot[part]), bool)
+        yield _rows(SENT, 1, bucket=[passing], chunk=[chunk], kind=[1], runs=[_size(hot[part], of[part])], blob=[pack(hot[part], of[part], none)])
+
+
+def _bucket(k: np.ndarray, buckets: int) -> np.ndarray:
+    return (((k >> _U(KEY_BITS - 32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+
+
+def sketched(docs: DataFrame, buckets: int) -> DataFrame:
+    """SENT rows of documents (doc_id, text). A chunk enters a set once, however many copies it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        task = TaskContext.get().partitionId()
+        chunk, passing = task << 24, -1 - task
+        seen, ks, of, total = set(), [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ks, ids = [], []
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    s = shingles(text)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids, ns, bits, where, own, after = [], [], [], [], [], []
+                for s in shingle_sets(part.column(1)):
                     i = set_id(s)
-                    if i in seen:
-                        continue
+                    spare = {}
+                    found = keys(s)
+                    for band, k, least in found:
+                        spare[band] = least
+                        if i not in seen:
+                            ks.append(k)
+                            of.append((i, len(k)))
+                            total += len(k)
                     seen.add(i)
-                    for _, k, _ in keys(s):
-                        ks.append(k)
-                        ids.append(np.full(len(k), i, np.int64))
-                if ks:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(ks))), pa.array(np.concatenate(ids))], ["key", "set_id"])
+                    band = found[0][0] if found else 0
+                    ids.append(i)
+                    ns.append(len(s))
+                    bits.append(sketch(s))
+                    where.append(band)
+                    own.append(spare.get(band))
+                    after.append(spare.get(band + 1))
+                n = part.num_rows
+                yield _rows(SENT, n, bucket=np.full(n, passing, np.int32), kind=np.zeros(n, np.int32), doc_id=part.column(0).cast(pa.int64()), set_id=ids, n=ns, band=where, own=own, next=after, blob=bits)
+                if total >= CHUNK:
+                    yield from _sent(chunk, buckets, np.concatenate(ks), _repeated(of), np.zeros(total, bool), passing)
+                    chunk, seen, ks, of, total = chunk + 1, set(), [], [], 0
+        if total:
+            yield from _sent(chunk, buckets, np.concatenate(ks), _repeated(of), np.zeros(total, bool), passing)
 
-    return docs.select("text").mapInArrow(run, KEYS)
+    return docs.select("doc_id", "text").mapInArrow(run, SENT)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """One bit for each element's hash, XORed: as many bits as elements at least, a power of two."""
-    words = max(4, 1 << max(0, (len(s) - 1).bit_length() - 6))
-    out = np.zeros(words, np.uint64)
-    h = mix(s + np.uint64(99))
-    np.bitwise_xor.at(out, ((h >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out.tobytes()
+def _repeated(of: list[tuple[int, int]]) -> np.ndarray:
+    return np.repeat(np.array([i for i, _ in of], np.int64), [n for _, n in of])
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference: the longer sketch is folded to the shorter one's length first."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) < len(y):
-        x, y = y, x
-    if len(x) > len(y):
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+def _runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = [unpack(b, n) for b, n in zip(t.column("blob").to_pylist(), t.column("runs").to_pylist(), strict=True)]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _folded_again(buckets: int):
+    """Runs of up to FAN chunks become one, with common keys folded, so that a bucket meets few runs."""
 
+    def run(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        if bucket < 0:
+            return t
+        chunk = t.column("chunk")[0].as_py()
+        return pa.Table.from_batches(_sent(chunk, buckets, *_runs(t), -1 - bucket))
+
+    return run
+
+
+def _met(t: pa.Table) -> pa.Table:
+    """What a bucket's keys share."""
+    schema = _rows(MET, 0).schema
+    if t.column("bucket")[0].as_py() < 0:
+        out = []
+        for batch in t.to_batches():
+            docs = batch.filter(pc.equal(batch.column("kind"), 0))
+            out.append(_rows(MET, docs.num_rows, **{c: docs.column(c) for c in ("kind", "doc_id", "set_id", "n", "band", "own", "next", "blob")}))
+            hot = batch.filter(pc.equal(batch.column("kind"), 1))
+            for b, n in zip(hot.column("blob").to_pylist(), hot.column("runs").to_pylist(), strict=True):
+                k, ids, _ = unpack(b, n)
+                out.append(_rows(MET, len(k), kind=np.ones(len(k), np.int32), key=k.view(np.int64), common=np.ones(len(k), bool), set_id=ids))
+        return pa.Table.from_batches(out, schema)
+    k, ids, many, starts = grouped(*_runs(t))
+    sizes = np.diff(starts, append=len(k))
+    common = np.logical_or.reduceat(many, starts) | (sizes > FEW)
+    # of keys that aren't common and have the same members, one is enough
+    sign = np.add.reduceat(mix(ids.view(_U)), starts) + sizes.astype(_U)
+    plain = np.flatnonzero(~common & (sizes > 1))
+    one = np.zeros(len(starts), bool)
+    one[plain[np.unique(sign[plain], return_index=True)[1]]] = True
+    rows = np.repeat(one | common, sizes)
+    n = int(rows.sum())
+    out = [_rows(MET, n, kind=np.ones(n, np.int32), key=k[rows].view(np.int64), common=np.repeat(common, sizes)[rows], set_id=ids[rows])]
+    pairs = np.repeat(one, sizes)
+    pairs[starts] = False
+    # a key's members are in order of set_id: the first is the least
+    a, b = np.repeat(ids[starts], sizes)[pairs], ids[pairs]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out.append(_rows(MET, int(new.sum()), kind=np.full(int(new.sum()), 2, np.int32), key=a[new], set_id=b[new]))
+    return pa.Table.from_batches(out, schema)
+
+
+def met(docs: DataFrame) -> DataFrame:
+    """MET rows of documents (doc_id, text), saved."""
+    parts = docs.rdd.getNumPartitions()
+    buckets = max(width(docs.sparkSession), 2 * parts)
+    sent, groups = sketched(docs, buckets), parts
+    while groups > FAN:
+        groups = -(-groups // FAN)
+        sent = sent.groupBy("bucket", F.pmod(F.xxhash64("chunk"), F.lit(groups))).applyInArrow(_folded_again(buckets), SENT)
+    out = saved(sent.groupBy("bucket").applyInArrow(_met, MET), "met-keys")
+    release(docs.sparkSession)
+    return out
 
-FULL = "set_id long, n long, sketch binary, shingles binary"
 
+FULL = "set_id long, shingles binary"
 
-def full_sets(docs: DataFrame, wanted: DataFrame, firsts: DataFrame) -> DataFrame:
-    """set_id, n, sketch, shingles of the wanted set_ids, from the text of each set's first document."""
-    # ids alone: a few megabytes may be broadcast, more are joined by shuffling
-    ids = firsts.join(wanted, "set_id", "left_semi").where("doc_id is not null").select("doc_id", "set_id")
-    side = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_id and shingles of the wanted sets (doc_id, set_id), from the text of each set's first document."""
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select("doc_id", "text").join(side, "doc_id").select("set_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, ns, bits, raw = [], [], [], []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    s = shingles(text)
-                    if set_id(s) == i:  # repeated doc_ids may have other texts
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids, raw, there = [], [], set()
+                for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
+                    if i not in there and set_id(s) == i:  # repeated doc_ids may have other texts
+                        there.add(i)
                         ids.append(i)
-                        ns.append(len(s))
-                        bits.append(sketch(s))
                         raw.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(bits, pa.binary()), pa.array(raw, pa.binary())], ["set_id", "n", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["set_id", "shingles"])
 
     # repeated rows may give a set twice, which gives links twice
-    return texts.mapInArrow(run, FULL)
+    return saved(texts.mapInArrow(run, FULL), "full-sets")
 
 
-def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set_ids that are linked."""
-    size = full.select("set_id", "n", "sketch")
-    left = size.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    right = size.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    fit = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * OF >= F.greatest("na", "nb") * LINK)
+def _good(test):
+    """Keeps the rows (a, b, ...) that pass a test of the other columns."""
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in range(2, 6))
-            good = [9 * apart(p, q) <= m + n for m, n, p, q in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                good = [test(*row) for row in zip(*(part.column(c).to_pylist() for c in range(2, part.num_columns)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    near = saved(fit.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(bounded, "a long, b long").distinct(), "near-pairs")
+    return run
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    needed = saved(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "near-sets")
-    side = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    keep = full.join(side, "set_id", "left_semi").select("set_id", "shingles")
-    x, y = (keep.select(F.col("set_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    return near.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+def _sides(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the columns of both sets."""
+    a, b = (rows.select(F.col("set_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k in "ab")
+    return pairs.join(a, "a").join(b, "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of set_ids that are linked, saved."""
+    fit = _sides(pairs, sets, "n", "sketch").where(F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * LINK)
+    near = saved(fit.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_good(lambda m, n, p, q: 9 * apart(p, q) <= m + n), "a long, b long"), "near-pairs")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    full = full_sets(docs, saved(sets.join(wanted, "set_id", "left_semi").where("doc_id is not null").select("doc_id", "set_id"), "near-sets"))
+    sides = _sides(near, full, "shingles").select("a", "b", "shingles_a", "shingles_b")
+    out = saved(sides.mapInArrow(_good(lambda p, q: linked(np.frombuffer(p, _U), np.frombuffer(q, _U))), "a long, b long"), "links")
+    release(docs.sparkSession)
+    return out
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, column: str = "set_id") -> DataFrame:
@@ -279,130 +427,113 @@ def _rooted(rows: DataFrame, roots: DataFrame, column: str = "set_id") -> DataFr
     return rows.join(r, rows[column] == r["_id"], "left").withColumn("root", F.coalesce("_root", column)).drop("_id", "_root")
 
 
-def set_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Links (a, b) between set_ids, enough that components are those of all links."""
-    spark = docs.sparkSession
-    by_key = Window.partitionBy("key")
-    # dealt out by key once: rows are made distinct and counted where they arrive
-    dup = saved(key_rows(docs).repartition("key").distinct().withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1"), "shared-keys")
-    release(spark)
-    if dup.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
-    full = saved(full_sets(docs, dup.select("set_id").distinct(), firsts), "full-sets")
-
-    def star(rows: DataFrame, salt: int | None) -> DataFrame:
-        """Members with their key's first member (or one drawn by hash), where components differ."""
-        order = F.col("set_id") if salt is None else F.xxhash64("set_id", "key", F.lit(salt))
-        heads = rows.groupBy("key").agg(F.min_by(F.struct("set_id", "root"), order).alias("head"))
-        out = rows.join(heads, "key").where("root <> head.root").select(F.least("set_id", "head.set_id").alias("a"), F.greatest("set_id", "head.set_id").alias("b"))
-        return out.distinct()
-
-    links: DataFrame = spark.createDataFrame([], "a long, b long")
-    tried: DataFrame | None = None
-    rows, roots = dup.withColumn("root", F.col("set_id")), None
-    for salt in (None, 1, 2):
-        pairs = star(rows, salt)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "stars")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = links.unionByName(saved(verified(pairs, full), "links"))
-        roots = saved(components(links), "roots")
-        placed = _rooted(dup, roots)
-        span = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
-        rows = saved(placed.join(span, "key", "left_semi"), "open-keys")
-        if rows.isEmpty():
-            return links
-    # keys of few members: all pairs between components
-    few = rows.where(F.col("members") <= FEW).groupBy("key").agg(F.collect_list(F.struct("set_id", "root")).alias("m"))
-    pairs = few.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).where("p.root < q.root").select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b")).distinct()
-    links = links.unionByName(saved(verified(saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), full), "links"))
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def set_roots(found: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, root) of the sets that have links; root is one of the component's sets."""
+    members = found.where("kind = 1").select("key", "set_id", "common")
+    pairs = found.where("kind = 2").select(F.col("key").alias("a"), F.col("set_id").alias("b"))
+    common = members.where("common").select("key", "set_id").distinct()
+
+    def stars(rows: DataFrame, order) -> DataFrame:
+        heads = rows.groupBy("key").agg(F.min_by("set_id", order).alias("head"))
+        return rows.join(heads, "key").where("set_id <> head").select(*_ordered("set_id", "head"))
+
+    first = saved(pairs.unionByName(stars(common, F.col("set_id"))).distinct(), "first-pairs")
+    roots = components(verified(first, sets, docs))
+    # keys that still span components
+    placed = _rooted(members, roots)
+    span = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = saved(placed.join(span, "key", "left_semi").distinct(), "open-keys")
+    few = rows.where("not common").groupBy("key").agg(F.collect_list(F.struct("set_id", "root")).alias("m"))
+    few = few.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).where("p.root < q.root").select(*_ordered("p.set_id", "q.set_id"))
+    open_common = rows.where("common").select("key", "set_id")
+    drawn = [stars(open_common, F.xxhash64("set_id", F.lit(salt))) for salt in (1, 2)]
+    second = saved(few.unionByName(drawn[0]).unionByName(drawn[1]).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
+    if not second.isEmpty():
+        roots = moved(roots, components(_between(verified(second, sets, docs), roots)))
     # sets that may have partners they share common keys with only
-    common = dup.where(F.col("members") > FEW)
-    if common.isEmpty():
-        return links
-    poor = poor_sets(full.join(common.select("set_id").distinct(), "set_id", "left_semi"), common)
-    poor = saved(poor, "poor-sets")
+    spare = F.when(F.col("key").bitwiseAND((1 << BAND_BITS) - 1) == F.col("band"), F.col("own")).otherwise(F.col("next"))
+    counted = open_common.groupBy("set_id", F.col("key").bitwiseAND((1 << BAND_BITS) - 1).alias("key")).agg(F.count(F.lit(1)).alias("n_common"))
+    poor = saved(counted.join(sets.select("set_id", "band", "own", "next"), "set_id").where(F.col("n_common") >= spare).select("set_id").distinct(), "poor-sets")
     if poor.isEmpty():
-        return links
-    held = common.join(poor.select("set_id"), "set_id", "left_semi")
+        return roots
+    held = open_common.join(poor, "set_id", "left_semi")
     heads = held.groupBy("key").agg(F.min("set_id").alias("b"))
     groups = components(held.join(heads, "key").select(F.col("set_id").alias("a"), "b").distinct())
-    roots = components(links)
-    members = saved(_rooted(groups.select(F.col("id").alias("set_id"), F.col("root").alias("grp")), roots), "poor-groups")
-    return links.unionByName(saved(block_links(members, full), "links"))
+    grouped_sets = saved(_rooted(groups.select(F.col("id").alias("set_id"), F.col("root").alias("grp")), roots), "poor-groups")
+    last = saved(block_pairs(grouped_sets, sets).distinct(), "last-pairs")
+    if last.isEmpty():
+        return roots
+    return moved(roots, components(_between(verified(last, sets, docs), roots)))
 
 
-def poor_sets(full: DataFrame, common: DataFrame) -> DataFrame:
-    """set_ids of which, in some band, as many buckets are common as are sure to agree."""
-    listed = common.groupBy("set_id").agg(F.collect_set("key").alias("common"))
+def _between(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links drawn between the roots of what they join."""
+    out = _rooted(links, roots, "a").select(F.col("root").alias("a"), "b")
+    return _rooted(out, roots, "b").select("a", F.col("root").alias("b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, raw, found in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                hot = np.array(found, np.int64)
-                if any(spare == 0 or np.isin(_signed(k), hot).sum() >= spare for _, k, spare in keys(np.frombuffer(raw, np.uint64))):
-                    out.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["set_id"])
-
-    return full.join(listed, "set_id").select("set_id", "shingles", "common").mapInArrow(run, "set_id long")
-
-
-def block_links(members: DataFrame, full: DataFrame) -> DataFrame:
-    """members: set_id, grp, root. Links between components: those outside the group's largest component against the
-    whole group, BLOCK of them by ROWS of it in a task."""
-    parts = members.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    rows = members.join(largest, "grp").join(full, "set_id")
+
+def block_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members: set_id, grp, root. Pairs between components that pass the sketch bound: those outside the group's largest
+    component against the whole group, BLOCK of them by ROWS of it in a task. Sketches alone are copied, not sets."""
+    parts = members.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("grp").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("others")).where("others > 0")
+    rows = members.join(largest, "grp").join(sets.select("set_id", "n", "sketch"), "set_id")
     blocks, slices = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("all") / ROWS).cast("int")
     mine = lambda n, salt: F.pmod(F.xxhash64("set_id", F.lit(salt)), n).cast("int")
-    asked = rows.where("root <> largest").select("grp", "set_id", "root", "shingles", F.lit(True).alias("asks"), mine(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
-    held = rows.select("grp", "set_id", "root", "shingles", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), mine(slices, 2).alias("slice"))
+    what = ["grp", "set_id", "root", "n", "sketch"]
+    asked = rows.where("root <> largest").select(*what, F.lit(True).alias("asks"), mine(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    held = rows.select(*what, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), mine(slices, 2).alias("slice"))
 
     def run(t: pa.Table) -> pa.Table:
-        got = [(i, r, np.frombuffer(s, np.uint64), q) for i, r, s, q in zip(*(t.column(c).to_pylist() for c in ("set_id", "root", "shingles", "asks")), strict=True)]
-        ask, have = [g for g in got if g[3]], [g for g in got if not g[3]]
+        asks = np.array(t.column("asks").to_pylist(), bool)
+        ids, roots, n = (t.column(c).to_numpy().astype(np.int64) for c in ("set_id", "root", "n"))
+        raw = t.column("sketch").to_pylist()
+        sizes = np.array([len(r) for r in raw])
         a, b = [], []
-        bits = sketches([g[2] for g in have])
-        sizes = np.array([len(g[2]) for g in have])
-        root = np.array([g[1] for g in have])
-        for i, r, s, _ in ask:
-            n = len(s)
-            apart = np.bitwise_count(bits ^ sketches([s])).sum(1)
-            low, high = np.minimum(sizes, n), np.maximum(sizes, n)
-            near = (root != r) & (OF * low >= LINK * high) & (9 * apart.astype(np.int64) <= sizes + n)
-            for k in np.flatnonzero(near):
-                if linked(s, have[k][2]):
-                    a.append(i)
-                    b.append(have[k][0])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for x in np.unique(sizes[asks]):
+            for y in (x // 2, x, 2 * x):
+                ask, have = np.flatnonzero(asks & (sizes == x)), np.flatnonzero(~asks & (sizes == y))
+                if not len(ask) or not len(have):
+                    continue
+                w = min(x, y) // 8
+                p, q = (_folded_bits(raw, at, w) for at in (ask, have))
+                for i, bits in zip(ask, p, strict=True):
+                    far = np.bitwise_count(q ^ bits).sum(1, dtype=np.int64)
+                    small, large = np.minimum(n[have], n[i]), np.maximum(n[have], n[i])
+                    near = have[(roots[have] != roots[i]) & (OF * small >= LINK * large) & (9 * far <= small + large)]
+                    a.append(np.full(len(near), ids[i]))
+                    b.append(ids[near])
+        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return asked.unionByName(held).groupBy("grp", "block", "slice").applyInArrow(run, "a long, b long")
 
 
-def sketches(found: list[np.ndarray], words: int = 16) -> np.ndarray:
-    """Parity sketches of 64 * words bits, a row each: their Hamming distance is at most the symmetric difference."""
-    out = np.zeros((len(found), words), np.uint64)
-    for row, s in zip(out, found, strict=True):
-        h = mix(s + np.uint64(99))
-        np.bitwise_xor.at(row, (h >> np.uint64(6)).astype(np.int64) % words, np.uint64(1) << (h & np.uint64(63)))
-    return out
+def _folded_bits(raw: list[bytes], at: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of one length as rows of so many words."""
+    bits = np.frombuffer(b"".join(raw[i] for i in at), _U).reshape(len(at), -1, words)
+    return np.bitwise_xor.reduce(bits, axis=1)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id of every row."""
-    held = saved(sets(docs), "sets")
-    firsts = held.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    firsts = saved(firsts, "first-documents")
-    roots = components(set_links(docs.select("doc_id", "text"), firsts))
-    placed = _rooted(firsts.where("doc_id is not null"), roots)
-    # the least doc_id of a component of sets, for every set that has links
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = met(docs)
+    held = found.where("kind = 0")
+    sets = held.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "band", "own", "next")), F.first("blob").alias("sketch"))
+    sets = saved(sets, "sets")
+    roots = set_roots(found, sets, docs)
+    placed = _rooted(sets.where("doc_id is not null").select("set_id", "doc_id"), roots)
+    # the least doc_id of a component of sets; a hot component is one group of sums, not of rows
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = saved(placed.join(least, "root").select(F.col("set_id").alias("_set"), "component_id"), "class-names")
     # one row a set: sets are joined by id, empty ones not at all; a set of thousands of copies is split by AQE
-    out = held.join(names, held["set_id"] == names["_set"], "left").drop("_set")
-    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
+    out = held.join(names, (held["set_id"] == names["_set"]) & (held["n"] > 0), "left").drop("_set")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "set_id")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
