@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .tokens import encoder
+from .tokens import encoder, parts, spread
 
 CAPACITY = 4096
 END = 1
@@ -45,18 +45,25 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     """A row for each piece of each document: where it starts, how long it is, and the checksum of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, step = encoder(vocabulary, cut).encode, np.array([end], "<u4").tobytes(), 4 * capacity
+        column = encoder(vocabulary, cut).column
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part, out = batch.slice(at, 1024), ([], [], [], [], [])
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = memoryview(encode(text or "") + last)
-                    for k, a in enumerate(range(0, len(ids), step)):
-                        piece = ids[a : a + step]
-                        for col, v in zip(out, (doc, k, a // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
-                            col.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+            for part in parts(batch, 1):
+                ids, cuts = column(part.column(1))
+                raw, last = memoryview(ids.astype("<u4")).cast("B"), np.array([end], "<u4").tobytes()
+                # a document's ids and its end, in pieces of at most capacity
+                size = np.diff(cuts) + 1
+                many = -(-size // capacity)
+                row = np.repeat(np.arange(part.num_rows), many)
+                number = spread(np.zeros(part.num_rows, np.int64), many)
+                start = number * capacity
+                length = np.minimum(size[row] - start, capacity)
+                first = cuts[row] + start
+                # the last piece has the end, which isn't among the ids
+                final = number == many[row] - 1
+                crc = [zlib.crc32(last, zlib.crc32(raw[4 * a : 4 * (a + n - 1)])) if f else zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n, f in zip(first.tolist(), length.tolist(), final.tolist(), strict=True)]
+                columns = [part.column(0).take(pa.array(row)), number.astype(np.int32), start, length, crc]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

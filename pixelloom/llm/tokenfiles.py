@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 from .ordered import in_order
-from .tokens import encoder
+from .tokens import encoder, parts
 
 END = 2
 FILE_SCHEMA = "part int, seq long, doc_id long, ids array<int>"
@@ -42,17 +42,16 @@ def write(docs: DataFrame, vocabulary: str, path: str, cut: str = "bytes", end:
     rows, _ = in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seq, last = encoder(vocabulary, cut).encode, 0, np.array([end], "<u4").tobytes()
+        column, seq = encoder(vocabulary, cut).column, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [encode(t or "") + last for t in part.column(1).to_pylist()]
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            for part in parts(batch, 1):
+                ids, cuts = column(part.column(1))
                 n = part.num_rows
+                # each text's ids move on by the ends before them
+                values = np.full(len(ids) + n, end, np.uint32)
+                values[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(cuts))] = ids
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2).cast(pa.int32()), pa.array(np.arange(seq, seq + n)), part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                    [part.column(2).cast(pa.int32()), pa.array(np.arange(seq, seq + n)), part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array((cuts + np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int32)))],
                     ["part", "seq", "doc_id", "ids"],
                 )
                 seq += n

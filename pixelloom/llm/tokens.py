@@ -1,41 +1,100 @@
 """Token ids of public tokenizers, encoded fast: a text is cut where the tokenizer's own pre-tokenizer always cuts
-it, and each distinct piece is encoded once and remembered.
+it, and each distinct piece of a column is encoded once and remembered.
 
 ``words`` (white space is dropped, letters lower-cased) cuts at white space. ``bytes`` cuts before single spaces, which
 go with what follows; a text with two spaces in a row isn't cut. Cuts are only used in texts of characters for
-which this holds beyond doubt (``PLAIN``); any other text is encoded whole. The memory of pieces is emptied when
+which this holds beyond doubt (``PLAIN``); any other text is encoded whole. Cutting, finding the distinct pieces of a column and
+putting ids together are array operations; the library encodes what a worker hasn't met. The memory of pieces is emptied when
 it is full, which changes speed only.
 
-Strings of special tokens in a text count as ordinary text.
+Strings of special tokens in a text count as ordinary text. Null and empty texts have no ids. Texts of any length are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Printable ASCII, tab, newline, carriage return, and printable Latin letters and signs (no other white space, and
-#: not the one letter whose lower-case form is two characters).
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-‧€]*\Z").match
-MEMORY = 1_000_000
-
+#: What is not printable ASCII, tab, newline, carriage return, or a printable Latin letter or sign (other white space, and
+#: the one letter whose lower-case form is two characters).
+NOT_PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
+MEMORY = 600_000
+#: Bytes of text that are encoded at once, about.
+PART = 6 << 20
+#: Pieces that are encoded as one text.
+JOINED = 500
+
+
+class _Known:
+    """Pieces that a worker has met, by number, and their ids in one array."""
+
+    def __init__(self, model: Tokenizer, spaced: bool) -> None:
+        self.model, self.spaced = model, spaced
+        # where pieces begin with a space, ids that begin with one show where they begin
+        self.spaced_id = np.array([(model.id_to_token(i) or "").startswith("\u0120") for i in range(model.get_vocab_size())])
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.used, self.ends = np.zeros(1 << 16, np.uint32), 0, np.zeros(1, np.int64)
+
+    def add(self, pieces: list[str]) -> None:
+        """Encodes pieces, JOINED of them as one text; those whose cuts wouldn't hold there (alone) each for itself."""
+        glue = "" if self.spaced else " "
+        alone = [k for k, p in enumerate(pieces) if self.spaced and (p[:1] != " " or p == " ")]
+        there = set(alone)
+        together = [k for k in range(len(pieces)) if k not in there] if alone else range(len(pieces))
+        runs = [together[at : at + JOINED] for at in range(0, len(together), JOINED)]
+        texts = [glue.join([pieces[k] for k in run]) for run in runs] + [pieces[k] for k in alone]
+        size, where, flat = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), []
+        found = self.model.encode_batch(texts, add_special_tokens=False)
+        at = 0
+        for run, e in zip([*runs, *([k] for k in alone)], found, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            flat.append(ids)
+            if len(run) == 1:
+                counts = np.array([len(ids)])
+            elif self.spaced:
+                counts = np.diff(np.flatnonzero(self.spaced_id[ids]), append=len(ids))
+            else:
+                lengths = np.fromiter(map(len, (pieces[k] for k in run)), np.int64, len(run)) + len(glue)
+                starts = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
+                counts = np.bincount(np.searchsorted(np.cumsum(lengths) - lengths, starts, "right") - 1, minlength=len(run))
+            size[run] = counts
+            where[run] = at + np.cumsum(counts) - counts
+            at += len(ids)
+        ids = np.concatenate(flat)[spread(where, size)]
+        end = self.used + len(ids)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used : end] = ids
+        self.ends = np.concatenate([self.ends, self.used + np.cumsum(size)])
+        self.used = end
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The pieces (distinct) by number; those that aren't known are encoded first."""
+        if len(self.number) + len(pieces) > MEMORY:
+            self.clear()
+        new = [p for p in pieces if p not in self.number]
+        if new:
+            self.add(new)
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
 
-class _Known(dict):
-    """Ids of pieces; a piece that isn't there is encoded."""
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after another, and how many each has."""
+        size = np.diff(self.ends)[numbers]
+        return self.flat[spread(self.ends[numbers], size)], size
 
-    def __init__(self, model: Tokenizer, before: str = "") -> None:
-        super().__init__()
-        self.model, self.before = model, before
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.model.encode(self.before + piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= MEMORY:
-            self.clear()
-        self[piece] = ids
-        return ids
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of all runs, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 class Encoder:
@@ -44,18 +103,61 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.cut = cut
-        self.first, self.later = _Known(self.model), _Known(self.model, " ")
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        if not PLAIN(text) or (self.cut == "bytes" and "  " in text):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known = _Known(self.model, cut == "bytes")
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids of one text."""
+        return self.column(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the places where each text's begin (one more than texts)."""
+        texts = texts.fill_null("")
+        whole = np.asarray(pc.match_substring_regex(texts, NOT_PLAIN))
+        if self.cut == "bytes":
+            whole = whole | np.asarray(pc.match_substring(texts, "  "))
+        size = np.zeros(len(texts), np.int64)
+        cut_ids, size[~whole] = self._cut(texts.filter(pa.array(~whole)))
+        if not whole.any():
+            return cut_ids, np.concatenate([[0], np.cumsum(size)])
+        found = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        size[whole] = [len(f) for f in found]
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(cuts[-1], np.uint32)
+        out[spread(cuts[:-1][~whole], size[~whole])] = cut_ids
+        out[spread(cuts[:-1][whole], size[whole])] = np.concatenate(found)
+        return out, cuts
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of texts that may be cut."""
         if self.cut == "words":
-            return b"".join(map(self.first.__getitem__, text.lower().split()))
-        head, *rest = text.split(" ")
-        return b"".join([self.first[head] if head else b"", *map(self.later.__getitem__, rest)])
+            lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(texts)))
+        else:
+            lists = pc.split_pattern(texts, " ")
+        counts = np.diff(np.asarray(lists.offsets))
+        coded = lists.flatten().dictionary_encode()
+        pieces, code = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        first = np.cumsum(counts) - counts
+        if self.cut == "bytes":
+            # a text's first piece has no space before it
+            heads = pc.take(coded, pa.array(first)).dictionary_decode().dictionary_encode()
+            code = code.copy()
+            code[first] = np.asarray(heads.indices) + len(pieces)
+            later = [" " + p for p in pieces]
+            number = {p: k for k, p in enumerate(later)}
+            # a first piece may itself begin with a space: the empty one before it has no ids
+            own = [number.setdefault(p, len(number)) for p in heads.dictionary.to_pylist()]
+            code = np.concatenate([np.arange(len(later)), np.array(own, np.int64)])[code]
+            pieces = list(number)
+        ids, size = self.known.ids(self.known.numbers(pieces)[code])
+        return ids, np.add.reduceat(np.append(size, 0), first) * (counts > 0) if len(first) else np.zeros(0, np.int64)
+
+
+def parts(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
+    """A batch cut into runs of rows whose texts have about PART bytes; a longer text is a run of its own."""
+    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // PART
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    return [batch.slice(a, b - a) for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True)]
 
 
 _open: dict[tuple[str, str], Encoder] = {}
