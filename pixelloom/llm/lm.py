@@ -1,441 +1,295 @@
 """LM scoring: a probabilistic suffix tree over words.
 
-A text is its words (A-Z lower-cased) and an end. The tree holds contexts, the last one to DEPTH words, with counts of
-next words. Level by level, a string of words is counted only if its parts were kept, and kept if it occurs LEAST times in
-the training texts, however many those are: the tree grows with the corpus. A context is retained if the divergence test
-finds a next word, likely enough after it, whose probability differs from that after the context without its first word by
-the factor FAR. Suffixes of retained contexts are retained.
+A text is its words (A-Z lower-cased) and an end; its start counts as a word that is never predicted. The tree holds contexts,
+the last one to DEPTH words, with counts of next words. Level by level, a string of words is counted only if its parts were
+kept, and kept if it occurs LEAST times in the training texts, however many those are: the tree grows with the corpus.
+A context is retained if the divergence test finds a kept next word, likely enough after it, whose probability
+differs from that after the context without its first word by the factor FAR. Suffixes of retained contexts are retained.
 
 Next-word distributions are smoothed by those of the next shorter context (Witten-Bell); words that aren't kept after a
 context share the rest by the shorter context. The root is add-one smoothed over the V training words and one
 unknown word. Scores use the longest retained suffix of what precedes a word.
 
-No task holds the tree. Texts are encoded once into chunks. For each level a chunk sends its distinct strings with their
-training counts to buckets by context; a bucket adds them up, tests its contexts, and answers every chunk in the order
-asked. So counting and looking up are one exchange of what is distinct in a chunk, and a frequent context costs
-a bucket one row a chunk. ``Tree`` is the same model in one process, which tests compare with.
+No task holds the tree. Texts are encoded once into chunks of about CHUNK words. For each level a chunk sends the sorted
+hashes of its distinct strings, with their training counts, to buckets by range of hashes; a bucket adds them up and answers every
+chunk in the order asked: the count of kept strings, and which one chunk counts the string for its context. So a
+chunk knows all that the divergence test asks for its strings. In the end chunks send, for their contexts, how many kept words
+follow, how often, and whether one of them differs; that, for a context's suffixes too, decides what is retained. A frequent string
+costs a bucket one row a chunk.
 
-Words are known by 64-bit hashes until their bucket numbers those that are kept; kept strings are numbered by their buckets too.
-
-Edge cases: null and blank texts are the end alone; an empty training set leaves the unknown word only; repeated rows
-count as often as they occur, each with a score of its own; null doc_ids are training rows (their remainder isn't 2).
+Strings are known by KEY_BITS-bit hashes. Edge cases: null and blank texts are the end alone; an empty training set leaves the
+unknown word only; an empty table gives no rows; repeated rows count as often as they occur, each with a score of its own; null
+doc_ids are training rows (their remainder isn't 2); other columns are ignored. A very long text is a chunk of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, saved, width
+from .words import mix, words_of
 
-DEPTH = 2
+DEPTH = 3
 LEAST = 2
 FAR = 1.5
 LIKELY = 1e-4
-#: Words cannot hold white space, so this stands for the end of a text.
-END = xxhash.xxh3_64_intdigest(b"\n")
-SHIFT = np.uint64(24)
-#: Where a context's length stands in what suffixes are known by.
-LENGTH = np.uint64(56)
+KEY_BITS = 56
+_U = np.uint64
+_SHIFT = _U(64 - KEY_BITS)
+#: Hashes that stand for the end and the start of a text.
+END, START = (int(x) for x in mix(np.array([0x5DEECE66D, 0xB5297A4D], _U)) >> _SHIFT)
 #: Words of a chunk, and of all chunks for each bucket, about.
 CHUNK, BUCKET = 1_000_000, 1_500_000
-#: In place of a level: contexts that are retained as suffixes. In place of a chunk: a bucket's totals, and those contexts.
-SUFFIXES, TOTALS, LONGER = 99, -1, -2
-NONE = np.int64(-1)
+#: In place of a level: what contexts are followed by.
+CONTEXTS = 99
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def held_out(doc_id: Column) -> Column:
+    """Rows the model doesn't learn from: crc32 of doc_id as text, modulo 7, is 2."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-_hashes = _Hashes()
+def longer(context: np.ndarray, last: np.ndarray, words: int) -> np.ndarray:
+    """The hash of a string of so many words from that of all but its last word and the last word's."""
+    return mix(context * _U(0x9E3779B97F4A7C15) + last * _U(0xC2B2AE3D27D4EB4F) + _U(words)) >> _SHIFT
 
 
-def hashes(text: str | None) -> np.ndarray:
-    """The words' hashes and the end. Lower-casing bytes changes A-Z alone; splitting cuts at the six white-space bytes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order; for each key its place among them; for each distinct key a place where it stands."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    coded = pa.array(keys).dictionary_encode()
+    found, code = np.asarray(coded.dictionary), np.asarray(coded.indices)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at = rank[code]
+    first = np.empty(len(order), np.int64)
+    first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+    return found[order], at, first
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows the model doesn't learn from: crc32 of doc_id as text, modulo 7, is 2."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """The place of each asked key in the sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(asked), NONE)
-    at = np.searchsorted(keys, asked)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == asked, at, NONE)
-
-
-def pack_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
-    """Sorted keys as byte planes of their differences, and counts, compressed."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    planes = gaps.view(np.uint8).reshape(-1, 8).T
-    small = np.minimum(counts, 255).astype(np.uint8)
-    large = counts[counts >= 255].astype(np.int64)
-    raw = planes.tobytes() + small.tobytes() + large.tobytes()
-    return pa.compress(raw, codec="zstd", asbytes=True), len(keys)
-
-
-def unpack_keys(blob: bytes, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
-    planes = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n)
-    keys = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
-    counts = np.frombuffer(raw, np.uint8, n, 8 * n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(raw, np.int64, -1, 9 * n)
-    return keys, counts
-
-
-@dataclass
-class Level:
-    """Strings of one length: sorted keys, counts; as contexts: retained, their total, and the share left to shorter
-    contexts."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    retained: np.ndarray | None = None
-    total: np.ndarray | None = None
-    escape: np.ndarray | None = None
-
-
-@dataclass
-class Tree:
-    """levels[0]: frequent words (keys are hashes), levels[k]: strings of k + 1 words (keys are the place of the first k
-    words at the level below, shifted, and the place of the last word). The start of a text is the word after the last."""
-
-    levels: list[Level]
-    tokens: int
-    words: int
-    texts: int
-
-    def places(self, h: np.ndarray) -> list[np.ndarray]:
-        """For each level, the place of the string that ends at each word, or -1. Index 0 is the start of the text."""
-        start = len(self.levels[0].keys)
-        out = [np.concatenate([[start], find(self.levels[0].keys, h)])]
-        for level in self.levels[1:]:
-            p, x = out[-1][:-1], out[0][1:]
-            known = (p >= 0) & (x >= 0)
-            at = np.full(len(x) + 1, NONE)
-            key = (p[known].astype(np.uint64) << SHIFT) | x[known].astype(np.uint64)
-            at[1:][known] = find(level.keys, key)
-            out.append(at)
-        return out
-
-    def score(self, h: np.ndarray) -> tuple[float, float, int, np.ndarray]:
-        """log10 of the tree and of the base over frequent words and of the tree's shares before rare ones; the number of frequent words;
-        the rare words, whose root probabilities both still lack."""
-        at = self.places(h)
-        x = at[0][1:]
-        frequent = x >= 0
-        root = np.ones(len(h))
-        root[frequent] = (self.levels[0].counts[x[frequent]] + 1) / (self.tokens + self.words + 1)
-        p = root.copy()
-        for k in range(len(self.levels) - 1):
-            context, found = at[k][:-1], at[k + 1][1:]
-            level = self.levels[k]
-            use = context >= 0
-            use[use] = level.retained[context[use]]
-            c, f = context[use], found[use]
-            n = np.where(f >= 0, self.levels[k + 1].counts[f], 0)
-            p[use] = n / level.total[c] + level.escape[c] * p[use]
-        return float(np.log10(p).sum()), float(np.log10(root).sum()), int(frequent.sum()), h[~frequent]
-
-
-def _contexts(levels: list[Level], tokens: int, words: int, texts: int, far: float, likely: float) -> None:
-    """Marks retained contexts of each level but the last, longest first so that suffixes follow."""
-    mask = np.uint64((1 << 24) - 1)
-    root = np.append((levels[0].counts + 1) / (tokens + words + 1), 0)
-    suffix: list[np.ndarray] = []  # place of each string without its first word, one level below
-    probability: list[np.ndarray] = []  # of the last word after the rest, unsmoothed
-    for k in range(1, len(levels)):
-        before, last = (levels[k].keys >> SHIFT).astype(np.int64), (levels[k].keys & mask).astype(np.int64)
-        below = np.append(levels[k - 1].counts, texts) if k == 1 else levels[k - 1].counts
-        probability.append(levels[k].counts / below[before])
-        if k == 1:
-            suffix.append(last)
-        else:
-            # a string w1 ... wk x without w1 is the string w2 ... wk, then x
-            rest = suffix[k - 2][before]
-            suffix.append(find(levels[k - 1].keys, (rest.astype(np.uint64) << SHIFT) | last.astype(np.uint64)))
-    for k in range(len(levels) - 2, -1, -1):
-        up = levels[k + 1]
-        before, last = (up.keys >> SHIFT).astype(np.int64), (up.keys & mask).astype(np.int64)
-        n = len(levels[k].keys) + (k == 0)
-        shorter = root[last] if k == 0 else np.where(suffix[k] >= 0, probability[k - 1][suffix[k]], 0)
-        p = probability[k]
-        differs = (p >= likely) & ((p >= far * shorter) | (p * far <= shorter))
-        retained = np.zeros(n, bool)
-        retained[before[differs]] = True
-        if levels[k].retained is not None:
-            retained |= levels[k].retained
-        kept = np.bincount(before, up.counts, n)
-        kinds = np.bincount(before, minlength=n)
-        count = np.append(levels[k].counts, texts) if k == 0 else levels[k].counts
-        levels[k].retained, levels[k].total = retained, np.maximum(count + kinds, 1).astype(float)
-        levels[k].escape = np.maximum(count - kept + kinds, 0.5) / levels[k].total
-        if k:
-            below = np.zeros(len(levels[k - 1].keys) + (k == 1), bool)
-            s = suffix[k - 1][np.flatnonzero(retained)]
-            below[s[s >= 0]] = True
-            levels[k - 1].retained = below
-
-
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The hash of a string of words from that of all but its last word and the last word's."""
-    x = (a * np.uint64(0x9E3779B97F4A7C15) ^ (b >> np.uint64(29)) ^ b) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27)) ^ a) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def pack_columns(columns: list[np.ndarray]) -> bytes:
+def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of 8-byte values as byte planes, compressed."""
-    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in map(np.ascontiguousarray, columns))
-    return pa.compress(raw, codec="zstd", asbytes=True)
+    return pa.compress(b"".join(_planes(np.ascontiguousarray(c)) for c in columns), codec="zstd", asbytes=True)
 
 
-def unpack_columns(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(blob, decompressed_size=8 * n * len(kinds), codec="zstd", asbytes=True), np.uint8)
-    return [np.ascontiguousarray(p.reshape(8, n).T).view(k).reshape(-1) for p, k in zip(raw.reshape(len(kinds), 8 * n), kinds, strict=True)]
+def unpack(blob: bytes, n: int, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=8 * n * columns, codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(p.reshape(8, n).T).view(np.int64).reshape(-1) for p in raw.reshape(columns, 8 * n)]
 
 
-CHUNKS = "chunk long, n int, size int, vocabulary binary, tokens binary, total int, doc_ids array<long>, held array<boolean>, sizes array<int>"
-PARTS = "chunk long, level int, bucket int, n int, size int, blob binary, more binary"
-NAMES = ["chunk", "level", "bucket", "n", "size", "blob", "more"]
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def pack_keys(keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Sorted keys, as differences, and columns."""
+    return pack([np.diff(keys, prepend=_U(0)).view(np.int64), *columns])
 
 
-def _parts(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-    return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], NAMES)
+def unpack_keys(blob: bytes, n: int, columns: int) -> list[np.ndarray]:
+    gaps, *rest = unpack(blob, n, columns + 1)
+    return [np.cumsum(gaps.view(_U), dtype=_U), *rest]
 
 
-def _bucket(keys: np.ndarray, level: int, buckets: int) -> np.ndarray:
-    """Words' hashes are dealt by range; numbers are hashed first, as those of a frequent context's strings are alike."""
-    h = keys * np.uint64(0x9E3779B97F4A7C15) if level else keys
-    return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+CHUNKS = "chunk long, n int, vocabulary binary, tokens binary, total int, doc_ids array<long>, held array<boolean>, sizes array<int>"
+PARTS = "chunk long, level int, bucket int, n int, tokens long, words long, blob binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_(), "double": pa.float64()}
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The order of numbers by bucket, then number."""
-    return np.lexsort((keys, _bucket(keys, 1, buckets)))
-
-
-def _sent(chunk: int, level: int, buckets: int, keys: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> list[tuple]:
-    """Parts for each bucket of keys that are sorted by bucket."""
-    ends, rows = np.searchsorted(_bucket(keys, level, buckets), np.arange(buckets + 1, dtype=np.uint64)), []
-    for b in np.flatnonzero(np.diff(ends)).tolist():
-        at = slice(ends[b], ends[b + 1])
-        blob, n = pack_keys(keys[at], counts[at])
-        rows.append((chunk, level, b, n, 9 * n + 8 * int((counts[at] >= 255).sum()), blob, pack_columns([m[at] for m in more]) if more else b""))
-    return rows
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    names = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.Table.from_arrays([pa.array(list(c), _KINDS[t]) for c, (_, t) in zip(columns, names, strict=True)], [c for c, _ in names])
 
 
 def encoded(docs: DataFrame) -> DataFrame:
     """Chunks of docs (doc_id, held, text): distinct words with training counts, and the words by their places there."""
 
-    def row(number: int, found: list[tuple]) -> pa.RecordBatch:
-        sizes = np.array([len(h) for _, _, h in found])
-        vocabulary, at = np.unique(np.concatenate([h for _, _, h in found]), return_inverse=True)
-        train = np.repeat(~np.array([x for _, x, _ in found], bool), sizes)
-        blob, n = pack_keys(vocabulary, counts := np.bincount(at[train], minlength=len(vocabulary)))
+    def row(number: int, ids: list, held: list, sizes: list, words: list) -> pa.RecordBatch:
+        vocabulary, at, _ = distinct(np.concatenate(words))
+        train = np.repeat(~np.concatenate(held), np.concatenate(sizes))
         chunk = (TaskContext.get().partitionId() << 32) + number
-        size = 9 * n + 8 * int((counts >= 255).sum())
-        values = [chunk, n, size, blob, pa.compress(np.ascontiguousarray(at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True), len(at), [i for i, _, _ in found], [x for _, x, _ in found], sizes.tolist()]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in CHUNKS.split(", ")])
+        blob = pack_keys(vocabulary, [np.bincount(at[train], minlength=len(vocabulary))])
+        tokens = pa.compress(_planes(at.astype(np.uint32)), codec="zstd", asbytes=True)
+        return _table(CHUNKS, [(chunk, len(vocabulary), blob, tokens, len(at), ids, np.concatenate(held).tolist(), np.concatenate(sizes).tolist())]).to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, words, number = [], 0, 0
+        found, total, number = ([], [], [], []), 0, 0
         for batch in batches:
-            for i, held, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                h = hashes(text)
-                found.append((i, held, h))
-                words += len(h)
-                if words >= CHUNK:
-                    yield row(number, found)
-                    found, words, number = [], 0, number + 1
-        if found:
-            yield row(number, found)
-        _hashes.clear()
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                h, cuts = words_of(part.column(2))
+                size = np.diff(cuts) + 1
+                words = np.full(len(h) + len(size), END, _U)
+                words[np.arange(len(h)) + np.repeat(np.arange(len(size)), size - 1)] = h >> _SHIFT
+                found[0].extend(part.column(0).to_pylist())
+                for column, x in zip(found[1:], (np.array(part.column(1).to_pylist(), bool), size, words), strict=True):
+                    column.append(x)
+                total += len(words)
+                if total >= CHUNK:
+                    yield row(number, *found)
+                    found, total, number = ([], [], [], []), 0, number + 1
+        if total:
+            yield row(number, *found)
 
     return docs.mapInArrow(run, CHUNKS)
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys >> _U(KEY_BITS - 32)) * _U(buckets) >> _U(32)
+
+
+def _sent(chunk: int, level: int, buckets: int, keys: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    """Parts of sorted keys for each bucket."""
+    ends, rows = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1, dtype=_U)), []
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        at = slice(ends[b], ends[b + 1])
+        rows.append((chunk, level, b, int(ends[b + 1] - ends[b]), None, None, pack_keys(keys[at], [c[at] for c in columns])))
+    return rows
+
+
 class _Chunk:
-    """A chunk's words in one row of positions, with one before each text for its start, which is never predicted; levels
-    are filled in as answers come. ``keys``: numbers of the kept strings that end at each position; the start's is 0."""
+    """A chunk's words in one row of positions, with one before each text for its start; levels are filled in as answers come.
+    ``keys[k]``, ``counts[k]``, ``kept[k]`` belong to the string of k + 1 words that ends at each position."""
 
     def __init__(self, table: pa.Table, answers: pa.Table, totals: tuple[int, int, int], buckets: int) -> None:
         r = table.to_pylist()[0]
-        self.number, self.doc_ids, self.held = r["chunk"], r["doc_ids"], r["held"]
+        self.number, self.doc_ids, self.held, self.buckets = r["chunk"], r["doc_ids"], r["held"], buckets
+        self.tokens, self.words, texts = totals
         raw = np.frombuffer(pa.decompress(r["tokens"], decompressed_size=4 * r["total"], codec="zstd", asbytes=True), np.uint8)
-        tokens = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).reshape(-1)
+        at = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).reshape(-1)
         self.sizes = np.array(r["sizes"])
         ends = np.cumsum(self.sizes + 1)
         self.starts = ends - self.sizes - 1
         self.left = np.arange(ends[-1]) - np.repeat(self.starts, self.sizes + 1)
         self.train = np.repeat(~np.array(self.held, bool), self.sizes + 1)
-        self.tokens, self.words, self.texts = totals
-        self.buckets = buckets
-        word = self.left > 0
+        self.word = self.left > 0
         self.answers: dict[int, list] = {}
         for a in sorted(answers.to_pylist(), key=lambda a: a["bucket"]):
-            self.answers.setdefault(a["level"], []).append(a)
-        n, number = np.full(ends[-1], self.texts), np.zeros(ends[-1], np.int64)
-        n[word], number[word] = (c[tokens] for c in self._answer(0, 2))
-        self.keys = [number.view(np.uint64)]
-        self.counts, self.kept, self.tests = [n], [(n >= LEAST) | ~word], []
+            self.answers.setdefault(a["level"], []).append((a["blob"], a["n"]))
+        key, n = np.full(ends[-1], START, _U), np.full(ends[-1], texts)
+        key[self.word] = unpack_keys(r["vocabulary"], r["n"], 1)[0][at]
+        n[self.word] = self._answer(0, 1)[0][at]
+        self.keys, self.counts, self.kept = [key], [n], [(n >= LEAST) | ~self.word]
         self.root = (n + 1) / (self.tokens + self.words + 1)
+        self.counted: list[tuple] = []
 
     def _answer(self, level: int, columns: int) -> list[np.ndarray]:
-        found = [unpack_columns(a["blob"], a["n"], [np.int64] * columns) for a in self.answers.get(level, [])]
+        found = [unpack(blob, n, columns) for blob, n in self.answers.get(level, [])]
         return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * columns
 
-    def asked(self, k: int) -> tuple:
-        """Positions after a kept context of k words; which string each has, in the order of contexts; each string's first
-        position; whether the string itself is counted at each position, or stands for all that aren't."""
-        at = np.flatnonzero((self.left >= k) & np.roll(self.kept[k - 1], 1))
-        ok = self.kept[k - 1][at]
-        context = self.keys[k - 1][at - 1]
-        # 0 stands for the words that aren't counted here
-        last = np.where(ok, self.keys[0][at], np.uint64(0))
-        _, first, which = np.unique(mix(context, last), return_index=True, return_inverse=True)
-        order = _dealt(context[first], self.buckets)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return at, rank[which], first[order], ok, last[first[order]]
+    def after(self, k: int) -> np.ndarray:
+        """Positions after a kept context of k words."""
+        ok = self.left >= k
+        ok[1:] &= self.kept[k - 1][:-1]
+        return np.flatnonzero(ok)
 
-    def learn(self, k: int) -> None:
-        """Takes in the answers of level k."""
-        at, which, _, ok, _ = self.asked(k)
-        n, kept, kinds, number = (c[which] for c in self._answer(k, 4))
-        counts, numbers = np.zeros(len(self.left), np.int64), np.zeros(len(self.left), np.int64)
-        counts[at[ok]], numbers[at[ok]] = n[ok], number[ok]
-        self.keys.append(numbers.view(np.uint64))
-        self.counts.append(counts)
-        self.kept.append(counts >= LEAST)
-        self.tests.append((at, kept, kinds >> 1, (kinds & 1).astype(bool)))
+    def strings(self, k: int) -> tuple[np.ndarray, ...]:
+        """Positions where a string of k + 1 words is counted, its distinct hashes, which one each has, and where each stands."""
+        at = self.after(k)
+        at = at[self.kept[k - 1][at]]
+        keys, which, first = distinct(longer(self.keys[k - 1][at - 1], self.keys[0][at], k + 1))
+        return at, keys, which, at[first]
 
     def ask(self, k: int) -> list[tuple]:
-        """Parts of level k: by context, last word, training count, the context's count, the last word's probability after the
-        shorter context as two numbers, and the shorter contexts."""
-        at, which, first, ok, last = self.asked(k)
-        counts = np.bincount(which[ok & self.train[at]], minlength=len(first))
-        i = at[first]
-        if k == 1:
-            shorter = [self.counts[0][i] + 1, np.full(len(i), self.tokens + self.words + 1)]
-        else:
-            shorter = [self.counts[k - 1][i], np.maximum(self.counts[k - 2][i - 1], 1)]
-        more = [last, self.counts[k - 1][i - 1], *shorter, *(self.keys[j][i - 1] for j in range(k - 1))]
-        return _sent(self.number, k, self.buckets, self.keys[k - 1][i - 1], counts, more)
-
-    def doubtful(self, tests: list) -> np.ndarray:
-        """Contexts, with their lengths, that aren't retained for themselves, but may be as suffixes."""
-        found = [np.zeros(0, np.uint64)]
-        for k, (at, _, _, retained) in enumerate(tests):
-            found.append(self.keys[k][at[~retained] - 1] | np.uint64(k) << LENGTH)
-        keys = np.unique(np.concatenate(found))
-        return keys[_dealt(keys, self.buckets)]
+        at, keys, which, _ = self.strings(k)
+        return _sent(self.number, k, self.buckets, keys, [np.bincount(which[self.train[at]], minlength=len(keys))])
+
+    def learn(self, k: int) -> None:
+        """Takes in the answers of level k: counts of kept strings, and which of them this chunk counts for their contexts."""
+        at, keys, which, first = self.strings(k)
+        answer = self._answer(k, 1)[0]
+        key, n = np.zeros(len(self.left), _U), np.zeros(len(self.left), np.int64)
+        key[at], n[at] = keys[which], answer[which] >> 1
+        self.keys.append(key)
+        self.counts.append(n)
+        self.kept.append(n >= LEAST)
+        self.counted.append(first[(answer & 1).astype(bool)])
+
+    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Distinct contexts of all lengths; the positions after contexts, for each length; and which context each has."""
+        at = [self.after(k) for k in range(1, depth + 1)]
+        keys, which, _ = distinct(np.concatenate([self.keys[k][a - 1] for k, a in enumerate(at)]))
+        return keys, at, np.split(which, np.cumsum([len(a) for a in at])[:-1])
+
+    def ask_contexts(self, depth: int) -> list[tuple]:
+        """For each context: kept next words that this chunk counts, how often they occur, and whether one differs."""
+        keys, at, which = self.contexts(depth)
+        place = np.zeros((depth, len(self.left)), np.int64)
+        for k in range(depth):
+            place[k, at[k]] = which[k]
+        kinds, kept, differ = (np.zeros(len(keys), np.int64) for _ in range(3))
+        for k in range(1, depth + 1):
+            i = self.counted[k - 1]
+            n, count = self.counts[k][i], self.counts[k - 1][i - 1]
+            kinds += np.bincount(place[k - 1, i], minlength=len(keys))
+            kept += np.bincount(place[k - 1, i], n, len(keys)).astype(np.int64)
+            p = n / np.maximum(count, 1)
+            shorter = self.root[i] if k == 1 else self.counts[k - 1][i] / np.maximum(self.counts[k - 2][i - 1], 1)
+            far = i[(p >= LIKELY) & ((p >= FAR * shorter) | (p * FAR <= shorter))]
+            for j in range(k):
+                differ[place[j, far]] = 1
+        return _sent(self.number, CONTEXTS, self.buckets, keys, [kinds, kept, differ])
 
     def scores(self, depth: int) -> pa.Table:
+        _, at, which = self.contexts(depth)
+        kinds, kept = self._answer(CONTEXTS, 2)
         p = self.root.copy()
-        suffixes = np.zeros(0, np.uint64)
-        if SUFFIXES in self.answers:
-            suffixes = np.sort(self.doubtful(self.tests[: depth - 1])[self._answer(SUFFIXES, 1)[0] > 0])
-        for k, (at, kept, kinds, retained) in enumerate(self.tests, 1):
-            if k < depth:
-                retained = retained | (find(suffixes, self.keys[k - 1][at - 1] | np.uint64(k - 1) << LENGTH) >= 0)
-            i = at[retained]
-            count, kept, kinds = self.counts[k - 1][i - 1], kept[retained], kinds[retained]
-            total = np.maximum(count + kinds, 1).astype(float)
-            n = np.where(self.kept[k][i], self.counts[k][i], 0)
-            p[i] = n / total + np.maximum(count - kept + kinds, 0.5) / total * p[i]
-        word = self.left > 0
-        add = lambda x: np.add.reduceat(np.where(word, x, 0), self.starts)
+        for k in range(1, depth + 1):
+            retained = kinds[which[k - 1]] > 0
+            i, c = at[k - 1][retained], which[k - 1][retained]
+            count, n = self.counts[k - 1][i - 1], np.where(self.kept[k][i], self.counts[k][i], 0)
+            total = np.maximum(count + kinds[c], 1).astype(float)
+            p[i] = n / total + np.maximum(count - kept[c] + kinds[c], 0.5) / total * p[i]
+        add = lambda x: np.add.reduceat(np.where(self.word, x, 0), self.starts)
         columns = [self.doc_ids, self.held, self.sizes, add(self.counts[0] > 0), add(np.log10(self.root)), add(np.log10(p))]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in SCORES.split(", ")])
-
-
-def _answered(level: int, buckets: int):
-    """Adds up a bucket's parts of a level and answers each chunk."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        bucket = rows[0]["bucket"]
-        out = [tuple(r[c] for c in NAMES) for r in rows if r["level"] == SUFFIXES]  # wait for what this level retains
-        rows = [r for r in rows if r["level"] == level]
-        if not rows:
-            return _parts(out)
-        found = [unpack_keys(r["blob"], r["n"], r["size"]) for r in rows]
-        context, counts = (np.concatenate(c) for c in zip(*found, strict=True))
-        if level:
-            kinds = [np.uint64, np.int64, np.int64, np.int64] + [np.uint64] * (level - 1)
-            more = [np.concatenate(c) for c in zip(*(unpack_columns(r["more"], r["n"], kinds) for r in rows), strict=True)]
-        strings = mix(context, more[0]) if level else context
-        order = np.argsort(strings, kind="stable")
-        new = np.r_[True, np.diff(strings[order]) != 0]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        first = order[new]
-        n = np.add.reduceat(counts[order], np.flatnonzero(new))
-        kept = n >= LEAST
-        number = np.where(kept, 1 + (np.cumsum(kept) - 1) * buckets + bucket, 0)[which]
-        answers = [n[which]]
+        names = [c.split() for c in SCORES.split(", ")]
+        return pa.Table.from_arrays([pa.array(c, _KINDS[t]) for c, (_, t) in zip(columns, names, strict=True)], [c for c, _ in names])
+
+
+def _answered(t: pa.Table) -> pa.Table:
+    """Adds up a bucket's parts of one level and answers each chunk."""
+    rows = sorted(t.select(["chunk", "level", "bucket", "n", "blob"]).to_pylist(), key=lambda r: r["chunk"])
+    level, bucket = rows[0]["level"], rows[0]["bucket"]
+    columns = 3 if level == CONTEXTS else 1
+    keys, *values = (np.concatenate(c) for c in zip(*(unpack_keys(r["blob"], r["n"], columns) for r in rows), strict=True))
+    order = np.argsort(keys, kind="stable")
+    new = np.empty(len(keys), bool)
+    new[0] = True
+    ranked = keys[order]
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    sums = [np.add.reduceat(v[order], np.flatnonzero(new)) for v in values]
+    out = []
+    if level == CONTEXTS:
+        kinds, kept, differ = sums
+        answers = [np.where(differ > 0, x, 0)[which] for x in (kinds, kept)]
+    else:
+        n = sums[0]
         if level:
-            contexts, one, of = np.unique(context[first], return_index=True, return_inverse=True)
-            size = len(contexts)
-            p, shorter = n / np.maximum(more[1][first], 1), more[2][first] / more[3][first]
-            differs = kept & (p >= LIKELY) & ((p >= FAR * shorter) | (p * FAR <= shorter))
-            retained = np.bincount(of[differs], minlength=size) > 0
-            kinds = np.bincount(of[kept], minlength=size)
-            answers += [np.bincount(of, np.where(kept, n, 0), size).astype(np.int64)[of][which], (2 * kinds + retained)[of][which]]
-            for k, suffix in enumerate(more[4:]):
-                keys = np.unique(suffix[first][one[retained]]) | np.uint64(k) << LENGTH
-                keys = keys[_dealt(keys, buckets)]
-                out += _sent(LONGER, SUFFIXES, buckets, keys, np.ones(len(keys), np.int64), [])
+            answer = (np.where(n >= LEAST, n, 0) << 1)[which]
+            # the first chunk that asks counts the string
+            answer[first[n >= LEAST]] |= 1
+            answers = [answer]
         else:
-            out.append((TOTALS, 0, bucket, 2, 16, pack_columns([np.array([n.sum(), (n > 0).sum()])]), b""))
-        answers.append(number)
-        ends = np.cumsum([r["n"] for r in rows])
-        for r, end in zip(rows, ends, strict=True):
-            at = slice(end - r["n"], end)
-            out.append((r["chunk"], level, bucket, r["n"], 0, pack_columns([a[at] for a in answers]), b""))
-        return _parts(out)
-
-    return run
-
-
-def _suffixes(t: pa.Table) -> pa.Table:
-    """Tells each chunk which of its contexts are suffixes of retained ones."""
-    rows = t.to_pylist()
-    longer = [unpack_keys(r["blob"], r["n"], r["size"])[0] for r in rows if r["chunk"] == LONGER]
-    there = np.unique(np.concatenate(longer)) if longer else np.zeros(0, np.uint64)
-    out = []
-    for r in rows:
-        if r["chunk"] != LONGER:
-            yes = find(there, unpack_keys(r["blob"], r["n"], r["size"])[0]) >= 0
-            out.append((r["chunk"], SUFFIXES, r["bucket"], r["n"], 0, pack_columns([yes.astype(np.int64)]), b""))
-    return _parts(out)
+            answers = [n[which]]
+            out.append((None, level, bucket, 0, int(n.sum()), int((n > 0).sum()), b""))
+    ends = np.cumsum([r["n"] for r in rows])
+    for r, end in zip(rows, ends.tolist(), strict=True):
+        at = slice(end - r["n"], end)
+        out.append((r["chunk"], level, bucket, r["n"], None, None, pack([a[at] for a in answers])))
+    return _table(PARTS, out)
 
 
 def _words(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -444,23 +298,20 @@ def _words(chunks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                yield from _parts(_sent(r["chunk"], 0, buckets, *unpack_keys(r["vocabulary"], r["n"], r["size"]), [])).to_batches()
+                keys, counts = unpack_keys(r["vocabulary"], r["n"], 1)
+                yield from _table(PARTS, _sent(r["chunk"], 0, buckets, keys, [counts])).to_batches()
 
-    return chunks.select("chunk", "n", "size", "vocabulary").mapInArrow(run, PARTS)
+    return chunks.select("chunk", "n", "vocabulary").mapInArrow(run, PARTS)
 
 
 def _asking(k: int, depth: int, buckets: int, totals: tuple[int, int, int]):
-    """A chunk's parts of level k, and with the last level its doubtful contexts."""
+    """A chunk's parts of level k; after the last level, those of its contexts."""
 
     def run(c: pa.Table, a: pa.Table) -> pa.Table:
         chunk = _Chunk(c, a, totals, buckets)
-        for j in range(1, k):
+        for j in range(1, min(k, depth + 1)):
             chunk.learn(j)
-        out = chunk.ask(k)
-        if k == depth:
-            keys = chunk.doubtful(chunk.tests)
-            out += _sent(chunk.number, SUFFIXES, buckets, keys, np.ones(len(keys), np.int64), [])
-        return _parts(out)
+        return _table(PARTS, chunk.ask(k) if k <= depth else chunk.ask_contexts(depth))
 
     return run
 
@@ -473,23 +324,20 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     size = chunks.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("texts")).first()
     buckets = max(1, min(width(spark), size.n // (BUCKET // 8)), -(-size.n // BUCKET))
     totals = (0, 0, int(size.texts))
-    texts = chunks.drop("n", "size", "vocabulary")
-    both = lambda: texts.groupBy("chunk").cogroup(answers.where(F.col("chunk") >= 0).groupBy("chunk"))
-    for k in range(depth + 1):
+    both = lambda: chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    for k in range(depth + 2):
         asked = both().applyInArrow(_asking(k, depth, buckets, totals), PARTS) if k else _words(chunks, buckets)
-        found = saved(asked.groupBy("bucket").applyInArrow(_answered(k, buckets), PARTS), "lm-answers")
-        answers = answers.unionByName(found) if k else found
+        found = saved(asked.groupBy("bucket").applyInArrow(_answered, PARTS), "lm-answers")
         if k == 0:
-            sums = [unpack_columns(r.blob, r.n, [np.int64])[0] for r in found.where(F.col("chunk") == TOTALS).select("n", "blob").collect()]
-            totals = (int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums)), totals[2])
+            sums = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+            totals = (int(sums.tokens), int(sums.words), totals[2])
+            answers = found.where("chunk is not null")
+        else:
+            answers = answers.unionByName(found)
         # Spark holds on to the step that ran last, so an empty one runs before this one's shuffle files are let go of
         del asked
         spark.range(1).count()
         release(spark)
-    closing = answers.where(F.col("level") == SUFFIXES)
-    answers = answers.where(F.col("level") != SUFFIXES).unionByName(saved(closing.groupBy("bucket").applyInArrow(_suffixes, PARTS), "lm-answers"))
-    spark.range(1).count()
-    release(spark)
 
     def score(c: pa.Table, a: pa.Table) -> pa.Table:
         chunk = _Chunk(c, a, totals, buckets)

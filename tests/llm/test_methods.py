@@ -1,7 +1,6 @@
 """Operators against brute force, exact round trips, and damaged input."""
 
 import random
-import zlib
 
 import numpy as np
 import pytest
@@ -162,23 +161,10 @@ def test_sketch_bounds_the_difference():
         assert simjoin.apart(simjoin.sketch(a), simjoin.sketch(b)) <= real
 
 
-def test_lm_is_a_distribution():
-    words = np.array([lm.hashes(w)[0] for w in "a b c d".split()])
-    order = np.argsort(words)
-    tree = lm.Tree([lm.Level(words[order], np.array([5, 3, 2, 4])), lm.Level(np.array([(0 << 24) | 1, (4 << 24) | 0], np.uint64), np.array([4, 2]))], 20, 6, 3)
-    lm._contexts(tree.levels, 20, 6, 3, 1.5, 1e-4)
-    known = [10 ** tree.score(np.array([w], np.uint64))[0] for w in words[order]]
-    unknown = 10 ** tree.score(np.array([12345], np.uint64))[0]
-    # two more training words are rare: with root counts 3 + 3 of 20 tokens they share what is left, and one unknown word
-    root_rare = (20 - 14 + 2 + 1) / 27
-    assert abs(sum(known) + unknown * root_rare - 1) < 1e-9
-
-
 def test_lm_keys_round_trip():
-    keys = np.unique(np.random.default_rng(8).integers(0, 1 << 46, 5000).astype(np.uint64))
-    counts = np.where(np.arange(len(keys)) % 50 == 0, 100_000, 2)
-    blob, n = lm.pack_keys(keys, counts)
-    k, c = lm.unpack_keys(blob, n, 9 * n + 8 * int((counts >= 255).sum()))
+    keys = np.unique(np.random.default_rng(8).integers(0, 1 << 56, 5000).astype(np.uint64))
+    counts = np.where(np.arange(len(keys)) % 50 == 0, 1 << 40, 2)
+    k, c = lm.unpack_keys(lm.pack_keys(keys, [counts]), len(keys), 1)
     assert (k == keys).all() and (c == counts).all()
 
 
@@ -207,7 +193,3 @@ def test_labeller_gradient():
         down = net.gradients(x, mask, y)[0]
         net.w[name][at] = old
         assert abs((up - down) / (2 * d) - g[name][at]) < 0.05 * abs(g[name][at]) + 1e-4
-
-
-def test_crc_of_doc_id_splits():
-    assert zlib.crc32(b"10") % 4 in range(4)

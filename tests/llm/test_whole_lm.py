@@ -1,46 +1,89 @@
-"""The suffix tree is the whole one: equal to the tree in memory, and no smaller for a larger corpus."""
+"""The suffix tree against one of dictionaries, as whole results; and it is no smaller for a larger corpus."""
 
+import math
 import random
-from collections import Counter
-
-import numpy as np
-
-from pixelloom.llm import lm
-
-
-def _tree(texts):
-    """lm.Tree of the texts, counted string by string."""
-    h = [lm.hashes(t) for t in texts]
-    ones = Counter(np.concatenate(h).tolist())
-    level = lambda c: lm.Level(np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)]))
-    levels = [level({k: n for k, n in ones.items() if n >= lm.LEAST})]
-    for _ in range(lm.DEPTH):
-        tree, c = lm.Tree(levels, 0, 0, 0), Counter()
-        for x in h:
-            at = tree.places(x)
-            for i in range(len(x)):
-                p, last = int(at[-1][i]), int(at[0][i + 1])
-                if p >= 0 and last >= 0 and (len(at) == 1 or at[-1][i + 1] >= 0):
-                    c[p << 24 | last] += 1
-        levels = [*levels, level({k: n for k, n in c.items() if n >= lm.LEAST})]
-    n = sum(ones.values())
-    lm._contexts(levels, n, len(ones), len(texts), lm.FAR, lm.LIKELY)
-    return lm.Tree(levels, n, len(ones), len(texts)), ones
-
-
-def test_scores_equal_the_tree_in_memory(spark):
+import zlib
+from collections import Counter, defaultdict
+
+import pyarrow.parquet as pq
+import pytest
+
+from pixelloom.llm import lm, queries
+
+
+def _split(text):
+    return [w.decode() for w in (text or "").encode().lower().split()] + [None]
+
+
+def plain(rows):
+    """doc_id: (held_out, n_tokens, n_known, train_tokens, base_score, score), from counts of tuples of words."""
+    texts = {i: ["<start>", *_split(t)] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    train = [t for i, t in texts.items() if not held[i]]
+    count = [Counter((w,) for t in train for w in t)]
+    n_texts = len(train)
+    words = {s: n for s, n in count[0].items() if s != ("<start>",)}
+    n, v = sum(words.values()), len(words)
+    root = lambda w: (words.get((w,), 0) + 1) / (n + v + 1)
+    kept = {s for s, c in count[0].items() if c >= lm.LEAST} | {("<start>",)}
+    all_counts = dict(count[0]) | {("<start>",): n_texts}
+    for k in range(1, lm.DEPTH + 1):
+        c = Counter()
+        for t in train:
+            for i in range(k, len(t)):
+                if tuple(t[i - k : i]) in kept and tuple(t[i - k + 1 : i + 1]) in kept:
+                    c[tuple(t[i - k : i + 1])] += 1
+        all_counts |= c
+        kept |= {s for s, m in c.items() if m >= lm.LEAST}
+    follow = defaultdict(dict)
+    for s in kept:
+        if len(s) > 1:
+            follow[s[:-1]][s[-1]] = all_counts[s]
+    retained = set()
+    for c, after in follow.items():
+        for w, m in after.items():
+            p = m / all_counts[c]
+            shorter = root(w) if len(c) == 1 else all_counts[(*c[1:], w)] / all_counts[c[1:]]
+            if p >= lm.LIKELY and (p >= lm.FAR * shorter or p * lm.FAR <= shorter):
+                retained |= {c[j:] for j in range(len(c))}
+    out = {}
+    for i, t in texts.items():
+        score = 0.0
+        for at in range(1, len(t)):
+            p = root(t[at])
+            for k in range(1, min(lm.DEPTH, at) + 1):
+                c = tuple(t[at - k : at])
+                if c in retained:
+                    after, m = follow[c], all_counts[c]
+                    total = max(m + len(after), 1)
+                    p = after.get(t[at], 0) / total + max(m - sum(after.values()) + len(after), 0.5) / total * p
+            score += math.log10(p)
+        known = sum(words.get((w,), 0) > 0 for w in t[1:])
+        out[i] = (held[i], len(t) - 1, known, n, sum(math.log10(root(w)) for w in t[1:]), score)
+    return out
+
+
+def _same(found, expected):
+    got = {x.doc_id: (x.held_out, x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in found.collect()}
+    assert got.keys() == expected.keys()
+    for i, x in expected.items():
+        assert got[i][:4] == x[:4]
+        assert got[i][4:] == pytest.approx(x[4:], rel=1e-9, abs=1e-8)
+
+
+def test_query(spark):
+    data = "/root/testdata/sf0.001"
+    docs = pq.read_table(f"{data}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    _same(queries.op4_suffix_tree(spark, data), plain(zip(docs["doc_id"], docs["text"], strict=True)))
+
+
+def test_few_words(spark):
     r = random.Random(9)
     words = [f"w{i}" for i in range(60)]
-    texts = [" ".join(r.choices(words, range(60, 0, -1), k=r.randint(0, 40))) for _ in range(150)] + ["rare words once"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {x.doc_id: x for x in lm.scored(df).collect()}
-    tree, ones = _tree([texts[i] for i in got if not got[i].held_out])
-    assert len(got) == len(texts) and any(x.held_out for x in got.values())
-    for i, x in got.items():
-        a, b, _, rare = tree.score(lm.hashes(texts[i]))
-        more = sum(np.log10((ones[w] + 1) / (tree.tokens + tree.words + 1)) for w in rare.tolist())
-        assert x.train_tokens == tree.tokens and abs(x.score - a - more) < 1e-8 and abs(x.base_score - b - more) < 1e-8
-        assert x.n_known == sum(ones[w] > 0 for w in lm.hashes(texts[i]).tolist())
+    texts = [" ".join(r.choices(words, range(60, 0, -1), k=r.randint(0, 40))) for _ in range(150)] + ["rare words once", None, "", "A a"]
+    texts += texts[:20]
+    docs = list(enumerate(texts))
+    _same(lm.scored(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)), plain(docs))
 
 
 def test_a_passage_seen_twice_is_learned_beside_any_corpus(spark):
@@ -52,3 +95,10 @@ def test_a_passage_seen_twice_is_learned_beside_any_corpus(spark):
     assert got[0].train_tokens > 10_000_000
     assert got[1].held_out and not got[0].held_out and not got[2].held_out
     assert all(got[i].score > got[i].base_score / 4 for i in range(3))
+
+
+def test_nothing_to_learn_from(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    rows = [(i, t) for i, t in zip(held, ("a b", None, "a b"), strict=True)]
+    for x in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert x.train_tokens == 0 and x.n_known == 0 and x.score == 0
