@@ -14,8 +14,9 @@ pairs with Jaccard similarity of at least 0.8:
 * Texts are read and shingled once for this. Tasks gather keys in chunks and send packed runs of them to buckets by range of
   keys; a bucket returns the keys that several sets share. A key with more than FEW members is common. Where a
   chunk has that many by itself, it sends one for all and returns the rest directly, so no bucket meets them all.
-* Links. Members of a key are compared with the key's first member; where a key still spans several components, those of
-  other keys are compared in all pairs between components, those of common keys with members drawn by hash.
+* Links. Members of a key are compared with the key's first member (those of a common key with the chunk's first one, and these
+  with each other's). Where a key still spans several components, its members are compared in all pairs between components; a
+  set with common keys is compared with a member, drawn by hash, of one of them.
 * The rest, exactly. A set with fewer than m - k common keys has an agreeing bucket in another key with each of its
   partners, so nothing is lost. Only pairs of two sets that are mostly common text remain (fewer than k + 1 own buckets); in each
   group of such sets, the bit sketches of those outside the group's largest component meet those of the whole group, in blocks.
@@ -173,7 +174,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= LINK * (len(a) + len(b) - both)
 
 
-# Rows that tasks send to buckets: documents (kind 0) and members of common keys (1) only pass, runs of keys (3) are met.
+# Rows that tasks send to buckets: documents (kind 0), members of common keys (1) and pairs of their first members with the
+# others (2) only pass, runs of keys (3) are met.
 SENT = "bucket int, chunk long, kind int, doc_id long, set_id long, n int, band int, own int, next int, runs int, blob binary"
 # What buckets return: documents (0), members of shared keys (1: key, set_id, common), pairs of a key's first member and another (2: key, set_id).
 MET = "kind int, key long, common boolean, doc_id long, set_id long, n int, band int, own int, next int, blob binary"
@@ -249,6 +251,23 @@ def _sent(chunk: int, buckets: int, k: np.ndarray, ids: np.ndarray, many: np.nda
         part = slice(at, at + CHUNK)
         none = np.zeros(len(hot[part]), bool)
         yield _rows(SENT, 1, bucket=[passing], chunk=[chunk], kind=[1], runs=[_size(hot[part], of[part])], blob=[pack(hot[part], of[part], none)])
+    if len(hot):
+        starts = np.flatnonzero(np.concatenate([[True], hot[1:] != hot[:-1]]))
+        a, b = star_pairs(of, starts)
+        yield _rows(SENT, 1, bucket=[passing], chunk=[chunk], kind=[2], runs=[16 * len(a)], blob=[pa.compress(a.tobytes() + b.tobytes(), codec="lz4", asbytes=True)])
+
+
+def star_pairs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of each key's first member, the least set_id, with the others."""
+    a = np.repeat(ids[starts], np.diff(starts, append=len(ids)))
+    others = np.ones(len(ids), bool)
+    others[starts] = False
+    a, b = a[others], ids[others]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
 def _bucket(k: np.ndarray, buckets: int) -> np.ndarray:
@@ -325,6 +344,10 @@ def _met(t: pa.Table) -> pa.Table:
         for batch in t.to_batches():
             docs = batch.filter(pc.equal(batch.column("kind"), 0))
             out.append(_rows(MET, docs.num_rows, **{c: docs.column(c) for c in ("kind", "doc_id", "set_id", "n", "band", "own", "next", "blob")}))
+            stars = batch.filter(pc.equal(batch.column("kind"), 2))
+            for b, n in zip(stars.column("blob").to_pylist(), stars.column("runs").to_pylist(), strict=True):
+                pair = np.frombuffer(pa.decompress(b, decompressed_size=n, codec="lz4", asbytes=True), np.int64).reshape(2, -1)
+                out.append(_rows(MET, pair.shape[1], kind=np.full(pair.shape[1], 2, np.int32), key=pair[0], set_id=pair[1]))
             hot = batch.filter(pc.equal(batch.column("kind"), 1))
             for b, n in zip(hot.column("blob").to_pylist(), hot.column("runs").to_pylist(), strict=True):
                 k, ids, _ = unpack(b, n)
@@ -341,15 +364,9 @@ def _met(t: pa.Table) -> pa.Table:
     rows = np.repeat(one | common, sizes)
     n = int(rows.sum())
     out = [_rows(MET, n, kind=np.ones(n, np.int32), key=k[rows].view(np.int64), common=np.repeat(common, sizes)[rows], set_id=ids[rows])]
-    pairs = np.repeat(one, sizes)
-    pairs[starts] = False
-    # a key's members are in order of set_id: the first is the least
-    a, b = np.repeat(ids[starts], sizes)[pairs], ids[pairs]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    out.append(_rows(MET, int(new.sum()), kind=np.full(int(new.sum()), 2, np.int32), key=a[new], set_id=b[new]))
+    starts = np.flatnonzero(np.concatenate([[True], k[rows][1:] != k[rows][:-1]])) if n else np.zeros(0, np.int64)
+    a, b = star_pairs(ids[rows], starts)
+    out.append(_rows(MET, len(a), kind=np.full(len(a), 2, np.int32), key=a, set_id=b))
     return pa.Table.from_batches(out, schema)
 
 
@@ -431,17 +448,18 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _drawn(members: DataFrame, salt: int) -> DataFrame:
+    """Pairs of sets with a member, drawn by hash, of one of their keys: the one whose hash is least."""
+    one = members.groupBy("set_id").agg(F.min_by("key", F.xxhash64("key", F.lit(salt))).alias("key"))
+    heads = one.groupBy("key").agg(F.min_by("set_id", F.xxhash64("set_id", F.lit(salt))).alias("head"))
+    return one.join(heads, "key").where("set_id <> head").select(*_ordered("set_id", "head"))
+
+
 def set_roots(found: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, root) of the sets that have links; root is one of the component's sets."""
     members = found.where("kind = 1").select("key", "set_id", "common")
     pairs = found.where("kind = 2").select(F.col("key").alias("a"), F.col("set_id").alias("b"))
-    common = members.where("common").select("key", "set_id").distinct()
-
-    def stars(rows: DataFrame, order) -> DataFrame:
-        heads = rows.groupBy("key").agg(F.min_by("set_id", order).alias("head"))
-        return rows.join(heads, "key").where("set_id <> head").select(*_ordered("set_id", "head"))
-
-    first = saved(pairs.unionByName(stars(common, F.col("set_id"))).distinct(), "first-pairs")
+    first = saved(pairs.distinct(), "first-pairs")
     roots = components(verified(first, sets, docs))
     # keys that still span components
     placed = _rooted(members, roots)
@@ -450,8 +468,7 @@ def set_roots(found: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     few = rows.where("not common").groupBy("key").agg(F.collect_list(F.struct("set_id", "root")).alias("m"))
     few = few.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).where("p.root < q.root").select(*_ordered("p.set_id", "q.set_id"))
     open_common = rows.where("common").select("key", "set_id")
-    drawn = [stars(open_common, F.xxhash64("set_id", F.lit(salt))) for salt in (1, 2)]
-    second = saved(few.unionByName(drawn[0]).unionByName(drawn[1]).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
+    second = saved(few.unionByName(_drawn(open_common, 1)).unionByName(_drawn(open_common, 2)).distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
     if not second.isEmpty():
         roots = moved(roots, components(_between(verified(second, sets, docs), roots)))
     # sets that may have partners they share common keys with only
