@@ -9,7 +9,8 @@ texts times divergence), all of the term's occurrences in all documents become s
 a placeholder, or removed from REMOVE on. Exact copies are one text here.
 
 Patterns are written so that matching is linear in the text (possessive runs, and no second start inside a run that has
-failed) and finds exactly the leftmost non-overlapping matches of the plain patterns. Positions are code points.
+failed) and finds exactly the leftmost non-overlapping matches of the plain patterns; for cards, those of twelve digits or more, as
+shorter ones fail. Positions are code points.
 
 Edge cases: null text is empty and stays null in sanitised output; repeated rows are rows of their own; documents without
 entities change where they hold a disclosing term; words of scripts without spaces are whole runs; an empty table
@@ -18,6 +19,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A character that each kind needs: texts without it aren't searched.
@@ -40,18 +43,33 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
-def placed(text: Column, pattern: str | Column) -> Column:
-    """array of (start, value) of a pattern's matches: the gaps between matches and the matches, added up."""
+def placed(text: Column, pattern: str | Column, good: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
+    """array of (start, value) of a pattern's matches that are good, from the lengths of the gaps between matches and of the matches.
+
+    Lengths are added up in blocks of about the square root of the matches' number, and then over blocks, so that no
+    array grows by one element a match; the matches are found once, as a lambda's argument.
+    """
     whole = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, whole, F.lit(1))
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, whole, F.lit(1)).alias("value"))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         at = s["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["value"])).alias("at"), F.concat(s["out"], F.array(F.struct(at.alias("start"), x["value"].alias("value")))).alias("out"))
+        own = F.array(F.struct(at.alias("start"), x["value"].alias("value")))
+        return F.struct((at + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"), F.when(x["value"].isNotNull() & good(x["value"]), F.concat(s["out"], own)).otherwise(s["out"]).alias("out"))
+
+    def over(s: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda m: F.struct((m["start"] + s["at"]).alias("start"), m["value"].alias("value")))
+        return F.struct((s["at"] + block["at"]).alias("at"), F.concat(s["out"], F.array(moved)).alias("out"))
+
+    def all_of(x: Column) -> Column:
+        # there is one gap more than matches, so at least one element
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / size).cast("int") - 1), lambda i: F.aggregate(F.slice(x, i * size + 1, size), state, step))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,value:string>>>").alias("out"))
+        return F.flatten(F.aggregate(blocks, start, over, lambda s: s["out"]))
 
-    pairs = F.transform(found, lambda v, i: F.struct(F.element_at(gaps, i + 1).alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, state, step, lambda s: s["out"])
+    return F.get(F.transform(F.array(found), all_of), F.lit(0))
 
 
 def digits(value: Column) -> Column:
@@ -84,8 +102,8 @@ def base_spans(text: Column) -> Column:
     parts = []
     for rank, kind in enumerate(KINDS):
         need = NEEDS[kind]
-        maybe = F.contains(text, F.lit(need)) if need else text.rlike(r"[0-9][\x20-]?[0-9]")
-        good = F.filter(placed(text, PATTERNS[kind]), lambda m: valid(kind, m["value"]))
+        maybe = F.contains(text, F.lit(need)) if need else text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")
+        good = placed(text, PATTERNS[kind], lambda v, kind=kind: valid(kind, v))
         spans = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value")))
         parts.append(F.when(maybe, spans).otherwise(F.array().cast(SPAN)))
     return F.array_sort(F.concat(*parts))
