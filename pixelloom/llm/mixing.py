@@ -2,15 +2,16 @@
 
 1. Sizes (words) are summed by source. Targets share the mix by weight, stop at ``most`` times their source's size, and
    the excess is shared again by weight until none is above.
-2. The mix is a number of blocks of ``block`` words. Seats go to sources by highest quotients target / (2 s + 1), then,
-   inside each source, to its shards by highest quotients size / (2 s + 1). A bisection on the divisor finds
+2. The mix is a number of blocks of ``block`` words (fewer for tiny sources, which share seats among those of their block size).
+   Seats go to sources by highest quotients target / (2 s + 1), then, inside each source, to its shards by highest quotients
+   size / (2 s + 1). A bisection on the divisor finds
    the same seats without handing them out one by one; ties go to the first in order.
 3. A shard holds documents of one source by seeded hash. Its documents, in seeded order, make a line of words that is
    cut into blocks. Seats beyond the number of blocks are whole passes over the line; the rest are the first
    blocks of a seeded affine permutation of block numbers, so no block is drawn twice and none is sorted.
 
 A large source has as many shards as its size asks for, so no group is unbounded. The driver holds one row a source
-and a shard. Documents without words take nothing. Repeated doc_ids are ordered by the row's text hash, and identical
+and a shard, of which a source has at most SHARDS. Documents without words take nothing. Repeated doc_ids are ordered by the row's text hash, and identical
 rows are kept apart by their place on the line; null source is a source of its own, after all others.
 """
 
@@ -30,6 +31,8 @@ SHARE = Fraction(3, 2)
 MOST = 2
 BLOCK = 16
 SHARD_WORDS = 1 << 18
+#: Most shards of a source: a source of more words has larger shards, of rows without texts.
+SHARDS = 1 << 14
 SEED = 17
 
 
@@ -97,6 +100,14 @@ def coprime(n: int, seed: int) -> int:
     return a % n if n > 1 else 0
 
 
+def block_of(target: Fraction, block: int = BLOCK) -> int:
+    """A source's block: ``block`` words, halved while its target is fewer than 64 blocks, so that a tiny source still gets its share
+    to within about a hundredth, and no other source's blocks shrink for it."""
+    while block > 1 and target < 64 * block:
+        block //= 2
+    return block
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
@@ -113,12 +124,17 @@ def plan(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, se
     rows = sorted(per_source, key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
     sizes = [r.n for r in rows]
     goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
-    least = min((g for g in goal if g), default=Fraction(0))
-    block = max(1, min(block, int(least / 64)))  # a tiny source still gets its share to within about a hundredth
-    seats = sainte_lague(goal, round(sum(goal) / block), [MOST * n // block + (MOST * n % block > 0) for n in sizes])
+    blocks_of = [block_of(g, block) for g in goal]
+    seats = [0] * len(rows)
+    for size in set(blocks_of):
+        # sources of one block size share that size's seats
+        own = [i for i, b in enumerate(blocks_of) if b == size]
+        won = sainte_lague([goal[i] for i in own], round(sum(goal[i] for i in own) / size), [MOST * -(-sizes[i] // size) for i in own])
+        for i, n in zip(own, won, strict=True):
+            seats[i] = n
     sources = spark.createDataFrame(
-        [(i, r.source, int(n), float(g), max(1, -(-n // shard_words))) for i, (r, n, g) in enumerate(zip(rows, sizes, goal, strict=True))],
-        "source_no int, source string, source_size long, target double, shards int",
+        [(i, r.source, int(n), float(g), b, max(1, min(SHARDS, -(-n // shard_words)))) for i, (r, n, g, b) in enumerate(zip(rows, sizes, goal, blocks_of, strict=True))],
+        "source_no int, source string, source_size long, target double, block long, shards int",
     )
     # one row a source, as many as the driver has just held
     placed = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
@@ -129,7 +145,7 @@ def plan(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, se
     for r in sorted(in_shard):
         by_source.setdefault(r.source_no, []).append(r)
     for i, shards in by_source.items():
-        blocks = [-(-r.n // block) for r in shards]
+        blocks = [-(-r.n // blocks_of[i]) for r in shards]
         got = sainte_lague([r.n for r in shards], seats[i], [MOST * b for b in blocks])
         for r, b, q in zip(shards, blocks, got, strict=True):
             if b:
@@ -140,13 +156,13 @@ def plan(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, se
     line = Window.partitionBy("source_no", "shard").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("at", F.coalesce(F.sum("size").over(line), F.lit(0).cast("long")))
     laid = laid.join(F.broadcast(quotas), ["source_no", "shard"], "left")
-    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
+    first, last = F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block"))
     # block j is the k-th of the permutation k -> multiplier * k + shift, so its rank is inverse * (j - shift)
     chosen = F.when(
         (F.col("size") > 0) & (F.col("drawn") > 0),
         F.filter(F.sequence(first, last), lambda j: F.pmod(F.col("inverse") * (j - F.col("shift")), F.col("blocks")) < F.col("drawn")),
     ).otherwise(F.array().cast("array<bigint>"))
-    return laid.withColumn("chosen", chosen).withColumn("block", F.lit(block).cast("long"))
+    return laid.withColumn("chosen", chosen)
 
 
 def taken(planned: DataFrame) -> DataFrame:
@@ -176,11 +192,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # the text comes back by the key of (doc_id, text); equal rows are equal texts, so one text a key is enough
     texts = docs.select(F.xxhash64(F.lit(SEED), "doc_id", "text").alias("_key"), "text").dropDuplicates(["_key"])
     joined = planned.where("taken > 0").join(texts, "_key")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    words = F.when(F.size("chosen") > 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
     start = lambda j: F.greatest(j * F.col("block") - F.col("at"), F.lit(0))
     stop = lambda j: F.least((j + 1) * F.col("block") - F.col("at"), F.col("size"))
-    parts = F.transform("chosen", lambda j: F.array_join(F.slice(F.col("_words"), (start(j) + 1).cast("int"), (stop(j) - start(j)).cast("int")), " "))
+    cut = lambda w: F.transform("chosen", lambda j: F.array_join(F.slice(w, (start(j) + 1).cast("int"), (stop(j) - start(j)).cast("int")), " "))
+    # the words are a lambda's argument, so that a text is split once and not for each of its blocks
+    parts = F.get(F.transform(F.array(words), cut), F.lit(0))
     whole = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
-    out = joined.withColumn("_words", F.when(F.size("chosen") > 0, words)).withColumn("text", F.array_join(F.concat(whole, F.when(F.size("chosen") > 0, parts).otherwise(F.array().cast("array<string>"))), "\n"))
+    out = joined.withColumn("text", F.array_join(F.concat(whole, F.when(F.size("chosen") > 0, parts).otherwise(F.array().cast("array<string>"))), "\n"))
     back = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[back.get(c, F.col(f"_rest.{c}")).alias(c) for c in cols])
