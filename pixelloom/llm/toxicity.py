@@ -36,6 +36,8 @@ STEM = (4, 8)
 #: Least letters of words, and of stems, that are found with an edit: a short stem with one would begin too many words.
 FUZZY_FROM, FUZZY_STEM = 4, 6
 WINDOW = 8
+#: Words, and steps of the product automaton, that a worker remembers; what is forgotten costs time only.
+KNOWN, STEPS = 200_000, 300_000
 #: Least likelihood ratio of a term's uses: about what the best of a million terms without meaning reaches.
 CHANCE = 28.0
 #: Words with inner digits and signs are whole; PART cuts such a word into its letters.
@@ -68,13 +70,18 @@ class Lexicon:
                     self.ends.append(None)
                 node = self.children[node][c]
             self.ends[node] = (stem, weight, len(term))
+        self.words: dict[str, tuple[float, int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drops the product's states and steps, and the words; they are made again as words ask for them."""
         self._steps: dict[tuple[int, str], int] = {}
         self._states: list[frozenset] = []
         self._numbers: dict[frozenset, int] = {}
         self._stems: list[tuple[float, int] | None] = []
         self._full: list[tuple[float, int] | None] = []
         self.start = self._number(self._closed({(0, 0)}))
-        self.words: dict[str, tuple[float, int]] = {}
+        self.words.clear()
 
     def _closed(self, states: set) -> frozenset:
         """With the entries' letters that the word leaves out."""
@@ -118,6 +125,10 @@ class Lexicon:
         known = self.words.get(word)
         if known is not None:
             return known
+        if len(self._steps) > STEPS:
+            self._forget()
+        elif len(self.words) > KNOWN:
+            self.words.clear()
         at, best, steps = self.start, None, self._steps
         for c in word:
             at = steps[at, c] if (at, c) in steps else self._step(at, c)
@@ -130,8 +141,6 @@ class Lexicon:
             full = self._full[at]
             if full and (best is None or (-full[1], full[0]) > (-best[1], best[0])):
                 best = full
-        if len(self.words) > 500_000 or len(self._steps) > 2_000_000:
-            self.words.clear()
         if not best and not word.isalpha():
             # the whole first, as a letter may be disguised; then what stands between digits and signs
             best = max((self.match(x) for x in PART.findall(word) if x != word and len(x) > 2), key=lambda x: (x[0] > 0, -x[1], x[0]), default=None)
