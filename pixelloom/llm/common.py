@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,13 @@ def ascii_lower(c):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("pixelloom.local.dir", None)
+    """The folder that driver and executors share. Where none is configured, a local session gets a temporary one; a cluster's
+    executors couldn't see it, so there it is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pixelloom.local.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pixelloom-")
         spark.conf.set("pixelloom.local.dir", at)
     return at
@@ -40,11 +44,41 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it: lineage is cut, and lost executors lose nothing."""
+#: Paths of the scratch tables of steps that have begun and not ended, innermost last.
+_begun: list[list[str]] = []
+
+
+def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes df to the shared folder and rereads it; and where it is."""
     path = scratch(df.sparkSession, name)
+    if _begun:
+        _begun[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and rereads it: lineage is cut, and lost executors lose nothing."""
+    return put(df, name)[0]
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Removes, at its end, the scratch tables that were saved since; what outlasts it is saved by the function that it gives."""
+    _begun.append([])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = put(df, name)
+        own = _begun[-1]
+        own.remove(path)
+        if len(_begun) > 1:
+            _begun[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        drop_saved(spark, *_begun.pop())
 
 
 def drop_saved(spark: SparkSession, *paths: str) -> None:

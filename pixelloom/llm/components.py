@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, scratch
-
-
-def _put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+from .common import drop_saved, put, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,23 +20,23 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     tidy = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, at = _put(tidy(links), "links")
+    edges, at = put(tidy(links), "links")
     roots, roots_at = None, None
     while roots is None or not edges.isEmpty():
         ends = edges.union(edges.select("b", "a"))
-        low, low_at = _put(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "v"), "lows")
+        low, low_at = put(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "v"), "lows")
         # v -> to may be a chain; one jump halves it, the next round does the rest
         jump = low.alias("x").join(low.alias("y"), F.col("x.to") == F.col("y.v"), "left").select(F.col("x.v").alias("v"), F.coalesce(F.least("x.to", "y.to"), "x.to").alias("to"))
-        jump, jump_at = _put(jump, "jumps")
+        jump, jump_at = put(jump, "jumps")
         drawn = edges.join(jump, edges["a"] == jump["v"]).select(F.col("to").alias("a"), "b")
         drawn = drawn.join(jump, drawn["b"] == jump["v"]).select("a", F.col("to").alias("b"))
-        new_edges, new_at = _put(tidy(drawn), "links")
+        new_edges, new_at = put(tidy(drawn), "links")
         drop_saved(spark, at, low_at)
         edges, at = new_edges, new_at
         if roots is None:
             roots, roots_at = jump.select(F.col("v").alias("id"), F.col("to").alias("root")), jump_at
             continue
-        new_roots, new_roots_at = _put(roots.join(jump, roots["root"] == jump["v"], "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
+        new_roots, new_roots_at = put(roots.join(jump, roots["root"] == jump["v"], "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
         drop_saved(spark, jump_at, roots_at)
         roots, roots_at = new_roots, new_roots_at
     drop_saved(spark, at)
@@ -54,5 +48,4 @@ def moved(roots: DataFrame, later: DataFrame) -> DataFrame:
     to = later.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
     out = roots.join(to, roots["root"] == to["_id"], "left").select("id", F.coalesce("_root", "root").alias("root"))
     fresh = later.join(roots.select("id"), "id", "left_anti")
-    both = out.unionByName(fresh)
-    return both.sparkSession.read.schema(both.schema).parquet(_put(both, "roots")[1])
+    return saved(out.unionByName(fresh), "roots")

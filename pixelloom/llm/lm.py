@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, width
+from .common import release, saved, step, width
 from .words import mix, words_of
 
 DEPTH = 3
@@ -318,6 +318,11 @@ def _asking(k: int, depth: int, buckets: int, totals: tuple[int, int, int]):
 
 def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs: doc_id, held (not learned from), text. SCORES and train_tokens of every row."""
+    with step(docs.sparkSession) as keep:
+        return keep(_scores(docs, depth), "lm-scores")
+
+
+def _scores(docs: DataFrame, depth: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held", "text")
     chunks = saved(encoded(rows), "lm-chunks")

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, width
+from .common import release, saved, step, width
 from .components import components, moved
 from .words import mix, words_of
 
@@ -543,7 +543,8 @@ def classes(docs: DataFrame) -> DataFrame:
     held = found.where("kind = 0")
     sets = held.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "band", "own", "next")), F.first("blob").alias("sketch"))
     sets = saved(sets, "sets")
-    roots = set_roots(found, sets, docs)
+    with step(docs.sparkSession) as keep:
+        roots = keep(set_roots(found, sets, docs), "roots")
     placed = _rooted(sets.where("doc_id is not null").select("set_id", "doc_id"), roots)
     # the least doc_id of a component of sets; a hot component is one group of sums, not of rows
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
