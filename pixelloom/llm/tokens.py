@@ -22,73 +22,82 @@ from tokenizers import Tokenizer
 #: What is not printable ASCII, tab, newline, carriage return, or a printable Latin letter or sign (other white space, and
 #: the one letter whose lower-case form is two characters).
 NOT_PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
-MEMORY = 600_000
+MEMORY = 500_000
 #: Bytes of text that are encoded at once, about.
-PART = 6 << 20
+PART = 3 << 20
+#: Signs that part from a letter or digit before them.
+SIGNS = pa.array(list(".,;:!?"))
 #: Pieces that are encoded as one text.
 JOINED = 500
 
 
 class _Known:
-    """Pieces that a worker has met, by number, and their ids in one array."""
+    """Pieces by number, and their ids in one array."""
 
-    def __init__(self, model: Tokenizer, spaced: bool) -> None:
-        self.model, self.spaced = model, spaced
-        # where pieces begin with a space, ids that begin with one show where they begin
-        self.spaced_id = np.array([(model.id_to_token(i) or "").startswith("\u0120") for i in range(model.get_vocab_size())])
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.used, self.ends = np.zeros(1 << 16, np.uint32), 0, np.zeros(1, np.int64)
-
-    def add(self, pieces: list[str]) -> None:
-        """Encodes pieces, JOINED of them as one text; those whose cuts wouldn't hold there (alone) each for itself."""
-        glue = "" if self.spaced else " "
-        alone = [k for k, p in enumerate(pieces) if self.spaced and (p[:1] != " " or p == " ")]
-        there = set(alone)
-        together = [k for k in range(len(pieces)) if k not in there] if alone else range(len(pieces))
-        runs = [together[at : at + JOINED] for at in range(0, len(together), JOINED)]
-        texts = [glue.join([pieces[k] for k in run]) for run in runs] + [pieces[k] for k in alone]
-        size, where, flat = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), []
-        found = self.model.encode_batch(texts, add_special_tokens=False)
-        at = 0
-        for run, e in zip([*runs, *([k] for k in alone)], found, strict=True):
-            ids = np.array(e.ids, np.uint32)
-            flat.append(ids)
-            if len(run) == 1:
-                counts = np.array([len(ids)])
-            elif self.spaced:
-                counts = np.diff(np.flatnonzero(self.spaced_id[ids]), append=len(ids))
-            else:
-                lengths = np.fromiter(map(len, (pieces[k] for k in run)), np.int64, len(run)) + len(glue)
-                starts = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
-                counts = np.bincount(np.searchsorted(np.cumsum(lengths) - lengths, starts, "right") - 1, minlength=len(run))
-            size[run] = counts
-            where[run] = at + np.cumsum(counts) - counts
-            at += len(ids)
-        ids = np.concatenate(flat)[spread(where, size)]
-        end = self.used + len(ids)
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat, self.used, self.ends = np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 14, np.int64)
+
+    def put(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        end, n = self.used + len(ids), len(self.number)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
+        if n + len(pieces) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(pieces), np.int64)])
         self.flat[self.used : end] = ids
-        self.ends = np.concatenate([self.ends, self.used + np.cumsum(size)])
+        self.ends[n + 1 : n + 1 + len(pieces)] = self.used + np.cumsum(sizes)
         self.used = end
-        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
-
-    def numbers(self, pieces: list[str]) -> np.ndarray:
-        """The pieces (distinct) by number; those that aren't known are encoded first."""
-        if len(self.number) + len(pieces) > MEMORY:
-            self.clear()
-        new = [p for p in pieces if p not in self.number]
-        if new:
-            self.add(new)
-        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces one after another, and how many each has."""
-        size = np.diff(self.ends)[numbers]
-        return self.flat[spread(self.ends[numbers], size)], size
+        sizes = self.ends[numbers + 1] - self.ends[numbers]
+        return self.flat[spread(self.ends[numbers], sizes)], sizes
+
+
+class _Memory:
+    """Ids of distinct pieces. What was asked for lately is remembered in two halves: when the younger one is full it becomes the
+    older one, and pieces that are asked for again move on."""
+
+    def __init__(self, model: Tokenizer, spaced: bool) -> None:
+        self.model, self.spaced = model, spaced
+        # where pieces begin with a space, ids that begin with one show where they begin
+        self.spaced_id = np.array([(model.id_to_token(i) or "").startswith("\u0120") for i in range(model.get_vocab_size())])
+        self.young, self.old = _Known(), _Known()
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after another, and how many each has."""
+        if len(self.young.number) > MEMORY // 2:
+            self.young, self.old = _Known(), self.young
+        young = self.young
+        new = [p for p in pieces if p not in young.number]
+        if new:
+            older = [p for p in new if p in self.old.number]
+            if older:
+                young.put(older, *self.old.ids(np.fromiter(map(self.old.number.__getitem__, older), np.int64, len(older))))
+                new = [p for p in new if p not in self.old.number]
+            self._encode(new)
+        return young.ids(np.fromiter(map(young.number.__getitem__, pieces), np.int64, len(pieces)))
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Encodes pieces, JOINED of them as one text; those whose cuts wouldn't hold there go alone."""
+        alone = [p for p in pieces if self.spaced and (p[:1] != " " or p == " ")]
+        if alone:
+            there = set(alone)
+            pieces = [p for p in pieces if p not in there]
+        for run in [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]:
+            found = self.model.encode(("" if self.spaced else " ").join(run), add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            if self.spaced:
+                sizes = np.diff(np.flatnonzero(self.spaced_id[ids]), append=len(ids))
+            else:
+                lengths = np.fromiter(map(len, run), np.int64, len(run)) + 1
+                starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+                sizes = np.bincount(np.searchsorted(np.cumsum(lengths) - lengths, starts, "right") - 1, minlength=len(run))
+            self.young.put(run, ids, sizes)
+        for p in alone:
+            ids = np.array(self.model.encode(p, add_special_tokens=False).ids, np.uint32)
+            self.young.put([p], ids, np.array([len(ids)]))
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -103,7 +112,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.cut = cut
-        self.known = _Known(self.model, cut == "bytes")
+        self.memory = _Memory(self.model, cut == "bytes")
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of one text."""
@@ -129,27 +138,45 @@ class Encoder:
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of texts that may be cut."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.cut == "words":
             lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(texts)))
         else:
             lists = pc.split_pattern(texts, " ")
         counts = np.diff(np.asarray(lists.offsets))
         coded = lists.flatten().dictionary_encode()
-        pieces, code = coded.dictionary.to_pylist(), np.asarray(coded.indices)
         first = np.cumsum(counts) - counts
+        code = np.asarray(coded.indices)
+        flat, size = self._pieces(coded.dictionary, " " if self.cut == "bytes" else "")
         if self.cut == "bytes":
             # a text's first piece has no space before it
             heads = pc.take(coded, pa.array(first)).dictionary_decode().dictionary_encode()
             code = code.copy()
-            code[first] = np.asarray(heads.indices) + len(pieces)
-            later = [" " + p for p in pieces]
-            number = {p: k for k, p in enumerate(later)}
-            # a first piece may itself begin with a space: the empty one before it has no ids
-            own = [number.setdefault(p, len(number)) for p in heads.dictionary.to_pylist()]
-            code = np.concatenate([np.arange(len(later)), np.array(own, np.int64)])[code]
-            pieces = list(number)
-        ids, size = self.known.ids(self.known.numbers(pieces)[code])
-        return ids, np.add.reduceat(np.append(size, 0), first) * (counts > 0) if len(first) else np.zeros(0, np.int64)
+            code[first] = np.asarray(heads.indices) + len(size)
+            more, sizes = self._pieces(heads.dictionary, "")
+            flat, size = np.concatenate([flat, more]), np.concatenate([size, sizes])
+        starts = np.cumsum(size) - size
+        return flat[spread(starts[code], size[code])], np.add.reduceat(np.append(size[code], 0), first) * (counts > 0)
+
+    def _pieces(self, pieces: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of distinct pieces. A sign after a letter or digit is a piece of its own to all tokenizers here."""
+        last = pc.index_in(pc.utf8_slice_codeunits(pieces, -1), SIGNS)
+        ends = pc.and_(pc.is_valid(last), pc.utf8_is_alnum(pc.utf8_slice_codeunits(pieces, -2, -1)))
+        stems = pc.if_else(ends, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        known = stems.dictionary.to_pylist()
+        if before:
+            known = [before + p for p in known]
+        flat, size = self.memory.ids(known)
+        more, sizes = self.memory.ids(SIGNS.to_pylist())
+        flat, size = np.concatenate([flat, more]), np.concatenate([size, sizes])
+        starts = np.cumsum(size) - size
+        # each piece is its stem, and its sign if it has one
+        both = np.empty((len(pieces), 2), np.int64)
+        both[:, 0], both[:, 1] = np.asarray(stems.indices), len(known) + np.asarray(last.fill_null(0))
+        sizes = size[both]
+        sizes[~np.asarray(ends), 1] = 0
+        return flat[spread(starts[both.ravel()], sizes.ravel())], sizes.sum(1)
 
 
 def parts(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:

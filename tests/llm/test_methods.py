@@ -63,15 +63,32 @@ def test_packing_keeps_items_and_capacity():
 
 
 def test_tokens_equal_the_library():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     r = random.Random(4)
     texts = ["".join(r.choice("ab '\n\t\r1,.é  it's'S’Aßü-_\\\"²　\x85日") for _ in range(r.randint(0, 60))) for _ in range(400)]
+    # texts that are cut: plain letters and signs, single spaces beside other white space
+    texts += ["".join(r.choice("ab \n\t\r1'é.,a.b!") for _ in range(r.randint(0, 14))) for _ in range(5000)]
+    texts += [None, "", " ", "  ", " a", "a ", "\n \n", "<|endoftext|>", "word " * 50_000, "x" * 100_000]
     for name, cut in (("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")):
         own, t = tokens.encoder(vocabulary(name), cut), Tokenizer.from_file(vocabulary(name))
         t.encode_special_tokens = True
-        for x in texts:
-            assert own.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        ids, cuts = own.column(pa.array(["cut away", *texts]).slice(1))
+        for x, a, b in zip(texts, cuts, cuts[1:], strict=True):
+            assert ids[a:b].tolist() == t.encode(x or "", add_special_tokens=False).ids
+
+
+def test_memory_of_pieces_turns_over(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "MEMORY", 40)
+    own = tokens.Encoder(vocabulary("byte_bpe_50k.json"), "bytes")
+    texts = [f"one two{i % 7} three{i}. one" for i in range(300)]
+    for part in (texts[:100], texts[:100], texts[100:], texts):
+        ids, cuts = own.column(pa.array(part))
+        for x, a, b in zip(part, cuts, cuts[1:], strict=True):
+            assert ids[a:b].tolist() == own.model.encode(x, add_special_tokens=False).ids
 
 
 def test_digest_is_a_bounded_difference():
