@@ -161,8 +161,9 @@ class _Chunk:
     """A chunk's words in one row of positions, with one before each text for its start; levels are filled in as answers come.
     ``keys[k]``, ``counts[k]``, ``kept[k]`` belong to the string of k + 1 words that ends at each position."""
 
-    def __init__(self, table: pa.Table, answers: pa.Table, totals: tuple[int, int, int], buckets: int) -> None:
+    def __init__(self, table: pa.Table, answers: pa.Table, totals: tuple[int, int, int], buckets: int, depth: int) -> None:
         r = table.to_pylist()[0]
+        self.depth = depth
         self.number, self.doc_ids, self.held, self.buckets = r["chunk"], r["doc_ids"], r["held"], buckets
         self.tokens, self.words, texts = totals
         raw = np.frombuffer(pa.decompress(r["tokens"], decompressed_size=4 * r["total"], codec="zstd", asbytes=True), np.uint8)
@@ -188,9 +189,15 @@ class _Chunk:
         return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * columns
 
     def after(self, k: int) -> np.ndarray:
-        """Positions after a kept context of k words."""
+        """Positions after a kept context of k words.
+
+        A context that occurs as often as it does without its first word is followed by the same words as often, so it differs in
+        none. As a longest context it can't be retained as another's suffix either, and is left out.
+        """
         ok = self.left >= k
         ok[1:] &= self.kept[k - 1][:-1]
+        if k == self.depth > 1:
+            ok[1:] &= self.counts[k - 1][:-1] != self.counts[k - 2][:-1]
         return np.flatnonzero(ok)
 
     def strings(self, k: int) -> tuple[np.ndarray, ...]:
@@ -215,15 +222,16 @@ class _Chunk:
         self.kept.append(n >= LEAST)
         self.counted.append(first[(answer & 1).astype(bool)])
 
-    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Distinct contexts of all lengths; the positions after contexts, for each length; and which context each has."""
-        at = [self.after(k) for k in range(1, depth + 1)]
+        at = [self.after(k) for k in range(1, self.depth + 1)]
         keys, which, _ = distinct(np.concatenate([self.keys[k][a - 1] for k, a in enumerate(at)]))
         return keys, at, np.split(which, np.cumsum([len(a) for a in at])[:-1])
 
-    def ask_contexts(self, depth: int) -> list[tuple]:
+    def ask_contexts(self) -> list[tuple]:
         """For each context: kept next words that this chunk counts, how often they occur, and whether one differs."""
-        keys, at, which = self.contexts(depth)
+        keys, at, which = self.contexts()
+        depth = self.depth
         place = np.zeros((depth, len(self.left)), np.int64)
         for k in range(depth):
             place[k, at[k]] = which[k]
@@ -240,11 +248,11 @@ class _Chunk:
                 differ[place[j, far]] = 1
         return _sent(self.number, CONTEXTS, self.buckets, keys, [kinds, kept, differ])
 
-    def scores(self, depth: int) -> pa.Table:
-        _, at, which = self.contexts(depth)
+    def scores(self) -> pa.Table:
+        _, at, which = self.contexts()
         kinds, kept = self._answer(CONTEXTS, 2)
         p = self.root.copy()
-        for k in range(1, depth + 1):
+        for k in range(1, self.depth + 1):
             retained = kinds[which[k - 1]] > 0
             i, c = at[k - 1][retained], which[k - 1][retained]
             count, n = self.counts[k - 1][i - 1], np.where(self.kept[k][i], self.counts[k][i], 0)
@@ -308,10 +316,10 @@ def _asking(k: int, depth: int, buckets: int, totals: tuple[int, int, int]):
     """A chunk's parts of level k; after the last level, those of its contexts."""
 
     def run(c: pa.Table, a: pa.Table) -> pa.Table:
-        chunk = _Chunk(c, a, totals, buckets)
+        chunk = _Chunk(c, a, totals, buckets, depth)
         for j in range(1, min(k, depth + 1)):
             chunk.learn(j)
-        return _table(PARTS, chunk.ask(k) if k <= depth else chunk.ask_contexts(depth))
+        return _table(PARTS, chunk.ask(k) if k <= depth else chunk.ask_contexts())
 
     return run
 
@@ -345,10 +353,10 @@ def _scores(docs: DataFrame, depth: int) -> DataFrame:
         release(spark)
 
     def score(c: pa.Table, a: pa.Table) -> pa.Table:
-        chunk = _Chunk(c, a, totals, buckets)
+        chunk = _Chunk(c, a, totals, buckets, depth)
         for j in range(1, depth + 1):
             chunk.learn(j)
-        return chunk.scores(depth)
+        return chunk.scores()
 
     return both().applyInArrow(score, SCORES).withColumn("train_tokens", F.lit(totals[0]).cast("long"))
 
