@@ -22,88 +22,74 @@ from tokenizers import Tokenizer
 #: What is not printable ASCII, tab, newline, carriage return, or a printable Latin letter or sign (other white space, and
 #: the one letter whose lower-case form is two characters).
 NOT_PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
-MEMORY = 500_000
+MEMORY = 1_500_000
 #: Bytes of text that are encoded at once, about.
-PART = 3 << 20
+PART = 8 << 20
 #: Signs that part from a letter or digit before them.
 SIGNS = pa.array(list(".,;:!?"))
 #: Pieces that are encoded as one text.
 JOINED = 500
 
 
-class _Known:
-    """Pieces by number, and their ids in one array."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.used, self.ends = np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 14, np.int64)
-
-    def put(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        end, n = self.used + len(ids), len(self.number)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
-        if n + len(pieces) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(pieces), np.int64)])
-        self.flat[self.used : end] = ids
-        self.ends[n + 1 : n + 1 + len(pieces)] = self.used + np.cumsum(sizes)
-        self.used = end
-        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-
-    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces one after another, and how many each has."""
-        sizes = self.ends[numbers + 1] - self.ends[numbers]
-        return self.flat[spread(self.ends[numbers], sizes)], sizes
-
-
 class _Memory:
-    """Ids of distinct pieces. What was asked for lately is remembered in two halves: when the younger one is full it becomes the
-    older one, and pieces that are asked for again move on."""
+    """Ids of distinct pieces, each encoded with ``before`` in front. Known pieces are one Arrow array, whose look-up is an array operation;
+    the older half is forgotten when it is full."""
 
-    def __init__(self, model: Tokenizer, spaced: bool) -> None:
-        self.model, self.spaced = model, spaced
+    def __init__(self, model: Tokenizer, before: str, joined: bool) -> None:
+        self.model, self.before, self.joined = model, before, joined
         # where pieces begin with a space, ids that begin with one show where they begin
-        self.spaced_id = np.array([(model.id_to_token(i) or "").startswith("\u0120") for i in range(model.get_vocab_size())])
-        self.young, self.old = _Known(), _Known()
+        self.spaced = np.array([(model.id_to_token(i) or "").startswith("\u0120") for i in range(model.get_vocab_size())])
+        self.known, self.flat, self.ends = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct pieces one after another, and how many each has."""
-        if len(self.young.number) > MEMORY // 2:
-            self.young, self.old = _Known(), self.young
-        young = self.young
-        new = [p for p in pieces if p not in young.number]
-        if new:
-            older = [p for p in new if p in self.old.number]
-            if older:
-                young.put(older, *self.old.ids(np.fromiter(map(self.old.number.__getitem__, older), np.int64, len(older))))
-                new = [p for p in new if p not in self.old.number]
-            self._encode(new)
-        return young.ids(np.fromiter(map(young.number.__getitem__, pieces), np.int64, len(pieces)))
-
-    def _encode(self, pieces: list[str]) -> None:
+        if len(self.known) > MEMORY:
+            half = len(self.known) // 2
+            # copied, so that the old buffers go
+            self.known = pa.concat_arrays([self.known.slice(half), pa.array([], pa.string())])
+            self.flat, self.ends = self.flat[self.ends[half] :].copy(), self.ends[half:] - self.ends[half]
+        at = pc.index_in(pieces, self.known)
+        fresh = pc.is_null(at)
+        new = pieces.filter(fresh)
+        at = np.array(at.fill_null(0), np.int64)
+        if len(new):
+            at[np.asarray(fresh)] = np.arange(len(self.known), len(self.known) + len(new))
+            ids, sizes = self._encoded(new.to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat = np.concatenate([self.flat, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        sizes = self.ends[at + 1] - self.ends[at]
+        return self.flat[spread(self.ends[at], sizes)], sizes
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encodes pieces, JOINED of them as one text; those whose cuts wouldn't hold there go alone."""
-        alone = [p for p in pieces if self.spaced and (p[:1] != " " or p == " ")]
-        if alone:
-            there = set(alone)
-            pieces = [p for p in pieces if p not in there]
-        for run in [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]:
-            found = self.model.encode(("" if self.spaced else " ").join(run), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            if self.spaced:
-                sizes = np.diff(np.flatnonzero(self.spaced_id[ids]), append=len(ids))
-            else:
-                lengths = np.fromiter(map(len, run), np.int64, len(run)) + 1
-                starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-                sizes = np.bincount(np.searchsorted(np.cumsum(lengths) - lengths, starts, "right") - 1, minlength=len(run))
-            self.young.put(run, ids, sizes)
-        for p in alone:
-            ids = np.array(self.model.encode(p, add_special_tokens=False).ids, np.uint32)
-            self.young.put([p], ids, np.array([len(ids)]))
+        size, found = JOINED if self.joined else 1, []
+        for run in [pieces[at : at + size] for at in range(0, len(pieces), size)]:
+            # two spaces in a row aren't cut
+            for part in [run] if self.joined and (not self.before or "" not in run) else [[p] for p in run]:
+                found.append(self._one(part))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _one(self, run: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        e = self.model.encode(self.before + " ".join(run), add_special_tokens=False)
+        ids = np.array(e.ids, np.uint32)
+        if len(run) == 1:
+            return ids, np.array([len(ids)])
+        if self.before:
+            return ids, np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids))
+        lengths = np.fromiter(map(len, run), np.int64, len(run)) + 1
+        starts = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
+        return ids, np.bincount(np.searchsorted(np.cumsum(lengths) - lengths, starts, "right") - 1, minlength=len(run))
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places start, start + 1, ... of all runs, one after another."""
     before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+    n = int(sizes.sum())
+    kind = np.int32 if n < 1 << 31 and (len(starts) == 0 or int(starts.max()) < 1 << 31) else np.int64
+    out = np.repeat((starts - before).astype(kind), sizes)
+    out += np.arange(n, dtype=kind)
+    return out
 
 
 class Encoder:
@@ -112,7 +98,10 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.cut = cut
-        self.memory = _Memory(self.model, cut == "bytes")
+        bytes_ = cut == "bytes"
+        self.later = _Memory(self.model, " " if bytes_ else "", True)
+        # a text's first piece has no space before it; nor has a sign
+        self.first = _Memory(self.model, "", not bytes_)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of one text."""
@@ -148,32 +137,29 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         first = np.cumsum(counts) - counts
         code = np.asarray(coded.indices)
-        flat, size = self._pieces(coded.dictionary, " " if self.cut == "bytes" else "")
+        flat, size = self._pieces(coded.dictionary, self.later)
         if self.cut == "bytes":
-            # a text's first piece has no space before it
             heads = pc.take(coded, pa.array(first)).dictionary_decode().dictionary_encode()
             code = code.copy()
             code[first] = np.asarray(heads.indices) + len(size)
-            more, sizes = self._pieces(heads.dictionary, "")
+            more, sizes = self._pieces(heads.dictionary, self.first)
             flat, size = np.concatenate([flat, more]), np.concatenate([size, sizes])
         starts = np.cumsum(size) - size
         return flat[spread(starts[code], size[code])], np.add.reduceat(np.append(size[code], 0), first) * (counts > 0)
 
-    def _pieces(self, pieces: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, pieces: pa.Array, memory: _Memory) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of distinct pieces. A sign after a letter or digit is a piece of its own to all tokenizers here."""
         last = pc.index_in(pc.utf8_slice_codeunits(pieces, -1), SIGNS)
         ends = pc.and_(pc.is_valid(last), pc.utf8_is_alnum(pc.utf8_slice_codeunits(pieces, -2, -1)))
         stems = pc.if_else(ends, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
-        known = stems.dictionary.to_pylist()
-        if before:
-            known = [before + p for p in known]
-        flat, size = self.memory.ids(known)
-        more, sizes = self.memory.ids(SIGNS.to_pylist())
+        flat, size = memory.ids(stems.dictionary)
+        more, sizes = self.first.ids(SIGNS)
+        n = len(size)
         flat, size = np.concatenate([flat, more]), np.concatenate([size, sizes])
         starts = np.cumsum(size) - size
         # each piece is its stem, and its sign if it has one
         both = np.empty((len(pieces), 2), np.int64)
-        both[:, 0], both[:, 1] = np.asarray(stems.indices), len(known) + np.asarray(last.fill_null(0))
+        both[:, 0], both[:, 1] = np.asarray(stems.indices), n + np.asarray(last.fill_null(0))
         sizes = size[both]
         sizes[~np.asarray(ends), 1] = 0
         return flat[spread(starts[both.ravel()], sizes.ravel())], sizes.sum(1)
