@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,37 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows that a worker gets at once: whole texts, so some megabytes.
+RECORDS = 2500
+
+
+def tidy() -> None:
+    """Gives a worker's free memory back: workers live on, idle or for other steps, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def mapped(run: Callable, schema) -> Callable[[DataFrame], DataFrame]:
+    """mapInArrow for ``DataFrame.transform``: batches of at most RECORDS rows, and memory given back at the end of a task."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    def apply(df: DataFrame) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if int(df.sparkSession.conf.get(key)) > RECORDS:
+            df.sparkSession.conf.set(key, str(RECORDS))
+        return df.mapInArrow(over, schema)
+
+    return apply
+
+
 def width(spark: SparkSession) -> int:
     """How many partitions a shuffle should have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import width
+from .common import mapped, width
 from .ordered import part_bounds, part_column
 
 BUCKETS = 256
@@ -140,7 +140,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    return with_successor(docs).mapInArrow(run, SCHEMA)
+    return with_successor(docs).transform(mapped(run, SCHEMA))
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import pages
+from .common import mapped
 
 PAGES = 500
 HIDDEN = 20
@@ -363,4 +364,4 @@ def main_text(pages_: DataFrame, model: Labeller | None = None) -> DataFrame:
                 texts = ["\n".join(b[1] for b, k in zip(f, ks, strict=True) if k) for f, ks in zip(found, keep, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages_.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages_.select("page_id", "url", "html").transform(mapped(run, SCHEMA))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, step, width
+from .common import mapped, release, saved, step, tidy, width
 from .words import mix, words_of
 
 DEPTH = 3
@@ -141,7 +141,7 @@ def encoded(docs: DataFrame) -> DataFrame:
         if total:
             yield row(number, *found)
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.transform(mapped(run, CHUNKS))
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -309,7 +309,7 @@ def _words(chunks: DataFrame, buckets: int) -> DataFrame:
                 keys, counts = unpack_keys(r["vocabulary"], r["n"], 1)
                 yield from _table(PARTS, _sent(r["chunk"], 0, buckets, keys, [counts])).to_batches()
 
-    return chunks.select("chunk", "n", "vocabulary").mapInArrow(run, PARTS)
+    return chunks.select("chunk", "n", "vocabulary").transform(mapped(run, PARTS))
 
 
 def _asking(k: int, depth: int, buckets: int, totals: tuple[int, int, int]):
@@ -319,7 +319,10 @@ def _asking(k: int, depth: int, buckets: int, totals: tuple[int, int, int]):
         chunk = _Chunk(c, a, totals, buckets, depth)
         for j in range(1, min(k, depth + 1)):
             chunk.learn(j)
-        return _table(PARTS, chunk.ask(k) if k <= depth else chunk.ask_contexts())
+        out = _table(PARTS, chunk.ask(k) if k <= depth else chunk.ask_contexts())
+        del chunk
+        tidy()
+        return out
 
     return run
 
@@ -356,7 +359,10 @@ def _scores(docs: DataFrame, depth: int) -> DataFrame:
         chunk = _Chunk(c, a, totals, buckets, depth)
         for j in range(1, depth + 1):
             chunk.learn(j)
-        return chunk.scores()
+        out = chunk.scores()
+        del chunk
+        tidy()
+        return out
 
     return both().applyInArrow(score, SCORES).withColumn("train_tokens", F.lit(totals[0]).cast("long"))
 

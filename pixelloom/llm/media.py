@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 MAGIC = b"\x80PCMU8\0"
 RATE = 8000
 PACKET = 4000
@@ -212,7 +214,7 @@ def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                     arrays.append(pa.array(clips, pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, NAMES + ["media"] * keep_media)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", media binary" * keep_media)
+    return docs.select("doc_id", "text").transform(mapped(run, SCHEMA + ", media binary" * keep_media))
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import mapped, saved
 from .tokens import encoder, parts, spread
 
 CAPACITY = 4096
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
                 columns = [part.column(0).take(pa.array(row)), number.astype(np.int32), start, length, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped(run, PIECES))
 
 
 # -- one island ------------------------------------------------------------------------------------------------
@@ -193,7 +193,7 @@ def _round(islands: DataFrame, capacity: int, number: int, seed: int) -> DataFra
                     ["group", "island", "found", "bins", "fill"],
                 )
 
-    return islands.select("group", "island", "lengths", "migrants").mapInArrow(run, STATE)
+    return islands.select("group", "island", "lengths", "migrants").transform(mapped(run, STATE))
 
 
 def _level(items: DataFrame, groups: int, capacity: int, level: int, seed: int) -> DataFrame:

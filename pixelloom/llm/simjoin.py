@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, step, width
+from .common import mapped, release, saved, step, tidy, width
 from .components import components, moved
 from .words import mix, words_of
 
@@ -57,7 +57,7 @@ FEW = 32
 #: Sets of a block that are compared with ROWS sets in a task.
 BLOCK, ROWS = 2048, 4096
 #: Keys of a chunk; chunks whose keys meet in a task.
-CHUNK, FAN = 1_500_000, 512
+CHUNK, FAN = 1_000_000, 512
 #: Ids that may be broadcast: 8 bytes each, some megabytes in all. More are joined by shuffling.
 BROADCAST_IDS = 500_000
 #: The band of a key is its last BAND_BITS bits; keys have KEY_BITS.
@@ -311,7 +311,7 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
         if total:
             yield from _sent(chunk, buckets, np.concatenate(ks), _repeated(of), np.zeros(total, bool), passing)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SENT)
+    return docs.select("doc_id", "text").transform(mapped(run, SENT))
 
 
 def _repeated(of: list[tuple[int, int]]) -> np.ndarray:
@@ -367,13 +367,15 @@ def _met(t: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.concatenate([[True], k[rows][1:] != k[rows][:-1]])) if n else np.zeros(0, np.int64)
     a, b = star_pairs(ids[rows], starts)
     out.append(_rows(MET, len(a), kind=np.full(len(a), 2, np.int32), key=a, set_id=b))
+    del k, ids, many
+    tidy()
     return pa.Table.from_batches(out, schema)
 
 
 def met(docs: DataFrame) -> DataFrame:
     """MET rows of documents (doc_id, text), saved."""
     parts = docs.rdd.getNumPartitions()
-    buckets = max(width(docs.sparkSession), 2 * parts)
+    buckets = max(width(docs.sparkSession), 3 * parts)
     sent, groups = sketched(docs, buckets), parts
     while groups > FAN:
         groups = -(-groups // FAN)
@@ -404,7 +406,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["set_id", "shingles"])
 
     # repeated rows may give a set twice, which gives links twice
-    return saved(texts.mapInArrow(run, FULL), "full-sets")
+    return saved(texts.transform(mapped(run, FULL)), "full-sets")
 
 
 def _good(test):
@@ -429,11 +431,11 @@ def _sides(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) of set_ids that are linked, saved."""
     fit = _sides(pairs, sets, "n", "sketch").where(F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * LINK)
-    near = saved(fit.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_good(lambda m, n, p, q: 9 * apart(p, q) <= m + n), "a long, b long"), "near-pairs")
+    near = saved(fit.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").transform(mapped(_good(lambda m, n, p, q: 9 * apart(p, q) <= m + n), "a long, b long")), "near-pairs")
     wanted = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     full = full_sets(docs, saved(sets.join(wanted, "set_id", "left_semi").where("doc_id is not null").select("doc_id", "set_id"), "near-sets"))
     sides = _sides(near, full, "shingles").select("a", "b", "shingles_a", "shingles_b")
-    out = saved(sides.mapInArrow(_good(lambda p, q: linked(np.frombuffer(p, _U), np.frombuffer(q, _U))), "a long, b long"), "links")
+    out = saved(sides.transform(mapped(_good(lambda p, q: linked(np.frombuffer(p, _U), np.frombuffer(q, _U))), "a long, b long")), "links")
     release(docs.sparkSession)
     return out
 

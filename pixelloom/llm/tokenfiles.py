@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import mapped, scratch
 from .ordered import in_order
 from .tokens import encoder, parts
 
@@ -56,7 +56,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, cut: str = "bytes", end:
                 )
                 seq += n
 
-    rows.mapInArrow(run, FILE_SCHEMA).write.options(**OPTIONS).orc(path)
+    rows.transform(mapped(run, FILE_SCHEMA)).write.options(**OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +78,7 @@ def digests(files: DataFrame) -> DataFrame:
             crc = [zlib.crc32(view[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], [x.split()[0] for x in DIGEST.split(", ")])
 
-    return files.select("part", "seq", "doc_id", "ids").mapInArrow(run, DIGEST)
+    return files.select("part", "seq", "doc_id", "ids").transform(mapped(run, DIGEST))
 
 
 def with_starts(rows: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 NOT_PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
 MEMORY = 1_500_000
 #: Bytes of text that are encoded at once, about.
-PART = 8 << 20
+PART = 10 << 20
 #: Signs that part from a letter or digit before them.
 SIGNS = pa.array(list(".,;:!?"))
 #: Pieces that are encoded as one text.
@@ -168,7 +168,9 @@ class Encoder:
 def parts(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
     """A batch cut into runs of rows whose texts have about PART bytes; a longer text is a run of its own."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
-    part = (np.cumsum(sizes) - sizes) // PART
+    # equal runs, so that the last one isn't a small rest
+    step = max(1, -(-int(sizes.sum()) // max(1, -(-int(sizes.sum()) // PART))))
+    part = (np.cumsum(sizes) - sizes) // step
     starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
     return [batch.slice(a, b - a) for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True)]
 

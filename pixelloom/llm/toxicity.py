@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import mapped, saved
 
 SAMPLE = 20_000
 PRIOR = 0.05
@@ -37,7 +37,7 @@ STEM = (4, 8)
 FUZZY_FROM, FUZZY_STEM = 4, 6
 WINDOW = 8
 #: Words, and steps of the product automaton, that a worker remembers; what is forgotten costs time only.
-KNOWN, STEPS = 200_000, 300_000
+KNOWN, STEPS = 150_000, 100_000
 #: Least likelihood ratio of a term's uses: about what the best of a million terms without meaning reaches.
 CHANCE = 28.0
 #: Words with inner digits and signs are whole; PART cuts such a word into its letters.
@@ -268,14 +268,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     support = max(3, math.ceil(0.002 * toxic))
     bad, good = F.col("toxic") == 1, F.col("toxic") != 1
-    found = held.select("text", "toxic").mapInArrow(run, TERMS).groupBy("term", "stem").agg(F.count_if(bad).alias("bad"), F.count_if(good).alias("good"), F.sum(F.when(bad, F.col("uses")).otherwise(0)).alias("bad_uses"), F.sum(F.when(good, F.col("uses")).otherwise(0)).alias("good_uses"))
+    found = held.select("text", "toxic").transform(mapped(run, TERMS)).groupBy("term", "stem").agg(F.count_if(bad).alias("bad"), F.count_if(good).alias("good"), F.sum(F.when(bad, F.col("uses")).otherwise(0)).alias("bad_uses"), F.sum(F.when(good, F.col("uses")).otherwise(0)).alias("good_uses"))
     # telling terms only: few, as each needs its share of the toxic documents
     found = saved(found, "toxicity-terms")
     rows = found.where((F.col("bad") >= support) & (F.col("good") <= F.col("bad") / 2)).collect()
     entries = _choose(rows, toxic, clean)
     # words that clean documents use at least as often; few of them are near an entry
     usual = found.where(~F.col("stem") & (F.col("good") >= 2) & (F.col("good") * float(toxic) >= F.col("bad") * float(clean)))
-    plain = frozenset(r.term for r in usual.select("term").mapInArrow(_near(entries), "term string").collect())
+    plain = frozenset(r.term for r in usual.select("term").transform(mapped(_near(entries), "term string")).collect())
     vectors = feature_rows(held.withColumn("doc_id", F.col("toxic").cast("long")), entries, plain).collect()
     x = np.array([list(r.features) for r in vectors])
     y = np.array([float(r.doc_id == 1) for r in vectors])
@@ -300,7 +300,7 @@ def feature_rows(docs: DataFrame, entries: list, plain: frozenset = frozenset())
             rows = [features(t, lexicon) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, features array<double>")
+    return docs.select("doc_id", "text").transform(mapped(run, "doc_id long, features array<double>"))
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -319,7 +319,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*schema.fields, StructField(name, DoubleType())]))
+    return docs.transform(mapped(run, StructType([*schema.fields, StructField(name, DoubleType())])))
 
 
 def held_out(doc_id) -> Column:
