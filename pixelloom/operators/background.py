@@ -14,7 +14,7 @@ PROTOTYPES = 96
 def sizes(df: DataFrame) -> DataFrame:
     """Adds w and h of the image (one row an image is joined)."""
     s = df.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    return df.join(F.broadcast(s), "image_id")
+    return df.join(s, "image_id")
 
 
 def on_border(band: int) -> Column:
@@ -34,7 +34,7 @@ def border_likelihood(df: DataFrame, band: int = 3, radius: int = 4) -> DataFram
     protos = b.groupBy("image_id").agg(F.collect_list(F.struct("lab_l", "lab_a", "lab_b")).alias("_p"))
     sq = lambda p, c, k: F.pow((F.col(f"lab_{c}") - p[f"lab_{c}"]) / k, F.lit(2.0))
     near = F.array_min(F.transform("_p", lambda p: sq(p, "l", 100.0) + sq(p, "a", 128.0) + sq(p, "b", 128.0)))
-    raw = df.join(F.broadcast(protos), "image_id").withColumn("border_bg", F.exp(-near / (0.16 * 0.16))).drop("_p")
+    raw = df.join(protos, "image_id").withColumn("border_bg", F.exp(-near / (0.16 * 0.16))).drop("_p")
     return box_blur(raw, ["border_bg"], radius)
 
 
@@ -77,7 +77,7 @@ def protect(df: DataFrame, weights: dict[str, float], low: float = 70.0, high: f
 def soft_background(df: DataFrame, mask: str, weights: tuple[float, float, float] = (0.0, 0.08, 0.15)) -> DataFrame:
     """Adds soft_bg: border likelihood blended with the mask, the less the emptier the mask."""
     s = mask_stats(df, mask)
-    j = df.join(F.broadcast(s), "image_id")
+    j = df.join(s, "image_id")
     flat = F.col("kinds") <= 2
     w = F.when(flat & ((F.col("mean") <= 0.02) | (F.col("mean") >= 0.98)), weights[0]).when(flat, weights[1]).otherwise(weights[2])
     return j.withColumn("soft_bg", clamp01(F.col(mask) * w + F.col("border_bg") * (F.lit(1.0) - w))).drop("mean", "kinds")

@@ -51,7 +51,7 @@ def octree_leaves(df: DataFrame, depth: int = 8) -> DataFrame:
 def octree_range_leaves(df: DataFrame, columns: list[str], depth: int = 8) -> DataFrame:
     """The same by midpoints of the image's bounding box: a digit says where a value is above the middle."""
     box = df.groupBy("image_id").agg(*[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns])
-    df = df.join(F.broadcast(box), "image_id")
+    df = df.join(box, "image_id")
     cell = {}
     for c in columns:
         span = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
@@ -95,9 +95,13 @@ def kmeans(p: np.ndarray, w: np.ndarray, k: int, seed: int = 42, rounds: int = 5
             a = _nearest(p[own], c)
             add = np.bincount(a, w[own], k)
             total += add
+            before = c.copy()
             for j in np.flatnonzero(add):
                 m = a == j
                 c[j] += (np.average(p[own][m], axis=0, weights=w[own][m]) - c[j]) * add[j] / total[j]
+            # a batch that moves no centre is the last
+            if i and ((c - before) ** 2).sum(1).max() < 1e-2 * 1e-2:
+                break
         return _nearest(p, c)
     for _ in range(rounds):
         a = _nearest(p, c)
@@ -109,113 +113,115 @@ def kmeans(p: np.ndarray, w: np.ndarray, k: int, seed: int = 42, rounds: int = 5
     return _nearest(p, c)
 
 
-def median_cut(p: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
-    """Splits the bucket of most pixels on its widest axis at half of its pixels, k - 1 times."""
-    label = np.zeros(len(p), int)
-    for new in range(1, k):
-        sizes = np.bincount(label, w, new)
-        can = [j for j in range(new) if (label == j).sum() > 1]
+def median_cut(p: np.ndarray, w: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Splits the bucket of most pixels on its widest axis (ties: the last) at half of its pixels, k - 1 times. Buckets are (points,
+    pixels of each): the point in the middle may have pixels on both sides. Points are in the order of their first pixels."""
+    buckets = [(np.arange(len(p)), w.astype(float))]
+    while len(buckets) < k:
+        can = [i for i, (_, n) in enumerate(buckets) if n.sum() > 1]
         if not can:
             break
-        j = max(can, key=lambda i: (sizes[i], i))
-        own = np.flatnonzero(label == j)
+        at = max(can, key=lambda i: (buckets[i][1].sum(), i))
+        own, n = buckets[at]
         span = np.ptp(p[own], axis=0)
-        axis = max(range(p.shape[1]), key=lambda i: (span[i], i))
-        order = own[np.argsort(p[own, axis], kind="stable")]
-        half = np.searchsorted(np.cumsum(w[order]), w[order].sum() / 2, "right")
-        label[order[min(max(1, half), len(order) - 1) :]] = new
-    return label
-
-
-def variance_cut(p: np.ndarray, w: np.ndarray, depth: int = 5, threshold: float = 1.0) -> np.ndarray:
-    """Halves clusters at the upper median of their channel of highest variance, level by level."""
-    label = np.zeros(len(p), int)
-
-    def split(own: np.ndarray, level: int) -> None:
-        if len(own) <= 1 or level >= depth:
-            return
-        m = np.average(p[own], axis=0, weights=w[own])
-        var = np.average((p[own] - m) ** 2, axis=0, weights=w[own])
-        if var.sum() < threshold:
-            return
-        axis = int(var.argmax())
-        order = own[np.argsort(p[own, axis], kind="stable")]
-        cum = np.cumsum(w[order])
-        cut = p[order[np.searchsorted(cum, cum[-1] // 2, "right")], axis]
-        left = p[own, axis] <= cut
-        share = w[own][left].sum() / w[own].sum()
-        if not left.any() or left.all() or max(share, 1 - share) > 0.95:
-            return
-        label[own[~left]] = label.max() + 1
-        split(own[left], level + 1)
-        split(own[~left], level + 1)
-
-    split(np.arange(len(p)), 0)
-    return label
-
-
-def octree(rgb: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
-    """Merges the deepest, smallest octree nodes into their parents until at most k leaves are left."""
-    q = rgb.astype(int)
-    path = [tuple((int(r) >> (7 - d) & 1) << 2 | (int(g) >> (7 - d) & 1) << 1 | (int(b) >> (7 - d) & 1) for d in range(8)) for r, g, b in q]
-    leaves: dict[tuple, list[int]] = {}
-    for i, t in enumerate(path):
-        leaves.setdefault(t, []).append(i)
-    for depth in range(8, 0, -1):
-        parents: dict[tuple, list[tuple]] = {}
-        for t in leaves:
-            if len(t) == depth:
-                parents.setdefault(t[:-1], []).append(t)
-        size = {t: sum(w[leaves[c]].sum() for c in own) for t, own in parents.items()}
-        for t in sorted(parents, key=lambda x: (size[x], x)):
-            if len(leaves) <= k:
-                break
-            merged = [i for c in parents[t] for i in leaves.pop(c)]
-            leaves.setdefault(t, []).extend(merged)
-        if len(leaves) <= k:
-            break
-    label = np.zeros(len(rgb), int)
-    for j, t in enumerate(sorted(leaves)):
-        label[leaves[t]] = j
-    return label
-
-
-PALETTE = "image_id long, algorithm string, colorspace string, entry int, r int, g int, b int, hex string, lab_l double, proportion double, is_dominant boolean"
-
-
-def _lab_l(rgb: np.ndarray) -> np.ndarray:
-    c = rgb / 255
-    lin = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
-    y = lin @ np.array(C.TO_XYZ[1])
-    return np.where(y > 216 / 24389, 116 * np.cbrt(y) - 16, y * 24389 / 27)
+        order = np.argsort(p[own, int(np.flatnonzero(span == span.max())[-1])], kind="stable")
+        own, n = own[order], n[order]
+        half = n.sum() // 2 if (n == np.floor(n)).all() else n.sum() / 2
+        left = np.clip(half - (np.cumsum(n) - n), 0, n)
+        buckets[at] = (own[left > 0], left[left > 0])
+        right = n - left
+        buckets.append((own[right > 0], right[right > 0]))
+    return buckets
+
+
+def octree(path: np.ndarray, w: np.ndarray, k: int) -> list[np.ndarray]:
+    """Leaves of an octree reduced to about k: path (n, 8) has the octant of each point at each level, points in the order of their first pixels.
+
+    Fixed rules: the deepest level first, in it the node that was split last; a node takes in all its children unless that leaves fewer than
+    k, else only as many of the smallest as needed, whose pixels then belong to no leaf. Leaves are counted one short, so k + 1 may be left.
+    """
+    depth = path.shape[1]
+    number = [np.zeros(len(path), np.int64)]
+    for d in range(depth):
+        # nodes of a level in the order in which they were made
+        _, first, inverse = np.unique(np.stack([number[-1], path[:, d]], 1), axis=0, return_index=True, return_inverse=True)
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(first)] = np.arange(len(first))
+        number.append(rank[inverse.ravel()])
+    leaf = number[depth].copy()
+    members = {(depth, int(i)): np.flatnonzero(leaf == i) for i in np.unique(leaf)}
+    size = {node: float(w[m].sum()) for node, m in members.items()}
+    count = len(members) - 1
+    for d in range(depth - 1, -1, -1):
+        kids: dict[int, list[tuple[int, tuple[int, int]]]] = {}
+        at = np.unique(number[d + 1], return_index=True)[1]
+        for i in at.tolist():
+            child = (d + 1, int(number[d + 1][i]))
+            kids.setdefault(int(number[d][i]), []).append((int(path[i, d]), child))
+        for node in sorted(kids, reverse=True):
+            if count <= k:
+                return list(members.values())
+            own = [c for _, c in sorted(kids[node]) if c in members]
+            need = count - k
+            if count - len(own) + 1 >= k or need >= len(own):
+                members[d, node] = np.concatenate([members.pop(c) for c in own])
+                size[d, node] = sum(size[c] for c in own)
+                count -= len(own) - 1
+            else:
+                for c in sorted(own, key=size.__getitem__)[:need]:
+                    del members[c]
+                count -= need
+    return list(members.values())
+
+
+def octants(p: np.ndarray, rgb: np.ndarray | None = None, depth: int = 8) -> np.ndarray:
+    """The octant of each point at each level: bits of 8-bit channels, or halves of the points' bounding box (a value on a middle is low)."""
+    if rgb is not None:
+        cell = rgb.astype(np.int64)
+    else:
+        span = np.ptp(p, axis=0)
+        cell = np.maximum(np.ceil((p - p.min(0)) / np.where(np.abs(span) < 1e-10, 1.0, span) * (1 << depth)) - 1, 0).astype(np.int64)
+    shifts = np.arange(depth - 1, -1, -1)
+    bits = cell[:, None, :] >> shifts[None, :, None] & 1
+    return bits @ np.array([4, 2, 1])
 
 
 def palette(pixels: DataFrame, algorithm: str = "kmeans", space: str = "CIELAB", k: int = 10, seed: int = 42, weight: Column | None = None) -> DataFrame:
-    """Palette rows of each image, by ascending lightness; the dominant entry has the largest proportion."""
+    """Palette rows of each image, by ascending lightness; the dominant entry has the largest proportion. Colours are means in the
+    space. Pixels have an order: idx, or y and x."""
     w = weight if weight is not None else F.lit(1.0)
-    counted = pixels.groupBy("image_id", "r", "g", "b").agg(F.sum(w).alias("w"))
+    order = F.col("idx") if "idx" in pixels.columns else F.struct("y", "x")
+    counted = pixels.groupBy("image_id", "r", "g", "b").agg(F.sum(w).alias("w"), F.min(order).alias("first"))
     values = dict(zip(("u", "v", "t"), C.convert_to(space, *C.unit("r", "g", "b")), strict=True))
-    table = counted.withColumns(values)
+    # points come in the order of their first pixels
+    table = counted.withColumns(values).withColumn("at", F.row_number().over(Window.partitionBy("image_id").orderBy("first"))).drop("first")
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["r", "g", "b"])
+        t = t.sort_values("at")
         t = t[(t.w > 0) & np.isfinite(t[["u", "v", "t"]]).all(axis=1)]
         rgb, p, ww = t[["r", "g", "b"]].to_numpy(float), t[["u", "v", "t"]].to_numpy(float), t.w.to_numpy(float)
         if algorithm == "median_cut":
-            a = median_cut(p, ww, k)
+            groups = median_cut(p, ww, k)
         elif algorithm == "octree":
-            a = octree(rgb if space == "RGB" else np.round(255 * (p - p.min(0)) / np.maximum(np.ptp(p, axis=0), 1e-12)), ww, k)
+            groups = [(i, ww[i]) for i in octree(octants(p, rgb if space == "RGB" else None), ww, k)]
         else:
             a = kmeans(p, ww, k, seed, batch=2048 if algorithm == "minibatch" else None)
-        g = [(ww[a == j].sum(), np.average(rgb[a == j], axis=0, weights=ww[a == j])) for j in np.unique(a)]
-        share = np.array([x[0] for x in g]) / ww.sum()
-        mean = np.array([x[1] for x in g])
-        light, best = _lab_l(mean), int(np.flatnonzero(share == share.max())[-1])
-        u8 = np.floor(mean + 0.5).astype(int)
-        rows = [(int(t.image_id.iloc[0]), algorithm, space, e, *map(int, u8[i]), "#%02x%02x%02x" % tuple(u8[i]), float(light[i]), float(share[i]), bool(i == best)) for e, i in enumerate(np.argsort(light, kind="stable"))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PALETTE.split(", ")])
-
-    return table.groupBy("image_id").applyInPandas(one, PALETTE)
+            groups = [(i, ww[i]) for i in (np.flatnonzero(a == j) for j in np.unique(a))]
+        total = sum(n.sum() for _, n in groups)
+        rows = [(int(t.image_id.iloc[0]), j, *map(float, np.average(p[i], axis=0, weights=n)), float(n.sum() / total)) for j, (i, n) in enumerate(groups)]
+        return pd.DataFrame(rows, columns=["image_id", "part", "u", "v", "t", "proportion"])
+
+    parts = table.groupBy("image_id").applyInPandas(one, "image_id long, part int, u double, v double, t double, proportion double")
+    parts = C.with_rgb(parts, space, ("u", "v", "t"), ("_r", "_g", "_b"))
+    rgb = [F.col(f"_{c}") for c in "rgb"]
+    image = Window.partitionBy("image_id")
+    # of equal proportions the last counts
+    parts = parts.withColumns({"lab_l": C.lab(*rgb)[0], "_best": F.max(F.struct("proportion", "part")).over(image)["part"], **{c: C.to_u8(v, True) for c, v in zip("rgb", rgb, strict=True)}})
+    entry = F.row_number().over(image.orderBy("lab_l", "part")) - 1
+    return parts.select(
+        "image_id", F.lit(algorithm).alias("algorithm"), F.lit(space).alias("colorspace"), entry.alias("entry"), "r", "g", "b",
+        C.hexed(F.col("r"), F.col("g"), F.col("b")).alias("hex"), "lab_l", "proportion", (F.col("part") == F.col("_best")).alias("is_dominant"),
+    )
 
 
 def clusters_nd(pixels: DataFrame, columns: list[str], k: int = 10, seed: int = 42, sample: int | None = None) -> DataFrame:

@@ -54,7 +54,6 @@ def tile_dft(tiles: DataFrame, n: int = 8) -> DataFrame:
     """image_id, u, v, re, im of n x n tiles: a join with the twiddle table and a sum."""
     spark = tiles.sparkSession
     tw = spark.createDataFrame([(x, u, math.cos(2 * math.pi * u * x / n), -math.sin(2 * math.pi * u * x / n)) for x in range(n) for u in range(n)], "k int, f int, c double, s double")
-    tw = F.broadcast(tw)  # n * n rows
     a = tiles.join(tw, tiles["x"] == tw["k"]).groupBy("image_id", "y", F.col("f").alias("u")).agg(F.sum(F.col("v") * F.col("c")).alias("re"), F.sum(F.col("v") * F.col("s")).alias("im"))
     b = a.join(tw, a["y"] == tw["k"]).groupBy("image_id", "u", F.col("f").alias("v"))
     return b.agg(F.sum(F.col("re") * F.col("c") - F.col("im") * F.col("s")).alias("re"), F.sum(F.col("re") * F.col("s") + F.col("im") * F.col("c")).alias("im"))

@@ -15,19 +15,21 @@ from .normalise import at_ranks, clamp01
 FEATURES = "dct lab_grad spectral global_light global_lab_a global_lab_b global_sat local_light local_lab_a local_lab_b local_sat background_mask_morph background_fg_confidence subject_prior abs_light abs_lab_a abs_lab_b abs_sat segment_foreground".split()
 
 
+# Defaults of dynamic weights.
 @dataclass(frozen=True)
 class DynamicParams:
-    low: float = 1.0
-    high: float = 99.0
-    eps: float = 1e-6
-    variance_ref: float = 0.05
-    range_ref: float = 0.8
-    peakiness_ref: float = 3.0
-    mix_variance: float = 0.4
-    mix_range: float = 0.3
-    mix_peakiness: float = 0.3
+    enabled: bool = False
     min_multiplier: float = 0.35
-    max_multiplier: float = 1.85
+    max_multiplier: float = 1.80
+    variance_ref: float = 0.05
+    range_ref: float = 0.65
+    peakiness_ref: float = 4.0
+    eps: float = 1e-6
+    mix_variance: float = 0.45
+    mix_range: float = 0.35
+    mix_peakiness: float = 0.20
+    low: float = 2.0
+    high: float = 98.0
 
 
 def feature_stats(df: DataFrame, columns: list[str], p: DynamicParams = DynamicParams()) -> DataFrame:
@@ -35,30 +37,47 @@ def feature_stats(df: DataFrame, columns: list[str], p: DynamicParams = DynamicP
     long = df.unpivot(["image_id"], columns, "feature", "v")
     rank = lambda q: F.least(F.floor(F.col("n") * (q / 100)), F.col("n") - 1)
     r = at_ranks(long, "v", {"_lo": rank(p.low), "_hi": rank(p.high), "p5": rank(5.0), "p95": rank(95.0)}, ("image_id", "feature"))
-    j = long.join(F.broadcast(r), ["image_id", "feature"])  # one row a feature of an image
+    j = long.join(r, ["image_id", "feature"])  # one row a feature of an image
     clipped = F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col("v")))
     g = j.groupBy("image_id", "feature").agg(F.var_pop(clipped).alias("variance"), F.max("p5").alias("p5"), F.max("p95").alias("p95"), F.avg("v").alias("mean"))
     peak = F.greatest(F.lit(0.0), F.col("p95") / (F.col("mean") + p.eps) - 1)
     return g.withColumns({"range": F.col("p95") - F.col("p5"), "peakiness": F.when(F.col("mean") + p.eps > 0, peak).otherwise(0.0)})
 
 
-def multiplier(p: DynamicParams = DynamicParams(), region: Column | None = None, pixel_share: float = 0.65, region_share: float = 0.35) -> Column:
-    """What a feature's base weight is multiplied by; with a region score, both scores are mixed."""
-    s = clamp01(F.col("variance") / p.variance_ref) * p.mix_variance + clamp01(F.col("range") / p.range_ref) * p.mix_range + clamp01(F.col("peakiness") / p.peakiness_ref) * p.mix_peakiness
-    s = clamp01(s)
-    if region is not None:
-        s = clamp01((s * pixel_share + region * region_share) / (pixel_share + region_share))
-    return s * (p.max_multiplier - p.min_multiplier) + p.min_multiplier
-
-
-def dynamic_weights(df: DataFrame, base: dict[str, float], p: DynamicParams = DynamicParams()) -> DataFrame:
-    """image_id, feature, base, multiplier, weight. Features without base weight stay without, and their columns are
-    never read."""
-    used = [c for c, w in base.items() if w]
-    s = feature_stats(df, used, p)
-    b = F.create_map(*[x for c in used for x in (F.lit(c), F.lit(float(base[c])))])[F.col("feature")]
-    m = multiplier(p)
-    return s.select("image_id", "feature", b.alias("base"), m.alias("multiplier"), (b * m).alias("weight"))
+def pixel_score(p: DynamicParams = DynamicParams()) -> Column:
+    """How telling a feature's statistics are, 0 to 1."""
+    part = lambda c, ref: clamp01(F.col(c) / ref)
+    return clamp01(part("variance", p.variance_ref) * p.mix_variance + part("range", p.range_ref) * p.mix_range + part("peakiness", p.peakiness_ref) * p.mix_peakiness)
+
+
+def dynamic_weights(df: DataFrame, add: dict[str, float], mul: dict[str, float] | None = None, p: DynamicParams = DynamicParams(), off: tuple[str, ...] = (), regions: DataFrame | None = None, shares: tuple[float, float] = (0.65, 0.35)) -> DataFrame:
+    """A row for each image and feature: base weights, statistics, scores, multiplier, and the weights that follow.
+
+    A feature without base weight is reported with zeros, and its column is never read; one that is ``off`` has multiplier 1.
+    ``regions`` (image_id, feature, region_score) is mixed with the pixels' score.
+    """
+    mul = mul or {}
+    names = list(dict.fromkeys([*add, *mul]))
+    used = [c for c in names if add.get(c) or mul.get(c)]
+    stats = ["variance", "p5", "p95", "range", "mean", "peakiness"]
+    base = lambda w: F.create_map(*[x for c in names for x in (F.lit(c), F.lit(float(w.get(c) or 0)))])[F.col("feature")]
+    s = feature_stats(df, used, p).withColumn("pixel_score", pixel_score(p))
+    if regions is not None:
+        s = s.join(regions, ["image_id", "feature"], "left").withColumn("region_score", F.coalesce("region_score", F.lit(0.0)))
+        total = sum(shares)
+        score = clamp01((F.col("pixel_score") * shares[0] + F.col("region_score") * shares[1]) / total) if total > 1e-12 else F.col("pixel_score")
+    else:
+        s, score = s.withColumn("region_score", F.lit(0.0)), F.col("pixel_score")
+    still = F.col("feature").isin(*off) if off else F.lit(False)
+    s = s.withColumns({"score": F.when(still, 0.0).otherwise(score), "pixel_score": F.when(still, 0.0).otherwise(F.col("pixel_score")), "region_score": F.when(still, 0.0).otherwise(F.col("region_score"))})
+    s = s.withColumn("multiplier", F.when(still, 1.0).otherwise(F.col("score") * (p.max_multiplier - p.min_multiplier) + p.min_multiplier))
+    columns = ["image_id", "feature", *stats, "pixel_score", "region_score", "score", "multiplier"]
+    out, unused = s.select(*columns), [c for c in names if c not in used]
+    if unused:
+        none = df.select("image_id").distinct().select("image_id", F.explode(F.array(*map(F.lit, unused))).alias("feature"), *[F.lit(0.0).alias(c) for c in columns[2:]])
+        out = out.unionByName(none)
+    out = out.withColumns({"base_add": base(add), "base_mul": base(mul)})
+    return out.withColumns({"add_weight": F.col("base_add") * F.col("multiplier"), "mul_weight": F.col("base_mul") * F.col("multiplier")})
 
 
 def hybrid(values: list[Column], add: list[float], mul: list[float], alpha: float = 0.10, gamma: float = 2.5, eps: float = 0.10) -> tuple[Column, Column, Column]:
@@ -83,23 +102,24 @@ def linear(values: list[Column], weights: list[float]) -> Column:
     return clamp01(out)
 
 
+# Defaults of cluster scores.
 @dataclass(frozen=True)
 class ScoreParams:
     enabled: bool = True
-    area_weight: float = 0.35
-    mean_weight: float = 0.35
-    peak_weight: float = 0.30
-    area_power: float = 0.5
+    area_power: float = 0.45
     mean_power: float = 1.0
-    peak_power: float = 1.0
-    saturation_bonus: float = 0.35
-    neutral_sat: float = 0.12
-    neutral_min_area: float = 0.10
+    peak_power: float = 0.80
+    area_weight: float = 0.45
+    mean_weight: float = 0.35
+    peak_weight: float = 0.20
+    saturation_bonus: float = 0.25
+    neutral_strength: float = 0.75
+    neutral_sat: float = 0.16
+    neutral_min_area: float = 0.08
     neutral_full_area: float = 0.35
-    neutral_strength: float = 0.6
-    background_strength: float = 0.5
-    skin_strength: float = 0.5
-    min_area: float = 0.02
+    background_strength: float = 0.35
+    min_area: float = 0.002
+    skin_strength: float = 0.0
 
 
 def cluster_score(p: ScoreParams = ScoreParams()) -> Column:
@@ -124,21 +144,41 @@ def effective_areas(regions: DataFrame) -> DataFrame:
     lists = regions.groupBy("image_id").agg(F.collect_list(F.struct("r", "g", "b", "area_ratio", "bg_probability")).alias("_all"))
     near = lambda o: C.tone_affinity([F.col(k) for k in "rgb"], [o[k] for k in "rgb"])
     total = F.aggregate("_all", F.lit(0.0), lambda s, o: s + o["area_ratio"] * clamp01(o["bg_probability"]) * near(o))
-    return regions.join(F.broadcast(lists), "image_id").select("image_id", "region", clamp01(total).alias("effective"))
+    return regions.join(lists, "image_id").select("image_id", "region", clamp01(total).alias("effective"))
+
+
+def luma(rgb: Column) -> Column:
+    return rgb["r"] * 0.299 + rgb["g"] * 0.587 + rgb["b"] * 0.114
+
+
+def composite(layers: DataFrame, mode: str = "add", threshold: float = 16.0, result_threshold: float = 0.0) -> DataFrame:
+    """image_id, x, y, r, g, b: layers (layer, r, g, b, weight) added to black, or multiplied into white, in order.
+
+    A layer's pixel below the luma threshold changes nothing. Buffers have 8 bits, so each layer rounds and saturates. Pixels of the result
+    below its threshold become black.
+    """
+    channels = "rgb"
+    s = F.array_sort(F.collect_list(F.struct("layer", *channels, "weight")))
+    start = F.struct(*[F.lit(255.0 if mode == "multiply" else 0.0).alias(c) for c in channels])
+
+    def step(acc: Column, x: Column) -> Column:
+        def one(c: str) -> Column:
+            v = acc[c] * F.pow(x[c] / 255.0, x["weight"]) if mode == "multiply" else F.least(F.lit(255.0), acc[c] + x[c] * x["weight"])
+            return F.when(luma(x) < threshold, acc[c]).otherwise(F.floor(v + 0.5).cast("double")).alias(c)
 
+        return F.struct(*[one(c) for c in channels])
 
-def add_layers(layers: DataFrame, threshold: float = 16.0) -> DataFrame:
-    """image_id, x, y, v: layers (layer, v, weight) added in order, rounding and saturating at each; dark sources are
-    skipped."""
-    s = F.array_sort(F.collect_list(F.struct("layer", "v", "weight")))
-    g = layers.groupBy("image_id", "x", "y").agg(s.alias("s"))
-    step = lambda a, x: F.when(x["v"] < threshold, a).otherwise(F.least(F.lit(255.0), F.floor(a + x["v"] * x["weight"] + 0.5).cast("double")))
-    return g.select("image_id", "x", "y", F.aggregate("s", F.lit(0.0), step).cast("int").alias("v"))
+    g = layers.groupBy("image_id", "x", "y").agg(F.aggregate(s, start, step).alias("v"))
+    dark = luma(F.col("v")) < result_threshold if result_threshold > 0 else F.lit(False)
+    return g.select("image_id", "x", "y", *[F.when(dark, 0).otherwise(F.col(f"v.{c}").cast("int")).alias(c) for c in channels])
 
 
-def multiply_layers(layers: DataFrame, threshold: float = 16.0) -> DataFrame:
-    """The same by multiplication, from white; sources below the threshold don't darken."""
-    s = F.array_sort(F.collect_list(F.struct("layer", "v", "weight")))
-    g = layers.groupBy("image_id", "x", "y").agg(s.alias("s"))
-    step = lambda a, x: F.when(x["v"] < threshold, a).otherwise(F.floor(a * F.pow(x["v"] / 255.0, x["weight"]) + 0.5).cast("double"))
-    return g.select("image_id", "x", "y", F.aggregate("s", F.lit(255.0), step).cast("int").alias("v"))
+def scaled_to_first(layers: DataFrame) -> DataFrame:
+    """layers with every layer's pixels drawn at the size of the image's first layer (nearest sample)."""
+    size = layers.groupBy("image_id", "layer").agg((F.max("x") + 1).alias("lw"), (F.max("y") + 1).alias("lh"))
+    first = size.groupBy("image_id").agg(F.min_by("lw", "layer").alias("w"), F.min_by("lh", "layer").alias("h"))
+    sized = layers.join(size, ["image_id", "layer"]).join(first, "image_id")
+    # which places of the first layer's grid a pixel is the sample of: x with floor((x + 1/2) lw / w) its own
+    span = lambda at, own, out: F.filter(F.sequence(F.floor(F.col(at) * F.col(out) / F.col(own)).cast("int") - 1, F.ceil((F.col(at) + 1) * F.col(out) / F.col(own)).cast("int") + 1), lambda i: (i >= 0) & (i < F.col(out)) & (F.floor((i + 0.5) * F.col(own) / F.col(out)) == F.col(at)))
+    wide = sized.withColumn("_x", F.explode(span("x", "lw", "w"))).withColumn("_y", F.explode(span("y", "lh", "h")))
+    return wide.drop("x", "y", "lw", "lh", "w", "h").withColumnsRenamed({"_x": "x", "_y": "y"})

@@ -40,7 +40,7 @@ def percentile_stretch(df: DataFrame, column: str, low: float = 1.0, high: float
     if unit_feature:
         flat = (F.col("_hi") - F.col("_lo") < 1e-12) & (F.col("_min") >= -1e-9) & (F.col("_max") <= 1 + 1e-9)
         out = F.when(flat, v).otherwise(out)
-    return df.join(F.broadcast(s), "image_id").withColumn(column, out).drop("_lo", "_hi", "_min", "_max")
+    return df.join(s, "image_id").withColumn(column, out).drop("_lo", "_hi", "_min", "_max")
 
 
 def stretch_all(df: DataFrame, columns: list[str], low: float = 1.0, high: float = 99.0) -> DataFrame:
@@ -54,12 +54,12 @@ def stretch_all(df: DataFrame, columns: list[str], low: float = 1.0, high: float
         r, v = F.col("_r")[c], F.col(c)
         flat = (r["hi"] - r["lo"] < 1e-12) & (r["min"] >= -1e-9) & (r["max"] <= 1 + 1e-9)
         out[c] = F.when(flat, v).otherwise(clamp01((v - r["lo"]) / F.greatest(r["hi"] - r["lo"], F.lit(1e-12))))
-    return df.join(F.broadcast(s), "image_id").withColumns(out).drop("_r")  # one row an image
+    return df.join(s, "image_id").withColumns(out).drop("_r")  # one row an image
 
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
     s = df.groupBy("image_id").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    return df.join(F.broadcast(s), "image_id").withColumn(column, (F.col(column) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))).drop("_lo", "_hi")
+    return df.join(s, "image_id").withColumn(column, (F.col(column) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))).drop("_lo", "_hi")
 
 
 def robust_centre(df: DataFrame, column: str, gamma: float = 0.5, low: float = 0.1, high: float = 0.9, trimmed: float = 0.5, median: float = 0.5) -> DataFrame:
@@ -68,7 +68,7 @@ def robust_centre(df: DataFrame, column: str, gamma: float = 0.5, low: float = 0
     p = c.groupBy("image_id").agg(F.percentile("c", F.lit(low)).alias("lo"), F.percentile("c", F.lit(high)).alias("hi"))
     m = at_ranks(c, "c", {"med": F.floor(F.col("n") / 2)})
     inside = F.when((F.col("c") >= F.col("lo")) & (F.col("c") <= F.col("hi")), F.col("c"))
-    t = c.join(F.broadcast(p), "image_id").groupBy("image_id").agg(F.avg(inside).alias("tm"))
+    t = c.join(p, "image_id").groupBy("image_id").agg(F.avg(inside).alias("tm"))
     return t.join(m, "image_id").select("image_id", F.pow(F.col("tm") * trimmed + F.col("med") * median, F.lit(1 / gamma)).alias("centre"))
 
 
@@ -83,7 +83,7 @@ def threshold_filter(df: DataFrame, column: str, threshold: float, normalised: b
 def quantile_filter(df: DataFrame, column: str, keep: float) -> DataFrame:
     """The top share of values stays."""
     s = at_ranks(df, column, {"_cut": F.least(F.floor(F.col("n") * (1 - keep)), F.col("n") - 1)})
-    return df.join(F.broadcast(s), "image_id").withColumn(column, F.when(F.col(column) >= F.col("_cut"), F.col(column)).otherwise(0.0)).drop("_cut")
+    return df.join(s, "image_id").withColumn(column, F.when(F.col(column) >= F.col("_cut"), F.col(column)).otherwise(0.0)).drop("_cut")
 
 
 def stretch_positive(df: DataFrame, column: str, gamma: float = 1.2, least: float = 0.0) -> DataFrame:
@@ -93,7 +93,7 @@ def stretch_positive(df: DataFrame, column: str, gamma: float = 1.2, least: floa
     span = F.col("_hi") - F.col("_lo")
     t = F.pow((F.col(column) - F.col("_lo")) / F.when(span > 1e-12, span).otherwise(1.0), F.lit(gamma))
     out = F.when(F.col(column) > 0, F.when(span > 1e-12, t * (1 - least) + least).otherwise(1.0)).otherwise(0.0)
-    return df.join(F.broadcast(s), "image_id").withColumn(column, out).drop("_lo", "_hi")
+    return df.join(s, "image_id").withColumn(column, out).drop("_lo", "_hi")
 
 
 def mask_stats(df: DataFrame, column: str) -> DataFrame:
@@ -104,4 +104,4 @@ def mask_stats(df: DataFrame, column: str) -> DataFrame:
 def clipped_variance(df: DataFrame, column: str, low: float = 1.0, high: float = 99.0) -> DataFrame:
     s = at_ranks(df, column, {"_lo": floor_rank(low), "_hi": floor_rank(high)})
     v = F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col(column)))
-    return df.join(F.broadcast(s), "image_id").groupBy("image_id").agg(F.var_pop(v).alias("variance"))
+    return df.join(s, "image_id").groupBy("image_id").agg(F.var_pop(v).alias("variance"))

@@ -1,12 +1,11 @@
 """Region segmentation on the pixel-neighbour graph.
 
 Links, statistics and adjacency are DataFrame operations. Components of an image's pixels, and the merges that depend on
-their order, run per image: an image is the unit of work, its size bounded by the loader's max_dim.
+their order, run per image: an image is the unit of work; ``images.pixels`` bounds its size by max_dim.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,23 +15,27 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import colour as C
 
-from .stencil import col, edge_strength, row
+from . import planes as P
+from .stencil import closing, col, edge_strength, opening, row
 
 
+# Defaults of segmentation.
 @dataclass(frozen=True)
 class SegmentParams:
     """Defaults of the library call."""
 
     preprocess_max_dim: int = 512
-    edge_threshold: float = 0.05
-    edge_gamma: float = 1.0
-    color_merge_distance: float = 8.0
-    edge_split_strength: float = 0.65
-    edge_merge_strength: float = 0.05
-    min_region_area: int = 24
+    min_region_area: int = 50
     min_cluster_area_ratio: float = 0.001
+    edge_threshold: float = 0.15
+    edge_split_strength: float = 0.4
+    edge_gamma: float = 0.65
+    edge_merge_strength: float = 0.05
+    color_merge_distance: float = 8.0
     small_region_color_distance: float = 24.0
     merge_small_regions: bool = True
+    morph_open_radius: int = 0
+    morph_close_radius: int = 0
     color_weight: float = 1.0
     edge_weight: float = 1.0
 
@@ -41,6 +44,7 @@ def _clip(v: float, low: float, high: float) -> float:
     return min(high, max(low, v))
 
 
+# How limits follow from the parameters.
 def limits(p: SegmentParams) -> dict[str, float]:
     cw, ew = _clip(p.color_weight, 0.25, 4.0), _clip(p.edge_weight, 0.25, 4.0)
     wall = _clip(p.edge_split_strength * 0.68, 0.45, 0.85)
@@ -66,7 +70,10 @@ def with_links(pixels: DataFrame, p: SegmentParams = SegmentParams()) -> DataFra
 
 def with_edges(pixels: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
     lab = dict(zip(("lab_l", "lab_a", "lab_b"), C.lab(*C.unit("r", "g", "b")), strict=True))
-    return edge_strength(pixels.withColumns(lab), p.edge_threshold, p.edge_gamma).drop("lab_l", "lab_a", "lab_b")
+    out = edge_strength(pixels.withColumns(lab), p.edge_threshold, p.edge_gamma).drop("lab_l", "lab_a", "lab_b")
+    if p.morph_open_radius > 0:
+        out = opening(out, ["edge"], p.morph_open_radius)
+    return closing(out, ["edge"], p.morph_close_radius) if p.morph_close_radius > 0 else out
 
 
 class Union:
@@ -117,28 +124,31 @@ def merge(label: np.ndarray, rgb: np.ndarray, edge: np.ndarray, w: int, h: int,
         area = np.bincount(label, minlength=n)
         mean = np.stack([np.bincount(label, rgb[:, c], n) / area for c in range(3)], 1)
         least = max(p.min_region_area, int(w * h * p.min_cluster_area_ratio + 0.5), 1)
-        near: dict[int, list] = {}
-        for x, y, ee, k in zip(t.a, t.b, t.e, t.n, strict=True):
-            near.setdefault(x, []).append((y, ee, k))
-            near.setdefault(y, []).append((x, ee, k))
-        for i in sorted((i for i in range(n) if area[i] < least), key=lambda i: (area[i], i)):
-            best = None
-            for j, ee, k in near.get(i, []):
-                if u.find(j) == u.find(i):
-                    continue
-                dist = float(np.sqrt(((mean[i] - mean[j]) ** 2).sum()))
-                if area[i] > max(2, least // 4) and ee >= p.edge_split_strength and dist * m["cw"] > p.small_region_color_distance * 1.6:
-                    continue
-                score = dist * m["cw"] + ee * m["ew"] * 35 - math.sqrt(k) * 3 - min(math.log1p(area[j]), 12)
-                if best is None or score < best[0]:
-                    best = (score, j)
-            if best:
-                u.join(i, best[1])
+        # each region's neighbours are one stretch of arrays, in the order of touching pairs
+        own, other = np.concatenate([t.a, t.b]), np.concatenate([t.b, t.a])
+        order = np.lexsort((np.tile(np.arange(len(t)), 2), own))
+        own, other = own[order], other[order]
+        edge_of, length = (np.tile(t[c].to_numpy(float), 2)[order] for c in ("e", "n"))
+        stretch = np.searchsorted(own, np.arange(n + 1))
+        for i in np.lexsort((np.arange(n), area)):
+            if area[i] >= least:
+                break
+            k = np.arange(stretch[i], stretch[i + 1])
+            dist = np.sqrt(((mean[i] - mean[other[k]]) ** 2).sum(1))
+            # fixed values: how near, unparted, long and large a neighbour should be
+            score = dist * m["cw"] + edge_of[k] * m["ew"] * 35 - np.sqrt(length[k]) * 3 - np.minimum(np.log1p(area[other[k]]), 12)
+            can = np.array([u.find(j) != u.find(int(i)) for j in other[k].tolist()], bool)
+            if area[i] > max(2, least // 4):
+                can &= (edge_of[k] < p.edge_split_strength) | (dist * m["cw"] <= p.small_region_color_distance * 1.6)
+            if can.any():
+                u.join(int(i), int(other[k][can][score[can].argmin()]))
     return _relabel([u.find(int(i)) for i in label])
 
 
 def segment(pixels: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
-    """pixels (image_id, x, y, r, g, b) with edge and region."""
+    """pixels (image_id, x, y, r, g, b) with edge and region. A table without pixels is an error."""
+    if pixels.isEmpty():
+        raise ValueError("an image needs at least one pixel")
     linked = with_links(with_edges(pixels, p), p).select("image_id", "x", "y", "r", "g", "b", "edge", F.coalesce("right", F.lit(False)).alias("right"), F.coalesce("down", F.lit(False)).alias("down"))
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
@@ -146,18 +156,33 @@ def segment(pixels: DataFrame, p: SegmentParams = SegmentParams()) -> DataFrame:
         w, h = int(t.x.max()) + 1, int(t.y.max()) + 1
         if len(t) != w * h:
             raise ValueError("the image has gaps")
-        u = Union(w * h)
-        for i in np.flatnonzero(t.right.to_numpy(bool)):
-            u.join(int(i), int(i) + 1)
-        for i in np.flatnonzero(t.down.to_numpy(bool)):
-            u.join(int(i), int(i) + w)
-        label = _relabel([u.find(i) for i in range(w * h)])
+        label = P.components(t.right.to_numpy(bool).reshape(h, w)[:, :-1], t.down.to_numpy(bool).reshape(h, w)[:-1]).ravel()
         label = merge(label, t[["r", "g", "b"]].to_numpy(float), t.edge.to_numpy(float), w, h, p)
         return t[["image_id", "x", "y", "r", "g", "b", "edge"]].assign(region=label.astype("int32"))
 
     return linked.groupBy("image_id").applyInPandas(one, "image_id long, x int, y int, r int, g int, b int, edge double, region int")
 
 
+def segment_planes(rgb: np.ndarray, p: SegmentParams = SegmentParams()) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and edge strength of one 8-bit image (h, w, 3): ``segment`` without a table."""
+    h, w, _ = rgb.shape
+    if not h * w:
+        raise ValueError("an image needs at least one pixel")
+    edge = P.edge_strength(P.lab_planes(rgb / 255), p.edge_threshold, p.edge_gamma)
+    edge = P.closing(P.opening(edge, p.morph_open_radius), p.morph_close_radius)
+    c, m = rgb.astype(np.int64), limits(p)
+
+    def links(a: np.ndarray, b: np.ndarray, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
+        d2 = ((a - b) ** 2).sum(-1)
+        luma = lambda v: (v @ np.array([1, 2, 1])) // 4
+        chroma = sum(np.abs((a - b) @ np.array(k)) for k in ([1, 0, -1], [-1, 2, -1]))
+        strong = (d2 >= m["rgb2"]) | (np.abs(luma(a) - luma(b)) >= m["y"]) | (chroma >= m["chroma"])
+        return ~strong & ((ea + eb) * (0.175 * m["ew"]) < m["wall"]) & (d2 * m["cw"] <= m["grow2"])
+
+    label = P.components(links(c[:, :-1], c[:, 1:], edge[:, :-1], edge[:, 1:]), links(c[:-1], c[1:], edge[:-1], edge[1:])).ravel()
+    return merge(label, c.reshape(-1, 3).astype(float), edge.ravel(), w, h, p).reshape(h, w), edge
+
+
 def region_stats(labelled: DataFrame) -> DataFrame:
     """image_id, region, area, centroid, bounding box, mean colour rounded in integers."""
     mean = lambda c: F.floor((F.sum(c) + F.floor(F.count(F.lit(1)) / 2)) / F.count(F.lit(1))).cast("int").alias(f"mean_{c}")

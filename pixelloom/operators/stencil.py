@@ -108,13 +108,13 @@ def sobel(df: DataFrame, columns: list[str]) -> DataFrame:
     return g.withColumns(out).drop(*[f"{c}_{d}" for c in columns for d in ("gx", "gy")])
 
 
-def edge_strength(df: DataFrame, threshold: float = 0.05, gamma: float = 1.0) -> DataFrame:
+def edge_strength(df: DataFrame, threshold: float = 0.15, gamma: float = 0.65) -> DataFrame:
     """Adds edge: L1 Sobel energy of lab_l, lab_a, lab_b; the border has the image's maximum; below the cutoff 0."""
     g = sobel_parts(df, ["lab_l", "lab_a", "lab_b"])
     energy = sum((F.abs(f"lab_{c}_gx") + F.abs(f"lab_{c}_gy")) * w for c, w in (("l", 1.0), ("a", 0.95), ("b", 0.95)))
     g = g.withColumn("_e", energy).drop(*[f"lab_{c}_{d}" for c in "lab" for d in ("gx", "gy")])
     top = g.groupBy("image_id").agg(F.greatest(F.lit(1.0), F.max("_e")).alias("_top"), F.max("x").alias("_w"), F.max("y").alias("_h"))
-    g = g.join(F.broadcast(top), "image_id")  # one row an image
+    g = g.join(top, "image_id")  # one row an image
     cut = F.greatest(F.lit(min(1.0, max(0.0, threshold))) * F.col("_top"), F.lit(1.0))
     v = F.coalesce("_e", "_top")
     e = F.when(v <= cut, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - cut) / F.greatest(F.col("_top") - cut, F.lit(1.0)))))

@@ -1,4 +1,4 @@
-"""Plans over pixel tables: the palette matrix, DCT dominant colour, and parts of fusion and impression colour (README: Missing)."""
+"""Plans over pixel tables: the palette matrix, DCT dominant colour, segmentation. ``programs`` has fusion and impression colour."""
 
 from __future__ import annotations
 
@@ -9,14 +9,7 @@ from pixelloom.functions import colour as C
 from pixelloom.operators import background as B
 from pixelloom.operators import clustering as K
 from pixelloom.operators import frequency as Q
-from pixelloom.operators import fusion as U
-from pixelloom.operators import normalise as N
 from pixelloom.operators import regions as R
-from pixelloom.operators import stencil as S
-
-from pixelloom.sources.scratch import saved
-
-from .params import FilterParams, validated
 
 PLANES = ("lab_l", "lab_a", "lab_b")
 
@@ -44,50 +37,6 @@ def dct_dominant(pixels: DataFrame, k: int = 10, positions: bool = False, sample
     return K.dominant(c.join(m.select("image_id", "x", "y", "complexity"), ["image_id", "x", "y"]))
 
 
-def features(pixels: DataFrame, sigma: float = 2.0) -> DataFrame:
-    """Feature maps in 0..1: complexity, gradient, local and global residuals, absolute maps, subject prior."""
-    m = B.sizes(with_lab(pixels))
-    m = m.withColumns({"light": F.col("lab_l") / 100, "sat": C.hsl(*C.unit("r", "g", "b"))[1], "subject_prior": B.subject_prior()})
-    m = Q.complexity_map(m, "light", 3).withColumnRenamed("complexity", "dct")
-    m = saved(m, "features")
-    g = S.sobel(m.select("image_id", "x", "y", *PLANES), list(PLANES))
-    g = g.select("image_id", "x", "y", F.sqrt(sum((F.col(c) ** 2 for c in PLANES[1:]), F.col(PLANES[0]) ** 2)).alias("lab_grad"))
-    m = m.join(g, ["image_id", "x", "y"])
-    soft = S.gaussian(m.withColumns({"_l": F.col("light"), "_s": F.col("sat")}), ["_l", "_s"], sigma)
-    m = soft.withColumns({"local_light": F.abs(F.col("light") - F.col("_l")), "local_sat": F.abs(F.col("sat") - F.col("_s"))}).drop("_l", "_s")
-    m = saved(m, "features")
-    centre = N.robust_centre(m, "light").withColumnRenamed("centre", "_c")
-    m = m.join(F.broadcast(centre), "image_id").withColumn("global_light", F.abs(F.col("light") - F.col("_c"))).drop("_c")
-    # written once: statistics and what they are applied to would otherwise compute all maps again
-    m = saved(m.withColumns({"abs_light": F.col("light"), "abs_sat": F.col("sat")}), "features")
-    return N.stretch_all(m, ["dct", "lab_grad", "local_light", "local_sat", "global_light", "abs_light", "abs_sat"])
-
-
-WEIGHTS = {"dct": 0.20, "lab_grad": 0.20, "local_light": 0.15, "local_sat": 0.10, "global_light": 0.15, "abs_sat": 0.10, "subject_prior": 0.10}
-
-
-def fused(pixels: DataFrame, weights: dict[str, float] = WEIGHTS, filter_: FilterParams = FilterParams()) -> DataFrame:
-    """image_id, x, y, r, g, b, fuse: 7 of the reference's 19 maps with dynamic weights of our own, blended, filtered and stretched."""
-    p = validated(filter_)
-    m = saved(features(pixels), "features")
-    used = [c for c, w in weights.items() if w]
-    w = U.dynamic_weights(m, weights).groupBy("image_id").pivot("feature", used).agg(F.first("weight"))
-    w = w.select("image_id", *[F.col(c).alias(f"_w_{c}") for c in used])
-    j = m.join(F.broadcast(w), "image_id")  # one row an image
-    total = sum((F.col(f"_w_{c}") for c in used[1:]), F.col(f"_w_{used[0]}"))
-    add = sum((F.col(c) * F.col(f"_w_{c}") for c in used[1:]), F.col(used[0]) * F.col(f"_w_{used[0]}")) / total
-    log = sum((F.log(F.col(c) * 0.9 + 0.1) * F.col(f"_w_{c}") for c in used[1:]), F.log(F.col(used[0]) * 0.9 + 0.1) * F.col(f"_w_{used[0]}")) / total
-    out = j.withColumn("fuse", N.clamp01(F.pow(add * 0.1 + F.exp(log) * 0.9, F.lit(2.5)))).select("image_id", "x", "y", "r", "g", "b", "fuse")
-    out = saved(out, "fused")
-    out = N.threshold_filter(out, "fuse", p.threshold, p.normalise) if p.method == "threshold" else N.quantile_filter(out, "fuse", p.quantile)
-    return N.stretch_positive(out, "fuse", p.gamma, p.least)
-
-
-def impression(pixels: DataFrame, k: int = 5) -> DataFrame:
-    """Palette weighed by the fused map; no foreground or background is computed."""
-    return K.palette(fused(pixels), "kmeans", "RGB", k, weight=F.col("fuse"))
-
-
 def segmented(pixels: DataFrame, p: R.SegmentParams = R.SegmentParams()) -> tuple[DataFrame, DataFrame]:
     """Labelled pixels and region rows."""
     labelled = R.segment(pixels, p)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, colour_q, region_q, window_q
+from . import catalog, colour_q, program_q, region_q, window_q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +17,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(catalog.ORACLES)
 
 
-__all__ = ["colour_q", "oracle_sql", "queries", "region_q", "window_q"]
+__all__ = ["colour_q", "oracle_sql", "program_q", "queries", "region_q", "window_q"]

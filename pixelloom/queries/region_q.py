@@ -93,7 +93,8 @@ def dct6d_minibatch_clusters(spark, sf_dir):
 
 # -- regions ----------------------------------------------------------------------------------------------------
 
-_M = R.limits(R.SegmentParams())
+# Limits that follow from the defaults, typed out: wall 0.45, growth 23.4, 72 * 0.45, 42 * 0.45, 180 * 0.45.
+_M = {"wall": 0.45, "grow2": 547.56, "rgb2": 1049.76, "y": 18, "chroma": 81}
 _EDGES = edge_sql(LAB_S)
 
 
@@ -243,7 +244,7 @@ def _pick(q: float) -> str:
 
 
 _STATS = f"""SELECT image_id, feature, var_pop(greatest(lo,least(hi,v))) AS variance, max(p5) AS p5, max(p95) AS p95, avg(v) AS mean, max(p95)-max(p5) AS range_, greatest(0.0e0,max(p95)/(avg(v)+1e-6)-1) AS peakiness
-FROM (SELECT *, {_pick(1)} AS lo, {_pick(99)} AS hi, {_pick(5)} AS p5, {_pick(95)} AS p95 FROM (SELECT *, {_RK} FROM ({_LONG})) WINDOW w AS (PARTITION BY image_id,feature)) GROUP BY 1,2"""
+FROM (SELECT *, {_pick(2)} AS lo, {_pick(98)} AS hi, {_pick(5)} AS p5, {_pick(95)} AS p95 FROM (SELECT *, {_RK} FROM ({_LONG})) WINDOW w AS (PARTITION BY image_id,feature)) GROUP BY 1,2"""
 
 
 @query(f"SELECT image_id, feature, {D.r6('variance')} AS variance, {D.r6('p5')} AS p5, {D.r6('p95')} AS p95, {D.r6('mean')} AS mean, {D.r6('peakiness', 5)} AS peakiness FROM ({_STATS})")
@@ -252,12 +253,15 @@ def feature_stats(spark, sf_dir):
     return s.select("image_id", "feature", *[r6(F.col(c), 5 if c == "peakiness" else 6).alias(c) for c in ("variance", "p5", "p95", "mean", "peakiness")])
 
 
-_MULT = f"{D.clamp(D.clamp('variance/0.05e0') + '*0.4e0+' + D.clamp('range_/0.8e0') + '*0.3e0+' + D.clamp('peakiness/3.0e0') + '*0.3e0')}*1.5e0+0.35e0"
+_PIX = D.clamp(D.clamp("variance/0.05e0") + "*0.45e0+" + D.clamp("range_/0.65e0") + "*0.35e0+" + D.clamp("peakiness/4.0e0") + "*0.2e0")
+_BASE = " ".join(f"WHEN '{k}' THEN {D.num(v)}" for k, v in _F3.items())
 
 
-@query(f"SELECT image_id, feature, {D.r6(f'({_MULT})*CASE feature ' + ' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {D.num(v)}' for k, v in _F3.items()) + ' END')} AS weight FROM ({_STATS})")
+@query(f"SELECT image_id, feature, {D.r6(f'({_PIX}*1.45e0+0.35e0)*CASE feature {_BASE} END')} AS weight FROM ({_STATS}) UNION ALL SELECT DISTINCT image_id, 'spectral', 0.0e0 FROM ({D.MOSAIC})")
 def dynamic_weights(spark, sf_dir):
-    return U.dynamic_weights(_maps(spark, sf_dir), _F3).select("image_id", "feature", r6(F.col("weight")).alias("weight"))
+    """Features without base weight are reported with weight 0."""
+    w = U.dynamic_weights(_maps(spark, sf_dir), {**_F3, "spectral": 0.0})
+    return w.select("image_id", "feature", r6(F.col("add_weight")).alias("weight"))
 
 
 _ADD = "(dct*0.5e0+lab_grad*0.3e0+abs_sat*0.2e0)"
@@ -284,10 +288,10 @@ def _score_sql() -> str:
     sat = f"(({hi}-{lo})/greatest({hi},1e-12))"
     top = f"greatest({hi},1e-6)"
     skin = f"CASE WHEN {hi}<0.06e0 THEN 0.0e0 ELSE " + "*".join((D.smooth(0.02, 0.10, f"greatest(0.0e0,(cr-cg)/{top})"), D.smooth(0.0, 0.05, f"greatest(0.0e0,(cg-cb)/{top})"), D.smooth(0.04, 0.10, f"({hi}-{lo})/{top}"), D.smooth(0.06, 0.12, "(cr+cg+cb)/3"), f"(1.0e0-{D.smooth(0.90, 0.98, '(cr+cg+cb)/3')})")) + " END"
-    base = "(sqrt(area_ratio)*0.35e0+mean_weight*0.35e0+p90_weight*0.30e0)"
-    neutral = f"greatest(0.02e0,1-(1-{D.smooth(0.12, 0.22, sat)})*{D.smooth(0.10, 0.35, 'area_ratio')}*0.6e0)"
-    back = f"greatest(0.05e0,1-background_mean*(1-{sat}*0.65e0)*0.5e0)"
-    return f"{base}*({sat}*0.35e0+1)*{neutral}*{back}*greatest(0.02e0,1-({skin})*0.5e0)*{D.smooth(0.01, 0.02, 'area_ratio')}"
+    base = "(pow(area_ratio,0.45e0)*0.45e0+mean_weight*0.35e0+pow(p90_weight,0.8e0)*0.20e0)"
+    neutral = f"greatest(0.02e0,1-(1-{D.smooth(0.16, 0.26, sat)})*{D.smooth(0.08, 0.35, 'area_ratio')}*0.75e0)"
+    back = f"greatest(0.05e0,1-background_mean*(1-{sat}*0.65e0)*0.35e0)"
+    return f"{base}*({sat}*0.25e0+1)*{neutral}*{back}*greatest(0.02e0,1-({skin})*0.6e0)*{D.smooth(0.001, 0.002, 'area_ratio')}"
 
 
 @query(f"SELECT image_id, cluster, {D.r6(_score_sql())} AS score FROM ({_CL})")
@@ -297,7 +301,7 @@ def cluster_score(spark, sf_dir):
     m = V.mosaic64(spark, sf_dir).groupBy("image_id", F.floor(F.col("r") / 64).cast("int").alias("cluster"))
     g = m.agg(*[(F.avg(c) / 255).alias(c) for c in "rgb"], F.count(F.lit(1)).alias("n"), (F.max("g") / 255.0).alias("p90_weight"))
     g = g.withColumns({"area_ratio": F.col("n") / F.sum("n").over(Window.partitionBy("image_id")), "mean_weight": F.col("g"), "background_mean": F.col("b")})
-    return g.select("image_id", "cluster", r6(U.cluster_score()).alias("score"))
+    return g.select("image_id", "cluster", r6(U.cluster_score(U.ScoreParams(skin_strength=0.6))).alias("score"))
 
 
 _RG = f"SELECT image_id, CAST(r//64 AS INT) AS region, avg(r)/255 AS cr, avg(g)/255 AS cg, avg(b)/255 AS cb, count(*)/4096.0e0 AS area_ratio, avg(b)/255 AS bg FROM ({D.MOSAIC}) GROUP BY 1,2"
@@ -311,30 +315,37 @@ def effective_bg_area(spark, sf_dir):
 
 # -- compositing, reports ---------------------------------------------------------------------------------------
 
-_ADD1 = lambda a, c, w: f"CASE WHEN {c}<16 THEN {a} ELSE least(255.0e0,floor({a}+{c}*{w}+0.5e0)) END"
-_MUL1 = lambda a, c, w: f"CASE WHEN {c}<16 THEN {a} ELSE floor({a}*pow({c}/255.0e0,{w})+0.5e0) END"
+# two layers of an image: its channels in order, and turned; weights 0.5 and 0.8
+_LAYERS = (("r", "g", "b", "0.5e0"), ("g", "b", "r", "0.8e0"))
 
 
-def _chain(one, start: str) -> str:
-    s = f"SELECT *, {one(start, 'r', '0.5e0')} AS s1 FROM ({D.MOSAIC})"
-    s = f"SELECT *, {one('s1', 'g', '0.8e0')} AS s2 FROM ({s})"
-    return f"SELECT {XY}, CAST({one('s2', 'b', '0.3e0')} AS INT) AS v FROM ({s})"
+def _chain(mode: str, threshold: int = 16, result: int = 0) -> str:
+    start = "255.0e0" if mode == "multiply" else "0.0e0"
+    s = f"SELECT {XY}, r, g, b, {start} AS a0, {start} AS a1, {start} AS a2 FROM ({D.MOSAIC})"
+    for *own, w in _LAYERS:
+        bright = f"{own[0]}*0.299e0+{own[1]}*0.587e0+{own[2]}*0.114e0"
+        v = [f"a{i}*pow({c}/255.0e0,{w})" if mode == "multiply" else f"least(255.0e0,a{i}+{c}*{w})" for i, c in enumerate(own)]
+        s = f"SELECT {XY}, r, g, b, {', '.join(f'CASE WHEN {bright}<{threshold} THEN a{i} ELSE floor({x}+0.5e0) END AS a{i}' for i, x in enumerate(v))} FROM ({s})"
+    dark = f"a0*0.299e0+a1*0.587e0+a2*0.114e0<{result}"
+    return f"SELECT {XY}, {', '.join(f'CAST(CASE WHEN {dark} THEN 0 ELSE a{i} END AS INT) AS {c}' for i, c in enumerate('rgb'))} FROM ({s})"
 
 
 def _layers(spark, sf_dir):
     m = V.mosaic64(spark, sf_dir)
-    one = F.array(*[F.struct(F.lit(i).alias("layer"), F.col(c).cast("double").alias("v"), F.lit(w).alias("weight")) for i, (c, w) in enumerate(zip("rgb", (0.5, 0.8, 0.3), strict=True))])
+    d = lambda c: F.col(c).cast("double")
+    one = F.array(*[F.struct(F.lit(i).alias("layer"), d(x).alias("r"), d(y).alias("g"), d(z).alias("b"), F.lit(w).alias("weight")) for i, (x, y, z, w) in enumerate((("r", "g", "b", 0.5), ("g", "b", "r", 0.8)))])
     return m.select("image_id", "x", "y", F.inline(one))
 
 
-@query(_chain(_ADD1, "0.0e0"))
+@query(_chain("add", 110, 90))
 def add_composite(spark, sf_dir):
-    return U.add_layers(_layers(spark, sf_dir))
+    """Layers below luma 110 are skipped; a result below 90 is black."""
+    return U.composite(_layers(spark, sf_dir), "add", 110, 90)
 
 
-@query(_chain(_MUL1, "255.0e0"))
+@query(_chain("multiply"))
 def multiply_composite(spark, sf_dir):
-    return U.multiply_layers(_layers(spark, sf_dir))
+    return U.composite(_layers(spark, sf_dir), "multiply")
 
 
 _NAMES = "SELECT l_orderkey, 'img/'||CAST(l_orderkey AS VARCHAR)||'_p'||CAST(l_linenumber%3 AS VARCHAR)||CASE WHEN l_linenumber%2=0 THEN '_dct_heat' ELSE '' END||'.PNG' AS path FROM lineitem"

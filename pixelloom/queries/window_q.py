@@ -132,13 +132,13 @@ def sobel_lab_gradient(spark, sf_dir):
     return _out(g.withColumn("grad", F.sqrt(F.col("lab_l") ** 2 + F.col("lab_a") ** 2 + F.col("lab_b") ** 2)), "grad", n=4)
 
 
-def edge_sql(lab: str, threshold: float = 0.05) -> str:
+def edge_sql(lab: str, threshold: float = 0.15, gamma: float = 0.65) -> str:
     """XY and edge."""
     e = "+".join(f"{w}*(abs(lab_{c}_gx)+abs(lab_{c}_gy))" for c, w in (("l", "1.0e0"), ("a", "0.95e0"), ("b", "0.95e0")))
     raw = f"SELECT {K6}, {e} AS e FROM ({_sobel_sql(lab, ('lab_l', 'lab_a', 'lab_b'))})"
     top = f"SELECT *, greatest(1.0e0,max(e) OVER (PARTITION BY image_id)) AS top FROM ({raw})"
     cut = f"greatest({D.num(threshold)}*top,1.0e0)"
-    return f"SELECT {K6}, CASE WHEN coalesce(e,top)<={cut} THEN 0.0e0 ELSE {D.clamp(f'(coalesce(e,top)-{cut})/greatest(top-{cut},1.0e0)')} END AS edge FROM ({top})"
+    return f"SELECT {K6}, CASE WHEN coalesce(e,top)<={cut} THEN 0.0e0 ELSE pow({D.clamp(f'(coalesce(e,top)-{cut})/greatest(top-{cut},1.0e0)')},{D.num(gamma)}) END AS edge FROM ({top})"
 
 
 @query(f"SELECT {XY}, {D.r6('edge', 5)} AS edge FROM ({edge_sql(LAB_S)})")
@@ -198,7 +198,7 @@ def robust_center(spark, sf_dir):
 def global_mean_residual(spark, sf_dir):
     df = _light(V.mosaic64(spark, sf_dir))
     m = df.groupBy("image_id").agg(F.avg("v").alias("m"))
-    return _out(df.join(F.broadcast(m), "image_id").withColumn("v", F.abs(F.col("v") - F.col("m"))), "v")
+    return _out(df.join(m, "image_id").withColumn("v", F.abs(F.col("v") - F.col("m"))), "v")
 
 
 @query(f"SELECT image_id, {D.r6('avg(v)')} AS mean, CAST(least(3,count(DISTINCT round(v*255))) AS INT) AS kinds FROM ({L_S}) GROUP BY 1")
@@ -252,7 +252,7 @@ def eta_squared(spark, sf_dir):
     df = V.mosaic64(spark, sf_dir).select("image_id", F.floor(F.col("x") / 8).alias("region"), (F.col("r") / 255.0).alias("v"))
     parts = df.groupBy("image_id", "region").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
     whole = parts.groupBy("image_id").agg((F.sum("s") / F.sum("n")).alias("gm"), F.sum("q").alias("q"), F.sum("n").alias("cnt"))
-    both = parts.select("image_id", "m", "n").join(F.broadcast(whole), "image_id").groupBy("image_id").agg(F.sum(F.col("n") * (F.col("m") - F.col("gm")) ** 2).alias("between"), F.max(F.col("q") - F.col("cnt") * F.col("gm") ** 2).alias("total"))
+    both = parts.select("image_id", "m", "n").join(whole, "image_id").groupBy("image_id").agg(F.sum(F.col("n") * (F.col("m") - F.col("gm")) ** 2).alias("between"), F.max(F.col("q") - F.col("cnt") * F.col("gm") ** 2).alias("total"))
     return both.select("image_id", r6(F.when(F.col("total") <= 1e-12, 0.0).otherwise(F.least(F.lit(1.0), F.col("between") / F.col("total")))).alias("eta"))
 
 
@@ -287,7 +287,7 @@ def even_index_sample(spark, sf_dir):
     df = V.pixel_bag(spark, sf_dir)
     n = df.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
     at = lambda i: F.floor(i * 500 / F.col("n") - 0.5)
-    return df.join(F.broadcast(n), "image_id").where(at(F.col("idx") + 1) > at(F.col("idx"))).drop("n")
+    return df.join(n, "image_id").where(at(F.col("idx") + 1) > at(F.col("idx"))).drop("n")
 
 
 @query(f"SELECT image_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(r) AS BIGINT) AS sr FROM ({D.SCENES}) WHERE x<3 OR y<3 OR x+3>=32 OR y+3>=32 GROUP BY 1")

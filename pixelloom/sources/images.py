@@ -23,16 +23,32 @@ def fit(w: Column, h: Column, most: int) -> tuple[Column, Column]:
     return one(w), one(h)
 
 
+def listed(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """path of all files of several folders (of originals and of results), by path."""
+    out = None
+    for f in folders:
+        part = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f).select("path")
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy("path")
+
+
+def undecodable(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """path of image files that can't be decoded."""
+    df = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
+    ext = F.lower(F.regexp_extract("origin", r"\.([^.]*)$", 1))
+    return df.where(ext.isin(*EXTENSIONS) & (F.col("width") <= 0)).select(F.col("origin").alias("path"))
+
+
 def scan(spark: SparkSession, folder: str | list[str]) -> DataFrame:
-    """path, stem, w, h, data of the folder's images; files that can't be decoded are left out. Bytes are B, G, R (and
-    alpha) by row."""
+    """path, stem, w, h, data of the folder's images; files that can't be decoded are left out (``undecodable`` lists them). Bytes are
+    B, G, R (and alpha) by row."""
     df = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
     ext = F.lower(F.regexp_extract("origin", r"\.([^.]*)$", 1))
     return df.where(ext.isin(*EXTENSIONS)).select(F.col("origin").alias("path"), F.regexp_extract("origin", r"([^/]*)\.[^.]*$", 1).alias("stem"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), "data")
 
 
-def pixels(images: DataFrame) -> DataFrame:
-    """image_id, x, y, r, g, b of decoded images; alpha is dropped."""
+def pixels(images: DataFrame, max_dim: int | None = 1024) -> DataFrame:
+    """image_id, x, y, r, g, b of decoded images that fit into max_dim (None: as they are); alpha is dropped."""
     numbered = images.select(F.xxhash64("path").alias("image_id"), "w", "h", "channels", "data")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,7 +59,8 @@ def pixels(images: DataFrame) -> DataFrame:
                 i = np.arange(len(a))
                 yield pd.DataFrame({"image_id": r.image_id, "x": (i % r.w).astype("int32"), "y": (i // r.w).astype("int32"), "r": a[:, 2], "g": a[:, 1], "b": a[:, 0]})
 
-    return numbered.mapInPandas(run, "image_id long, x int, y int, r int, g int, b int")
+    out = numbered.mapInPandas(run, "image_id long, x int, y int, r int, g int, b int")
+    return out if max_dim is None else resized(out, max_dim)
 
 
 def lanczos(n: int, m: int, a: int = 3) -> np.ndarray:
@@ -88,16 +105,24 @@ def png(rgb: np.ndarray) -> bytes:
 
 
 def rendered(df: DataFrame, columns: list[str]) -> DataFrame:
-    """image_id, png of a value column (0..1, gray) or of three 8-bit columns."""
+    """image_id, png of a value column (0..1, gray), or of three columns of 8 bits or, if they aren't integers, 0..1."""
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["y", "x"])
         w, h = int(t.x.max()) + 1, int(t.y.max()) + 1
-        a = np.clip(t[columns[0]].to_numpy(float), 0, 1) * 255 if len(columns) == 1 else t[columns].to_numpy()
+        a = t[columns].to_numpy()
+        if len(columns) == 1 or a.dtype.kind == "f":
+            a = np.clip(a.astype(float), 0, 1) * 255
         return pd.DataFrame({"image_id": [t.image_id.iloc[0]], "png": [png(a.reshape((h, w) if len(columns) == 1 else (h, w, 3)))]})
 
     return df.select("image_id", "x", "y", *columns).groupBy("image_id").applyInPandas(one, "image_id long, png binary")
 
 
+def thumbnails(df: DataFrame, most: int = 200) -> DataFrame:
+    """image_id, uri: previews that fit into ``most``, as PNG data URIs."""
+    uri = F.concat(F.lit("data:image/png;base64,"), F.base64("png"))
+    return rendered(resized(df, most), ["r", "g", "b"]).select("image_id", uri.alias("uri"))
+
+
 def data_uri(content: bytes, kind: str = "png") -> str:
     return f"data:image/{kind};base64,{base64.b64encode(content).decode()}"
