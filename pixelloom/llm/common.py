@@ -110,10 +110,23 @@ def tidy() -> None:
         pass
 
 
-def mapped(run: Callable, schema) -> Callable[[DataFrame], DataFrame]:
-    """mapInArrow for ``DataFrame.transform``: batches of at most RECORDS rows, and memory given back at the end of a task."""
+#: What workers remember from task to task, by the steps that it serves.
+_remembered: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """A dictionary that a worker keeps until a task of other steps begins."""
+    return _remembered.setdefault(owner, {})
+
+
+def mapped(run: Callable, schema, owner: str = "") -> Callable[[DataFrame], DataFrame]:
+    """mapInArrow for ``DataFrame.transform``: batches of at most RECORDS rows, memory given back at the end of a task, and what other
+    steps than ``owner`` remember let go of at its beginning."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, kept in _remembered.items():
+            if name != owner:
+                kept.clear()
         try:
             yield from run(batches)
         finally:

@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
                 columns = [part.column(0).take(pa.array(row)), number.astype(np.int32), start, length, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped(run, PIECES))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped(run, PIECES, "tokens"))
 
 
 # -- one island ------------------------------------------------------------------------------------------------

@@ -56,7 +56,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, cut: str = "bytes", end:
                 )
                 seq += n
 
-    rows.transform(mapped(run, FILE_SCHEMA)).write.options(**OPTIONS).orc(path)
+    rows.transform(mapped(run, FILE_SCHEMA, "tokens")).write.options(**OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -19,10 +19,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .common import memory
+
 #: What is not printable ASCII, tab, newline, carriage return, or a printable Latin letter or sign (other white space, and
 #: the one letter whose lower-case form is two characters).
 NOT_PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
-MEMORY = 1_500_000
+MEMORY = 1_000_000
 #: Bytes of text that are encoded at once, about.
 PART = 10 << 20
 #: Signs that part from a letter or digit before them.
@@ -175,7 +177,7 @@ def parts(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
     return [batch.slice(a, b - a) for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True)]
 
 
-_open: dict[tuple[str, str], Encoder] = {}
+_open: dict[tuple[str, str], Encoder] = memory("tokens")
 
 
 def encoder(path: str, cut: str) -> Encoder:
