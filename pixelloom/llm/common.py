@@ -119,14 +119,19 @@ def memory(owner: str) -> dict:
     return _remembered.setdefault(owner, {})
 
 
+def turn_to(owner: str) -> None:
+    """Lets go of what other steps remember. (A function of the module: in the worker it sees the worker's own dictionaries.)"""
+    for name, kept in _remembered.items():
+        if name != owner:
+            kept.clear()
+
+
 def mapped(run: Callable, schema, owner: str = "") -> Callable[[DataFrame], DataFrame]:
     """mapInArrow for ``DataFrame.transform``: batches of at most RECORDS rows, memory given back at the end of a task, and what other
     steps than ``owner`` remember let go of at its beginning."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, kept in _remembered.items():
-            if name != owner:
-                kept.clear()
+        turn_to(owner)
         try:
             yield from run(batches)
         finally:
