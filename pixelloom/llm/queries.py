@@ -80,8 +80,29 @@ def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of the mix: sizes and targets."""
+    from pyspark.sql import functions as F
+
+    return op2_sainte_lague_mix(spark, sf_dir).select("doc_id", "size", "source_size", (F.round("target", 6) + F.lit(0.0)).alias("target"))
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of the language model: its counts and base scores."""
+    from pyspark.sql import functions as F
+
+    rows = op4_suffix_tree(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 6) + F.lit(0.0)).alias("base_score"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of personal data: base counts and spans."""
+    return op6_disclosure(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    ops = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return ops | {f.__name__: f for f in (mix_targets, lm_base, pii_base)}
 
 
 def oracle_sql() -> dict[str, str]:
