@@ -8,10 +8,12 @@ first; mutation dissolves some of the emptiest bins. After each round an island'
 island of its group (a shuffle of small rows). The best individual of all islands wins.
 
 Bins that a group leaves less than ``GOOD`` full are dissolved, and their pieces packed again with those of other groups,
-level by level, until one group is left; so groups cost no more than one half-empty bin in the end.
+level by level, until one group is left or a level saves no bin (then the level before stands). A group holds some ``FILL``
+capacities at least, so that pieces of a few ids fill most of its bins. An island stops where its bins are as few as its ids allow.
 
-Edge cases: null and empty texts are the end id alone; repeated rows are pieces of their own; an empty table gives no
-rows. Results are the same for the same input, however it is partitioned.
+Edge cases: null and empty texts are the end id alone; repeated rows, and rows without doc_id, are pieces of their own; texts of any length
+are cut into pieces; ties are broken by place; other columns are ignored; an empty table gives no rows. ``generations`` says how many
+generations the islands of a piece's group ran in its last level: 0 where best fit met the bound.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, saved
@@ -32,6 +34,7 @@ from .tokens import encoder, parts, spread
 CAPACITY = 4096
 END = 1
 GROUP = 2048
+FILL = 8
 ISLANDS = 3
 ROUNDS = 2
 GENERATIONS = 6
@@ -149,8 +152,8 @@ def assignment(p: Packing, n: int) -> list[int]:
     return out
 
 
-def evolve(lengths: Sequence[int], capacity: int, seed: int, migrants: Sequence[Sequence[int]] = (), generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
-    """One island's round: the best individual it has found. It stops early at the lower bound of bins."""
+def evolve(lengths: Sequence[int], capacity: int, seed: int, migrants: Sequence[Sequence[int]] = (), generations: int = GENERATIONS, population: int = POPULATION) -> tuple[Packing, int]:
+    """One island's round: the best individual it has found, and how many generations it ran. It stops at the lower bound of bins."""
     rng = random.Random(seed)
     n = len(lengths)
     order = sorted(range(n), key=lambda i: (-lengths[i], i))
@@ -158,104 +161,93 @@ def evolve(lengths: Sequence[int], capacity: int, seed: int, migrants: Sequence[
     score = lambda p: p.fitness(capacity)
     people = [from_assignment(m, lengths, capacity) for m in migrants] or [best_fit(lengths, order, capacity)]
     if min(len(p.bins) for p in people) <= least or n < 2:
-        return min(people, key=score)
+        return min(people, key=score), 0
     while len(people) < population:
         noisy = sorted(range(n), key=lambda i: -lengths[i] * rng.uniform(0.8, 1.2))
         people.append(best_fit(lengths, noisy, capacity))
-    for _ in range(generations):
+    ran = 0
+    while ran < generations:
         people.sort(key=score)
         if len(people[0].bins) <= least:
             break
+        ran += 1
         young = []
         for _ in range(population // 2):
             a, b = (min(rng.sample(people, 2), key=score) for _ in range(2))
             young.append(mutate(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng))
         people = sorted(people + young, key=score)[:population]
-    return min(people, key=score)
+    return min(people, key=score), ran
 
 
 # -- islands on Spark ------------------------------------------------------------------------------------------
 
-STATE = "group long, island int, found array<int>, bins long, fill double"
+STATE = "group long, island int, found array<int>, bins long, fill double, generations int"
 
 
 def _round(islands: DataFrame, capacity: int, number: int, seed: int) -> DataFrame:
-    """islands: group, island, lengths, migrants (assignments)."""
+    """islands: group, island, lengths, migrants (assignments), generations so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.int32()]
         for batch in batches:
-            for row in batch.to_pylist():
-                lengths = row["lengths"]
-                p = evolve(lengths, capacity, hash((seed, row["group"], row["island"], number)), row["migrants"])
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                p, ran = evolve(row["lengths"], capacity, hash((seed, row["group"], row["island"], number)), row["migrants"])
                 bins, fill = p.fitness(capacity)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["group"]], pa.int64()), pa.array([row["island"]], pa.int32()), pa.array([assignment(p, len(lengths))], pa.list_(pa.int32())), pa.array([bins], pa.int64()), pa.array([float(fill)], pa.float64())],
-                    ["group", "island", "found", "bins", "fill"],
-                )
+                values = [row["group"], row["island"], assignment(p, len(row["lengths"])), bins, float(fill), row["generations"] + ran]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in STATE.split(", ")])
 
-    return islands.select("group", "island", "lengths", "migrants").transform(mapped(run, STATE))
+    return islands.select("group", "island", "lengths", "migrants", "generations").transform(mapped(run, STATE))
 
 
 def _level(items: DataFrame, groups: int, capacity: int, level: int, seed: int) -> DataFrame:
-    """items (doc_id, piece, length, copy) with group, bin, offset, and the fill of their bin."""
-    spark = items.sparkSession
-    dealt = items.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "piece", "copy"), F.lit(groups)))
-    listed = dealt.groupBy("group").agg(F.sort_array(F.collect_list(F.struct(F.col("length"), "doc_id", "piece", "copy")), asc=False).alias("items"))
+    """items (row, length) with group, bin, offset, the fill of their bin, and their group's generations."""
+    dealt = items.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + level), "row"), F.lit(groups)))
+    listed = dealt.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("length", "row")), asc=False).alias("items"))
     listed = saved(listed.withColumn("lengths", F.transform("items", lambda x: x["length"].cast("int"))), "pack-groups")
-    none = F.array().cast("array<array<int>>")
     base = listed.select("group", "lengths", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-    state = _round(base.withColumn("migrants", none).repartition("group", "island"), capacity, 0, seed)
+    state = _round(base.withColumns({"migrants": F.array().cast("array<array<int>>"), "generations": F.lit(0)}).repartition("group", "island"), capacity, 0, seed)
     for r in range(1, ROUNDS):
         # each island goes on from its own elite and the elite of the island before it
-        moved = state.select("group", F.explode(F.array(F.col("island"), (F.col("island") + 1) % ISLANDS)).alias("island"), F.struct("bins", "fill", "found").alias("elite"))
-        arrived = moved.groupBy("group", "island").agg(F.transform(F.sort_array(F.collect_list("elite")), lambda e: e["found"]).alias("migrants"))
+        elite = F.struct("bins", "fill", "found").alias("elite")
+        moved = state.select("group", F.inline(F.array(F.struct(F.col("island").alias("island"), F.col("generations").alias("generations")), F.struct(((F.col("island") + 1) % ISLANDS).alias("island"), F.lit(0).alias("generations")))), elite)
+        arrived = moved.groupBy("group", "island").agg(F.transform(F.sort_array(F.collect_list("elite")), lambda e: e["found"]).alias("migrants"), F.sum("generations").cast("int").alias("generations"))
         state = _round(base.join(arrived, ["group", "island"]), capacity, r, seed)
-    best = state.groupBy("group").agg(F.min_by("found", F.struct("bins", "fill", "island")).alias("found"))
-    rows = listed.join(best, "group").select("group", F.posexplode(F.arrays_zip("items", "found")).alias("at", "x"))
-    flat = rows.select("group", "at", F.col("x.items.*"), F.col("x.found").alias("bin"))
+    best = state.groupBy("group").agg(F.min_by("found", F.struct("bins", "fill", "island")).alias("found"), F.sum("generations").alias("generations"))
+    rows = listed.join(best, "group").select("group", "generations", F.posexplode(F.arrays_zip("items", "found")).alias("at", "x"))
+    flat = rows.select("group", "generations", "at", F.col("x.items.*"), F.col("x.found").alias("bin"))
     # bins hold capacity ids at most, each item one at least: these windows are bounded
-    from pyspark.sql import Window
-
     own = Window.partitionBy("group", "bin")
     flat = flat.withColumn("fill", F.sum("length").over(own))
     return flat.withColumn("offset", F.sum("length").over(own.orderBy("at")) - F.col("length"))
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, seed: int = 5) -> DataFrame:
-    """items: doc_id, piece, length (1 to capacity), with repeats numbered by ``copy``. Adds sequence_id and offset."""
-    left, done, level = items.select("doc_id", "piece", "copy", "length"), [], 0
+    """items: row (unique), length (1 to capacity). row, sequence_id, offset and generations of every item."""
+    left, done, level, held = items.select("row", "length"), [], 0, None
     while True:
-        n = left.count()
-        groups = max(1, -(-n // group))
+        size = left.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("ids")).first()
+        groups = max(1, min(-(-size.n // group), size.ids // (FILL * capacity)))
         placed = saved(_level(left, groups, capacity, level, seed), "pack-level")
         placed = placed.withColumn("sequence_id", (F.lit(level) * (1 << 58) + F.col("group") * (1 << 24) + F.col("bin")).cast("long"))
-        if groups == 1:
-            done.append(placed)
+        if held is not None and placed.select("sequence_id").distinct().count() >= held.select("sequence_id").distinct().count():
+            done.append(held)  # this level saves nothing
             break
-        loose = F.col("fill") < GOOD * capacity
-        # a level that leaves nearly everything loose can't be helped by another one
-        n_loose = placed.where(loose).count()
-        if n_loose * 2 > n or n_loose == 0:
+        loose = placed.where(F.col("fill") < GOOD * capacity)
+        if groups == 1 or loose.isEmpty():
             done.append(placed)
             break
-        done.append(placed.where(~loose))
-        left = placed.where(loose).select("doc_id", "piece", "copy", "length")
+        done.append(placed.where(F.col("fill") >= GOOD * capacity))
+        held, left = loose, loose.select("row", "length")
         level += 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "piece", "copy", "sequence_id", "offset")
+    return out.select("row", "sequence_id", "offset", "generations")
 
 
 def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("doc_id", "piece").orderBy("length", "ids_crc32")
-    cut = saved(pieces(docs, vocabulary, capacity), "pieces")
-    cut = saved(cut.withColumn("copy", F.row_number().over(same)), "pieces-copies")
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, generations of every piece of every document."""
+    cut = saved(pieces(docs, vocabulary, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     places = pack(cut, capacity)
-    keys = ["doc_id", "piece", "copy"]
-    p = places.select(*[F.col(k).alias(f"_{k}") for k in keys], "sequence_id", "offset")
-    on = cut["doc_id"].eqNullSafe(p["_doc_id"]) & (cut["piece"] == p["_piece"]) & (cut["copy"] == p["_copy"])
-    return cut.join(p, on).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return cut.join(places, "row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "generations")

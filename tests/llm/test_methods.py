@@ -55,13 +55,33 @@ def test_targets_fill_up_to_the_limit():
 def test_packing_keeps_items_and_capacity():
     r = random.Random(3)
     lengths = [r.randint(1, 100) for _ in range(300)]
-    p = packing.evolve(lengths, 100, 7)
+    p, _ = packing.evolve(lengths, 100, 7)
     assert sorted(i for b in p.bins for i in b) == list(range(300))
     assert all(sum(lengths[i] for i in b) == 100 - f <= 100 for b, f in zip(p.bins, p.free, strict=True))
     best = packing.best_fit(lengths, sorted(range(300), key=lambda i: -lengths[i]), 100)
     assert len(p.bins) <= len(best.bins)
 
 
+def test_generations_beat_best_fit_where_it_misses_the_bound():
+    r = random.Random(8)
+    lengths = [r.randint(1200, 1600) for _ in range(600)]
+    order = sorted(range(600), key=lambda i: -lengths[i])
+    first, ran = packing.evolve(lengths, 4096, 1)
+    assert ran > 0 and len(first.bins) < len(packing.best_fit(lengths, order, 4096).bins)
+    # an island goes on from its migrants, and loses nothing
+    again, _ = packing.evolve(lengths, 4096, 2, [packing.assignment(first, 600)])
+    assert len(again.bins) <= len(first.bins)
+
+
+def test_crossover_injects_whole_bins():
+    r = random.Random(9)
+    lengths = [r.randint(1, 60) for _ in range(80)]
+    a, b = (packing.best_fit(lengths, r.sample(range(80), 80), 100) for _ in range(2))
+    child = packing.crossover(a, b, lengths, 100, random.Random(1))
+    assert sorted(i for x in child.bins for i in x) == list(range(80)) and all(f >= 0 for f in child.free)
+    assert any(sorted(x) in [sorted(y) for y in b.bins] for x in child.bins)
+
+
 def test_tokens_equal_the_library():
     import pyarrow as pa
     from tokenizers import Tokenizer
