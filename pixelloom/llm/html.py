@@ -42,14 +42,18 @@ MARKUP = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 #: Elements whose content isn't text, if they are closed; those of other vocabularies can close themselves.
-SKIPPED = frozenset("template noscript svg math iframe object canvas".split())
-FOREIGN = frozenset(("svg", "math"))
+SKIPPED = frozenset("template svg iframe annotation annotation-xml".split())
+FOREIGN = frozenset(("svg",))
 #: What a head can hold; any other tag ends it.
 IN_HEAD = frozenset("head base link meta title style script noscript template basefont bgsound noframes".split())
 #: Elements of a head whose content isn't text.
-HEAD_TEXT = frozenset(("title", "noframes"))
+HEAD_TEXT = frozenset(("title", "noframes", "noscript"))
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object canvas "
+    # formulas are text of their block
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of these ends the open ones named with it, up to the nearest parent.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
