@@ -1,4 +1,5 @@
-"""Small helpers shared by the training-data operators."""
+"""Small helpers shared by the training-data operators: tables, words, scratch tables of steps, workers' memory. Null columns stay null in
+``ascii_lower``; empty tables are saved and read again with their schema."""
 
 from __future__ import annotations
 

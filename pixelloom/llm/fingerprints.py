@@ -7,7 +7,8 @@ quarter of all buckets its count lies. The difference of two digests adds length
 steps, each bounded, so that it is at most ``MOST``; likeness is 1 - difference / MOST.
 
 Edge cases: null and empty texts give the digest of no triplets; equal texts have equal digests; texts under
-three bytes have no triplets. Repeated doc_ids are ordered by text; null doc_ids come last.
+three bytes have no triplets, texts of any length are counted whole. Repeated doc_ids are ordered by text (ties); null doc_ids come last, in
+one part. An empty table gives no rows; other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The labeller is trained here, at first use in a process, on ``PAGES`` made-up pa
 makes training, and so results, the same everywhere. Its weights (some tens of thousands of numbers) go to the tasks.
 
 Edge cases: null or empty html gives an empty text; text outside any element is a block; unclosed elements end with their
-parents; scripts, styles, comments and the head are never blocks; repeated rows give repeated results.
+parents; scripts, styles, comments and the head are never blocks; pages of any length are read whole; rows without page_id or url have null
+there; repeated rows give repeated results; an empty table gives no rows; other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations

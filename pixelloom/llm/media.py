@@ -9,7 +9,9 @@ packet's start time follows from the granule position and the lengths of the pac
 The reader trusts nothing: it checks capture pattern, version, checksum and sequence number of every page, puts
 packets together from lacing values, separates streams by serial number, and checks every granule position.
 
-Edge cases: null or empty content gives a valid container without data packets; damaged media raise ``OggError``.
+Edge cases: null or empty content gives a valid container without data packets; content of any length is packets over as many pages as it
+needs; repeated rows give repeated results; an empty table gives no rows; other columns are ignored, so their names can't clash; damaged
+media raise ``OggError``.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@
 
 A large source has as many shards as its size asks for, so no group is unbounded. The driver holds one row a source
 and a shard, of which a source has at most SHARDS. Documents without words take nothing. Repeated doc_ids are ordered by the row's text hash, and identical
-rows are kept apart by their place on the line; null source is a source of its own, after all others.
+rows are kept apart by their place on the line; null source is a source of its own, after all others. Texts of any length are counted whole;
+equal quotients go to the first (ties); other columns travel in a struct, so their names can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

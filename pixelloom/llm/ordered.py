@@ -3,7 +3,8 @@
 Bounds are approximate quantiles of doc_id alone (a scan of one column); each row computes its own part from
 them, and ``repartitionById`` sends part p to partition p. Rows of a part are sorted there, so part order plus
 in-part order is the global order. The bounds only steer balance: any bounds give the same order.
-Null doc_ids come last, in the last part; equal doc_ids are ordered by text.
+Null doc_ids come last, in as many parts of their own as their number asks for, by a hash of text and place; equal doc_ids are ordered by text
+(ties). An empty table has one part.
 """
 
 from __future__ import annotations
@@ -38,7 +39,14 @@ def part_column(bounds: list[int], values: list | None = None) -> Column:
 
 def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs with a column part, dealt out by part and sorted by (doc_id, text); and the number of parts."""
-    bounds = part_bounds(docs, width(docs.sparkSession))
+    parts = width(docs.sparkSession)
+    bounds = part_bounds(docs, parts)
     n = len(bounds) + 1
-    dealt = docs.withColumn("part", part_column(bounds)).repartitionById(n, F.col("part"))
-    return dealt.sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()), n
+    count = docs.agg(F.count(F.lit(1)).alias("all"), F.count("doc_id").alias("ids")).first()
+    # as many parts for rows without an id as others have for as many rows
+    nulls = -(-(count.all - count.ids) * parts // max(1, count.all))
+    part = part_column(bounds)
+    if nulls:
+        part = F.when(F.col("doc_id").isNull(), F.lit(n) + F.pmod(F.xxhash64("text", F.monotonically_increasing_id() % 64), F.lit(nulls)).cast("int")).otherwise(part)
+    dealt = docs.withColumn("part", part).repartitionById(n + nulls, F.col("part"))
+    return dealt.sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()), n + nulls

@@ -13,8 +13,9 @@ failed) and finds exactly the leftmost non-overlapping matches of the plain patt
 shorter ones fail. Positions are code points.
 
 Edge cases: null text is empty and stays null in sanitised output; repeated rows are rows of their own; documents without
-entities change where they hold a disclosing term; words of scripts without spaces are whole runs; an empty table
-gives no rows.
+entities change where they hold a disclosing term; words of scripts without spaces are whole runs; texts of any length and any number of
+matches are read whole; of matches of two kinds at one place the first kind comes first (ties); a null doc_id stays null; other columns
+travel in a struct, so their names can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ and Bloom filters on doc_id.
 writes one run of stripes a partition. ``read`` is an ordinary ORC scan: stripes are read in parallel, a predicate
 on doc_id is pushed down and skips files, stripes and row groups by their statistics and Bloom filters.
 
-Edge cases: a null or empty text is the end id alone; repeated rows stay, ordered by text; rows with a null doc_id come
-last; an empty table gives files without rows.
+Edge cases: a null or empty text is the end id alone; a text of any length is one row; repeated rows stay, ordered by text (ties); rows with
+a null doc_id come last, by a hash of text and place, with a null doc_id in the result; an empty table gives files without rows; other columns
+are ignored, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ At most ``SAMPLE`` labelled documents (by hash of doc_id) are used to fit; scori
 
 Edge cases: null and empty texts and texts without hits get the score of a document without hits; labels that are
 null are left out, of several labels of a document the largest counts; without any toxic label nothing is learned and every score is
-``PRIOR``. Labels, language, source and doc_id are never inputs of a score.
+``PRIOR``. Repeated rows have equal scores; texts of any length are read whole; an empty table gives no rows; other columns are carried by
+``scored`` and ``without_toxic`` whatever their names. Labels, language, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations

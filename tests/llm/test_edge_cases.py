@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom.llm import fingerprints, html, lm, media, mixing, packing, pii, simjoin, tokenfiles, toxicity
 from pixelloom.llm.queries import vocabulary
@@ -10,6 +11,8 @@ from pixelloom.llm.queries import vocabulary
 EXTRA = "part string, size string, score string, row int, _row int, shard int, target string, at int, n long, set_id string"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
 TEXTS = [None, "", "   \n\t ", "one two", "a b c d e f g h " * 3, "a b c d e f g h " * 3, "x" * 30_000, "ß é 日本 \U0001f600 words", "mail me a.b@c-d.org or +49 (30) 1234567 now"]
+#: A megabyte of words, and many matches.
+TEXTS += ["word after word " * 65_000, "a@b.org, 4111 1111 1111 1111, +49 (30) 1234567. " * 3000]
 
 
 def _docs(spark, texts, sources=("s1", "s2", None)):
@@ -63,6 +66,7 @@ def test_packing(docs, none):
         assert r.offset == used.get(r.sequence_id, 0)
         used[r.sequence_id] = r.offset + r.length
     assert max(used.values()) <= 64
+    assert any(r.doc_id is None for r in rows)
     assert sum(r.length for r in rows if r.doc_id == 0) == 1
 
 
@@ -89,6 +93,7 @@ def test_pii(docs, none):
     assert len(rows) == N and not pii.spans(none).collect()
     by = {r.doc_id: r for r in rows}
     assert by[8].spans == "email:8:19,phone:23:39" and by[0].spans == ""
+    assert None in by and by[None].spans == "" and (by[10].n_email, by[10].n_card, by[10].n_phone) == (3000, 3000, 3000)
     clean = pii.sanitised(docs)
     assert clean.columns == docs.columns
     texts = {r.doc_id: r.text for r in clean.collect()}
@@ -114,6 +119,11 @@ def test_tokenfiles(docs, none):
     for r in sorted(rows, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+    # rows without an id come last
+    assert max(rows, key=lambda r: r.start).doc_id is None and max(r.n_tokens for r in rows) > 190_000
+    ties = docs.where("doc_id = 4").unionByName(docs.where("doc_id = 4").withColumn("text", F.lit("a a")))
+    got = sorted(tokenfiles.token_table(ties, path).collect(), key=lambda r: r.start)
+    assert [r.n_tokens for r in got] == sorted(r.n_tokens for r in got) and got[1].start == got[0].n_tokens
 
 
 def test_toxicity(docs, none, labels):
