@@ -8,13 +8,13 @@ TILE8 = "SELECT vec_id AS image_id, CAST(p%8 AS INT) AS x, CAST(p//8 AS INT) AS
 MOSAIC = f"""SELECT image_id,x,y,max(CASE WHEN ch=0 THEN u8 END) AS r,max(CASE WHEN ch=1 THEN u8 END) AS g,max(CASE WHEN ch=2 THEN u8 END) AS b
 FROM (SELECT CAST(floor(image_id/192) AS BIGINT) AS image_id, CAST(y*8+x AS INT) AS x, CAST(image_id%64 AS INT) AS y, CAST(floor((image_id%192)/64) AS INT) AS ch,
 CAST(least(255,greatest(0,floor((v+0.6e0)/1.2e0*256))) AS INT) AS u8 FROM ({TILE8})) m GROUP BY image_id,x,y HAVING count(*)=3"""
-BAG = "SELECT CAST(l_suppkey%10 AS BIGINT) AS image_id, CAST(row_number() OVER (PARTITION BY l_suppkey%10 ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_discount,l_tax)-1 AS BIGINT) AS idx, CAST(l_quantity*5 AS INT) AS r, CAST(round(l_discount*100)*25 AS INT) AS g, CAST(round(l_tax*100)*31 AS INT) AS b FROM lineitem"
+BAG = "SELECT CAST(l_suppkey AS BIGINT) AS image_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_discount,l_tax)-1 AS BIGINT) AS idx, CAST(l_quantity*5 AS INT) AS r, CAST(round(l_discount*100)*25 AS INT) AS g, CAST(round(l_tax*100)*31 AS INT) AS b FROM lineitem"
 _IN_DISC = "pow(p%32-16,2)+pow(floor(p/32)-17,2)<=64"
 SCENES = f"""SELECT CAST(s AS BIGINT) AS image_id, CAST(p%32 AS INT) AS x, CAST(floor(p/32) AS INT) AS y,
-CAST(CASE s WHEN 0 THEN (CASE WHEN p%32<16 THEN 240 ELSE 70 END) WHEN 1 THEN 220+CASE WHEN p=16*32+16 THEN 5 ELSE 0 END WHEN 2 THEN CASE WHEN {_IN_DISC} THEN 200 ELSE 235 END ELSE (p%32)*8 END AS INT) AS r,
-CAST(CASE s WHEN 0 THEN (CASE WHEN p%32<16 THEN 80 ELSE 110 END) WHEN 1 THEN 220 WHEN 2 THEN CASE WHEN {_IN_DISC} THEN 40 ELSE 235 END ELSE floor(p/32)*8 END AS INT) AS g,
-CAST(CASE s WHEN 0 THEN (CASE WHEN p%32<16 THEN 90 ELSE 230 END) WHEN 1 THEN 230 WHEN 2 THEN CASE WHEN {_IN_DISC} THEN 60 ELSE 240 END ELSE 128 END AS INT) AS b
-FROM range(4) a(s), range(1024) c(p)"""
+CAST(CASE s%4 WHEN 0 THEN (CASE WHEN p%32<16 THEN 240 ELSE 70 END) WHEN 1 THEN 220+CASE WHEN p=16*32+16 THEN 5 ELSE 0 END WHEN 2 THEN CASE WHEN {_IN_DISC} THEN 200 ELSE 235 END ELSE (p%32)*8 END AS INT) AS r,
+CAST(CASE s%4 WHEN 0 THEN (CASE WHEN p%32<16 THEN 80 ELSE 110 END) WHEN 1 THEN 220 WHEN 2 THEN CASE WHEN {_IN_DISC} THEN 40 ELSE 235 END ELSE floor(p/32)*8 END AS INT) AS g,
+CAST(CASE s%4 WHEN 0 THEN (CASE WHEN p%32<16 THEN 90 ELSE 230 END) WHEN 1 THEN 230 WHEN 2 THEN CASE WHEN {_IN_DISC} THEN 60 ELSE 240 END ELSE 128 END AS INT) AS b
+FROM (SELECT unnest(range(4*greatest(1,(SELECT count(*) FROM supplier)//100))) AS s) a, range(1024) c(p)"""
 VIEWS = {"tile8": TILE8, "mosaic64": MOSAIC, "pixel_bag": BAG, "scenes": SCENES}
 
 

@@ -32,9 +32,9 @@ def mosaic64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixel_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, idx, r, g, b: images without coordinates; grows with the scale factor."""
+    """image_id, idx, r, g, b: images without coordinates, one a supplier: their number grows with the scale factor, their size doesn't."""
     li = table(spark, sf_dir, "lineitem")
-    image = F.col("l_suppkey") % 10
+    image = F.col("l_suppkey")
     w = Window.partitionBy(image).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return li.select(
         image.cast("bigint").alias("image_id"),
@@ -46,9 +46,10 @@ def pixel_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenes(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    """image_id, x, y, r, g, b: two flat blocks, a noisy pixel, a disc, a gradient; 32x32 each."""
-    p = spark.range(4096).select(F.floor(F.col("id") / 1024).cast("bigint").alias("image_id"), (F.col("id") % 32).cast("int").alias("x"), F.floor(F.col("id") % 1024 / 32).cast("int").alias("y"))
-    s, x, y = F.col("image_id"), F.col("x"), F.col("y")
+    """image_id, x, y, r, g, b: two flat blocks, a noisy pixel, a disc, a gradient; 32x32 each, four more for every hundred suppliers."""
+    many = 4 * max(1, table(spark, sf_dir, "supplier").count() // 100) if sf_dir else 4
+    p = spark.range(1024 * many).select(F.floor(F.col("id") / 1024).cast("bigint").alias("image_id"), (F.col("id") % 32).cast("int").alias("x"), F.floor(F.col("id") % 1024 / 32).cast("int").alias("y"))
+    s, x, y = F.col("image_id") % 4, F.col("x"), F.col("y")
     disc = F.pow(x - 16, F.lit(2)) + F.pow(y - 17, F.lit(2)) <= 64
     pick = lambda a, b, c, d: F.when(s == 0, a).when(s == 1, b).when(s == 2, c).otherwise(d).cast("int")
     left = x < 16
