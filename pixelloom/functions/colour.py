@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,6 +163,37 @@ def cam16ucs_to_rgb(df: DataFrame, names: tuple[str, str, str], out: tuple[str,
     return df.withColumns({n: F.when(c("j") <= 0, 0.0).otherwise(clamp01(from_linear(c(f"l{i}")))) for i, n in enumerate(out)}).drop(*used)
 
 
+def rgb_cam16ucs(rgb: np.ndarray, v: Viewing = VIEW) -> np.ndarray:
+    """J', a', b' of colours (n, 3) in 0..1: ``cam16ucs`` in numpy, for an image's distinct colours."""
+    linear = np.where(rgb <= 0.04045, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4)
+    cone = (linear @ np.array(TO_XYZ).T * 100) @ np.array(M16).T * np.array(v.d)
+    t = (np.abs(cone) * (v.fl / 100)) ** 0.42
+    r, g, b = (np.sign(cone) * t * 400 / (t + 27.13)).T
+    ca, cb = (r * 11 - g * 12 + b) / 11, (r + g - b * 2) / 9
+    h = np.arctan2(cb, ca)
+    j = (np.maximum((r * 2 + g + b / 20) * v.nbb, 0) / v.aw) ** (v.c * v.z) * 100
+    s = (np.cos(h + 2) + 3.8) * 0.25 * (50000 / 13 * v.nc * v.nbb) * np.hypot(ca, cb) / (r + g + b * 1.05 + 0.305)
+    m = np.maximum(s, 0) ** 0.9 * v.spread * np.sqrt(j / 100) * v.fl**0.25
+    mp = np.log(m * UCS_C2 + 1) / UCS_C2
+    return np.stack([j * (1 + 100 * UCS_C1) / (j * UCS_C1 + 1), mp * np.cos(h), mp * np.sin(h)], 1)
+
+
+def cam16ucs_rgb(points: np.ndarray, v: Viewing = VIEW) -> np.ndarray:
+    """R, G, B (0..1) of a few points (n, 3) of J', a', b', without a plan: ``cam16ucs_to_rgb`` in numpy."""
+    jp, ap, bp = points.T
+    j = np.maximum(jp / (1 + 100 * UCS_C1 - jp * UCS_C1), 0)
+    m, h = (np.exp(np.hypot(ap, bp) * UCS_C2) - 1) / UCS_C2, np.arctan2(bp, ap)
+    lit = np.where(j <= 0, 1.0, j)
+    t = (m / v.fl**0.25 / np.sqrt(lit / 100) / v.spread) ** (1 / 0.9)
+    p1, p2 = (np.cos(h + 2) + 3.8) * (0.25 * 50000 / 13 * v.nc * v.nbb), (lit / 100) ** (1 / v.c / v.z) * (v.aw / v.nbb)
+    g = t * 23 * (p2 + 0.305) / (p1 * 23 + t * 11 * np.cos(h) + t * 108 * np.sin(h))
+    a = np.stack([p2 * 460 + g * np.cos(h) * x + g * np.sin(h) * y for x, y in ((451, 288), (-891, -261), (-220, -6300))]) / 1403
+    cone = np.sign(a) * (100 / v.fl) * (np.abs(a) * 27.13 / (400 - np.abs(a))) ** (1 / 0.42) / np.array(v.d)[:, None]
+    linear = np.array(FROM_XYZ) @ (np.array(M16_BACK) @ cone / 100)
+    rgb = np.where(linear <= 0.0031308, linear * 12.92, np.maximum(linear, 0) ** (1 / 2.4) * 1.055 - 0.055)
+    return np.where(j <= 0, 0.0, rgb.clip(0, 1)).T
+
+
 def convert_to(space: str, r: Column, g: Column, b: Column) -> list[Column]:
     return list({"RGB": lambda *c: c, "CIELAB": lab, "Oklab": oklab, "HSL": hsl, "CAM16": cam16ucs}[space](r, g, b))
 

@@ -192,7 +192,8 @@ def palette(pixels: DataFrame, algorithm: str = "kmeans", space: str = "CIELAB",
     w = weight if weight is not None else F.lit(1.0)
     order = F.col("idx") if "idx" in pixels.columns else F.struct("y", "x")
     counted = pixels.groupBy("image_id", "r", "g", "b").agg(F.sum(w).alias("w"), F.min(order).alias("first"))
-    values = dict(zip(("u", "v", "t"), C.convert_to(space, *C.unit("r", "g", "b")), strict=True))
+    # CAM16 is reckoned in numpy from the distinct colours: its expressions take longer to compile than all else to run
+    values = dict(zip(("u", "v", "t"), C.convert_to("RGB" if space == "CAM16" else space, *C.unit("r", "g", "b")), strict=True))
     # points come in the order of their first pixels
     table = counted.withColumns(values).withColumn("at", F.row_number().over(Window.partitionBy("image_id").orderBy("first"))).drop("first")
 
@@ -200,6 +201,8 @@ def palette(pixels: DataFrame, algorithm: str = "kmeans", space: str = "CIELAB",
         t = t.sort_values("at")
         t = t[(t.w > 0) & np.isfinite(t[["u", "v", "t"]]).all(axis=1)]
         rgb, p, ww = t[["r", "g", "b"]].to_numpy(float), t[["u", "v", "t"]].to_numpy(float), t.w.to_numpy(float)
+        if space == "CAM16":
+            p = C.rgb_cam16ucs(p)
         if algorithm == "median_cut":
             groups = median_cut(p, ww, k)
         elif algorithm == "octree":
@@ -208,11 +211,14 @@ def palette(pixels: DataFrame, algorithm: str = "kmeans", space: str = "CIELAB",
             a = kmeans(p, ww, k, seed, batch=2048 if algorithm == "minibatch" else None)
             groups = [(i, ww[i]) for i in (np.flatnonzero(a == j) for j in np.unique(a))]
         total = sum(n.sum() for _, n in groups)
-        rows = [(int(t.image_id.iloc[0]), j, *map(float, np.average(p[i], axis=0, weights=n)), float(n.sum() / total)) for j, (i, n) in enumerate(groups)]
+        mean = np.array([np.average(p[i], axis=0, weights=n) for i, n in groups])
+        if space == "CAM16":
+            mean = C.cam16ucs_rgb(mean)
+        rows = [(int(t.image_id.iloc[0]), j, *map(float, m), float(n.sum() / total)) for j, (m, (_, n)) in enumerate(zip(mean, groups, strict=True))]
         return pd.DataFrame(rows, columns=["image_id", "part", "u", "v", "t", "proportion"])
 
     parts = table.groupBy("image_id").applyInPandas(one, "image_id long, part int, u double, v double, t double, proportion double")
-    parts = C.with_rgb(parts, space, ("u", "v", "t"), ("_r", "_g", "_b"))
+    parts = C.with_rgb(parts, "RGB" if space == "CAM16" else space, ("u", "v", "t"), ("_r", "_g", "_b"))
     rgb = [F.col(f"_{c}") for c in "rgb"]
     image = Window.partitionBy("image_id")
     # of equal proportions the last counts

@@ -68,6 +68,14 @@ def test_planes_equal_windows(spark, noise):
     assert abs(centre - P.robust_centre(v)) < 1e-9
 
 
+def test_cam16_in_numpy_equals_the_expressions(spark):
+    colours = np.random.default_rng(7).integers(0, 256, (40, 3))
+    df = spark.createDataFrame([tuple(map(int, c)) for c in colours], "r int, g int, b int")
+    got = np.array(df.select(*C.cam16ucs(*C.unit("r", "g", "b"))).collect())
+    np.testing.assert_allclose(C.rgb_cam16ucs(colours / 255), got, atol=1e-8)
+    np.testing.assert_allclose(C.cam16ucs_rgb(got), colours / 255, atol=2e-3)
+
+
 def test_robust_centre_modes():
     a = np.linspace(0.1, 0.9, 101)
     for p in (P.CentreParams(), P.CentreParams("gamma", gamma_power=0.5)):
