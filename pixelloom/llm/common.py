@@ -99,7 +99,7 @@ def release(spark: SparkSession) -> None:
 
 
 #: Rows that a worker gets at once: whole texts, so some megabytes.
-RECORDS = 2500
+RECORDS = 1000
 
 
 def tidy() -> None:

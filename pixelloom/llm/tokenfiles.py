@@ -44,18 +44,17 @@ def write(docs: DataFrame, vocabulary: str, path: str, cut: str = "bytes", end:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, seq = encoder(vocabulary, cut).column, 0
-        for batch in batches:
-            for part in parts(batch, 1):
-                ids, cuts = column(part.column(1))
-                n = part.num_rows
-                # each text's ids move on by the ends before them
-                values = np.full(len(ids) + n, end, np.uint32)
-                values[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(cuts))] = ids
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(2).cast(pa.int32()), pa.array(np.arange(seq, seq + n)), part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array((cuts + np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int32)))],
-                    ["part", "seq", "doc_id", "ids"],
-                )
-                seq += n
+        for part in parts(batches, 1):
+            ids, cuts = column(part.column(1))
+            n = part.num_rows
+            # each text's ids move on by the ends before them
+            values = np.full(len(ids) + n, end, np.uint32)
+            values[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(cuts))] = ids
+            yield pa.RecordBatch.from_arrays(
+                [part.column(2).cast(pa.int32()), pa.array(np.arange(seq, seq + n)), part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array((cuts + np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int32)))],
+                ["part", "seq", "doc_id", "ids"],
+            )
+            seq += n
 
     rows.transform(mapped(run, FILE_SCHEMA, "tokens")).write.options(**OPTIONS).orc(path)
 

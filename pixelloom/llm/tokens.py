@@ -13,6 +13,7 @@ Strings of special tokens in a text count as ordinary text. Null and empty texts
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ from .common import memory
 #: What is not printable ASCII, tab, newline, carriage return, or a printable Latin letter or sign (other white space, and
 #: the one letter whose lower-case form is two characters).
 NOT_PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
-MEMORY = 1_000_000
+MEMORY = 700_000
 #: Bytes of text that are encoded at once, about.
-PART = 10 << 20
+PART = 6 << 20
 #: Signs that part from a letter or digit before them.
 SIGNS = pa.array(list(".,;:!?"))
 #: Pieces that are encoded as one text.
@@ -167,8 +168,22 @@ class Encoder:
         return flat[spread(starts[both.ravel()], sizes.ravel())], sizes.sum(1)
 
 
-def parts(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
-    """A batch cut into runs of rows whose texts have about PART bytes; a longer text is a run of its own."""
+def parts(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in runs whose texts have about PART bytes; a longer text is a run of its own."""
+    held, size = [], 0
+    for batch in batches:
+        for part in _runs(batch, column):
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + n > PART * 5 // 4:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _runs(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     # equal runs, so that the last one isn't a small rest
     step = max(1, -(-int(sizes.sum()) // max(1, -(-int(sizes.sum()) // PART))))
