@@ -64,15 +64,15 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys in order; for each key its place among them; for each distinct key a place where it stands."""
     if not len(keys):
         return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    coded = pa.array(keys).dictionary_encode()
-    found, code = np.asarray(coded.dictionary), np.asarray(coded.indices)
-    order = np.argsort(found)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    at = rank[code]
-    first = np.empty(len(order), np.int64)
-    first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
-    return found[order], at, first
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.empty(len(keys), bool)
+    new[0] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return ranked[first], at, order[first]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -270,15 +270,16 @@ def _answered(t: pa.Table) -> pa.Table:
     level, bucket = rows[0]["level"], rows[0]["bucket"]
     columns = 3 if level == CONTEXTS else 1
     keys, *values = (np.concatenate(c) for c in zip(*(unpack_keys(r["blob"], r["n"], columns) for r in rows), strict=True))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.empty(len(keys), bool)
     new[0] = True
     ranked = keys[order]
     np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
     which = np.empty(len(keys), np.int64)
     which[order] = np.cumsum(new) - 1
-    first = order[new]
-    sums = [np.add.reduceat(v[order], np.flatnonzero(new)) for v in values]
+    starts = np.flatnonzero(new)
+    first = np.minimum.reduceat(order, starts)
+    sums = [np.add.reduceat(v[order], starts) for v in values]
     out = []
     if level == CONTEXTS:
         kinds, kept, differ = sums
