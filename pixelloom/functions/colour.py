@@ -269,3 +269,9 @@ def hexed(r: Column, g: Column, b: Column, upper: bool = False) -> Column:
     """8-bit channels as #rrggbb."""
     x = "%02X" if upper else "%02x"
     return F.format_string(f"#{x}{x}{x}", r, g, b)
+
+
+def from_hex(c: Column) -> list[Column]:
+    """8-bit channels of #rrggbb, in either case; null for anything else."""
+    ok = c.rlike("^#[0-9A-Fa-f]{6}$")
+    return [F.when(ok, F.conv(F.substring(c, 2 + 2 * i, 2), 16, 10).cast("int")) for i in range(3)]

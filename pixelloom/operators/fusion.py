@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import colour as C
 
-from .normalise import at_ranks, clamp01
+from .normalise import at_ranks, clamp01, min_max
 
 #: Feature columns in their order.
 FEATURES = "dct lab_grad spectral global_light global_lab_a global_lab_b global_sat local_light local_lab_a local_lab_b local_sat background_mask_morph background_fg_confidence subject_prior abs_light abs_lab_a abs_lab_b abs_sat segment_foreground".split()
@@ -102,6 +102,15 @@ def linear(values: list[Column], weights: list[float]) -> Column:
     return clamp01(out)
 
 
+def masked(df: DataFrame, weight: str, normalised: bool = False) -> DataFrame:
+    """df with r, g, b (0..1) times a map; ``normalised`` stretches an image's map to 0..1 first."""
+    if normalised:
+        df = min_max(df.withColumn("_m", F.col(weight)), "_m")
+    w = clamp01(F.col("_m" if normalised else weight))
+    out = df.withColumns({c: clamp01(F.col(c) * w) for c in "rgb"})
+    return out.drop("_m") if normalised else out
+
+
 # Defaults of cluster scores.
 @dataclass(frozen=True)
 class ScoreParams:

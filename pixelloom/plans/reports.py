@@ -10,7 +10,7 @@ from html import escape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions import colour as C
@@ -181,6 +181,11 @@ def sheets(pixels: DataFrame, columns: list[str], cols: int = 4, width: int = 12
     return pixels.select("image_id", "x", "y", "r", "g", "b", *columns).groupBy("image_id").applyInPandas(one, "image_id long, png binary, labels array<string>")
 
 
+def stamp(spark: SparkSession) -> str:
+    """The time, to the millisecond."""
+    return spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSS")).first()[0]
+
+
 def sheet_html(sheet: DataFrame, title: str = "Sheets") -> str:
-    """Sheets as pictures in a page, with their labels."""
-    return page(title, (f"<h2>{r.image_id}</h2><img src='{data_uri(bytes(r.png))}'><p>{escape(', '.join(r.labels))}</p>" for r in sheet.orderBy("image_id").toLocalIterator()))
+    """Sheets as pictures in a page, with their labels and the time."""
+    return page(f"{title} {stamp(sheet.sparkSession)}", (f"<h2>{r.image_id}</h2><img src='{data_uri(bytes(r.png))}'><p>{escape(', '.join(r.labels))}</p>" for r in sheet.orderBy("image_id").toLocalIterator()))

@@ -386,6 +386,24 @@ def weight_effect(spark, sf_dir):
 # -- programs ---------------------------------------------------------------------------------------------------
 
 
+_T01 = D.clamp("t")
+
+
+@query(f"SELECT {XY}, " + ", ".join(f"{D.r6(f'{c}/255.0e0*{_T01}')} AS {c}" for c in "rgb") + f" FROM (SELECT *, (b-min(b) OVER w)/greatest(max(b) OVER w-min(b) OVER w,1e-12) AS t FROM ({D.MOSAIC}) WINDOW w AS (PARTITION BY image_id))")
+def composite_direct(spark, sf_dir):
+    """Pixels times their blue, stretched over the image."""
+    m = V.mosaic64(spark, sf_dir)
+    m = m.select("image_id", "x", "y", *[(F.col(c) / 255.0).alias(c) for c in "rgb"], (F.col("b") / 255.0).alias("map"))
+    return _out(U.masked(m, "map", True), "r", "g", "b")
+
+
+@query(f"SELECT {XY}, r, g, b FROM ({D.MOSAIC})")
+def hex_round_trip(spark, sf_dir):
+    """Colours written as text and read again."""
+    m = V.mosaic64(spark, sf_dir).withColumn("hex", C.hexed(F.col("r"), F.col("g"), F.col("b"), True))
+    return m.select("image_id", "x", "y", *[v.alias(c) for c, v in zip("rgb", C.from_hex(F.col("hex")), strict=True)])
+
+
 @query()
 def fusion_program(spark, sf_dir):
     """Feature fusion of every image: its colours."""

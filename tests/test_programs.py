@@ -324,3 +324,30 @@ def test_folders_bad_files_and_previews(spark, tmp_path):
 @pytest.mark.parametrize(("raw", "text"), [(b"", ""), (b"Man", "TWFu"), (b"Ma", "TWE="), (b"M", "TQ==")])
 def test_data_uris(raw, text):
     assert images.data_uri(raw).split(",")[1] == text
+
+
+@pytest.mark.parametrize("program", ["dct", "segments", "fusion", "impression"])
+def test_command_line(spark, tmp_path, disc, program, monkeypatch, capsys):
+    from pixelloom.__main__ import run
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a_p0.png").write_bytes(images.png(disc.astype(np.uint8)))
+    (tmp_path / "in/bad.png").write_text("no image")
+    monkeypatch.setenv("PIXELLOOM_PROFILE", "1")
+    run(spark, program, str(tmp_path / "in"), str(tmp_path / "out"), "max_dim: 30" if program in ("fusion", "impression") else "")
+    said = capsys.readouterr().out
+    assert "not an image" in said and "1 images" in said and f"{program}: " in said
+    assert "<h2>" in (tmp_path / "out/report.html").read_text()
+    with pytest.raises(SystemExit):
+        run(spark, "other", str(tmp_path / "in"), str(tmp_path / "out"))
+
+
+def test_palettes_of_a_folder(spark, tmp_path, monkeypatch):
+    from pixelloom.__main__ import run
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a_p0.png").write_bytes(images.png(np.random.default_rng(1).integers(0, 255, (6, 7, 3)).astype(np.uint8)))
+    monkeypatch.setattr(K, "ALGORITHMS", ("median_cut",))
+    monkeypatch.setattr(C, "SPACES", ("RGB", "Oklab"))
+    run(spark, "palettes", str(tmp_path / "in"), str(tmp_path / "out"))
+    assert "2 combinations" in (tmp_path / "out/report.html").read_text()
