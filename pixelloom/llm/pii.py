@@ -6,7 +6,7 @@ hold the term and the entity, and how many hold the term at all. The share of th
 was seen with the entity in at least SUPPORT different texts, the share reaches GENERALISE, and so many texts
 would hold the entity by chance, at its own P(entity), for fewer than 1 / DOUBT of the terms tried with it (in bits:
 texts times divergence), all of the term's occurrences in all documents become spans too: they are generalised to
-a placeholder, or removed from REMOVE on. Exact copies are one text here.
+their class (name, word, number, code), or removed from REMOVE on. Exact copies are one text here.
 
 Patterns are written so that matching is linear in the text (possessive runs, and no second start inside a run that has
 failed) and finds exactly the leftmost non-overlapping matches of the plain patterns; for cards, those of twelve digits or more, as
@@ -154,6 +154,11 @@ def disclosing(marked: DataFrame) -> DataFrame:
     return saved(reveals.groupBy("term").agg(F.max("share").alias("share")), "pii-terms")
 
 
+def general(term: Column) -> Column:
+    """The class that a term is generalised to: a number, a code of letters and digits, a name (a capital first), or a word."""
+    return F.when(term.rlike(r"^\p{N}+$"), "[NUMBER]").when(term.rlike(r"\p{N}"), "[CODE]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
 def occurrences(marked: DataFrame, reveals: DataFrame) -> DataFrame:
     """(_row, _terms) of rows that hold disclosing terms: start, end and share of every occurrence outside base spans."""
     words = marked.select("_row", F.explode(terms_of(F.col("text"))).alias("term"))
@@ -162,7 +167,7 @@ def occurrences(marked: DataFrame, reveals: DataFrame) -> DataFrame:
     found = by_row.withColumn("_pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(F.map_keys("_shares"), "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])")))
     rows = marked.select("_row", "text", "_spans").join(found, "_row")
     own = F.filter(placed(F.col("text"), F.col("_pattern")), lambda t: ~F.exists("_spans", lambda s: (s["start"] < t["start"] + F.length(t["value"])) & (t["start"] < s["end"])))
-    terms = F.transform(own, lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["value"])).alias("end"), F.coalesce(F.element_at("_shares", F.lower(t["value"])), F.array_max(F.map_values("_shares"))).alias("share")))
+    terms = F.transform(own, lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["value"])).alias("end"), F.coalesce(F.element_at("_shares", F.lower(t["value"])), F.array_max(F.map_values("_shares"))).alias("share"), general(t["value"]).alias("general")))
     return rows.select("_row", terms.alias("_terms"))
 
 
@@ -175,9 +180,9 @@ def analysed(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def all_spans() -> Column:
-    """Base spans and terms (rank after all base kinds) by start; a term's value says what becomes of it."""
+    """Base spans and terms (rank after all base kinds) by start; a term's value says what becomes of it: its class, or nothing."""
     rank = len(KINDS)
-    terms = F.transform("_terms", lambda t: F.struct(t["start"].alias("start"), F.lit(rank).alias("rank"), F.lit("term").alias("kind"), t["end"].alias("end"), F.when(t["share"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("value")))
+    terms = F.transform("_terms", lambda t: F.struct(t["start"].alias("start"), F.lit(rank).alias("rank"), F.lit("term").alias("kind"), t["end"].alias("end"), F.when(t["share"] >= REMOVE, F.lit("")).otherwise(t["general"]).alias("value")))
     return F.array_sort(F.concat("_spans", F.coalesce(terms, F.array().cast(SPAN))))
 
 

@@ -37,3 +37,56 @@ def test_every_occurrence_of_a_term_of_any_length_and_distance(spark):
         assert not {"kim", "x7", "zebulon"} & set(got[i].lower().replace(".", " ").replace("(", " ").replace(",", " ").split())
         assert far in got[i] or i == 8
     assert all(got[i] == _text(i, far) for i in range(9, 60))
+
+
+def test_terms_are_generalised_or_removed_by_their_share(spark):
+    """A name that is with the entity in all its texts goes; one, a number and a code that are so in most texts become their classes."""
+    own = [_text(i, "Zebulon zeb@mail.org Yolanda 4711 x9y wombat", "end") for i in range(9)]
+    other = [_text(i, "Yolanda 4711 x9y wombat") for i in range(9, 13)]
+    got = _sanitised(spark, own + other + [_text(i) for i in range(13, 400)])
+    for i in range(13):
+        assert "Zebulon" not in got[i] and got[i].split()[-4:] == ["[NAME]", "[NUMBER]", "[CODE]", "[WORD]"], got[i]
+    assert all(got[i] == _text(i) for i in range(13, 400))
+
+
+def test_disclosure_against_plain_counts(spark):
+    """The terms found are those of plain Python's counts over documents."""
+    import math
+    import random
+    import re
+    from collections import Counter, defaultdict
+
+    r = random.Random(5)
+    texts = []
+    for i in range(300):
+        words = [r.choice(FILL) for _ in range(12)]
+        if i % 10 == 0:
+            words += ["amber@mail.org", r.choice(["Quill", "Quill", "tango"])]
+        if i % 15 == 1:
+            words += ["+49 30 1234567", "Basalt"]
+        if i % 40 == 2:
+            words += ["Quill"]
+        texts.append(" ".join([*words, f"case{i}"]))
+    terms = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    entities = [{m for m in ("amber@mail.org", "+49 30 1234567") if m in t} for t in texts]
+    df, n, both = Counter(t for s in terms for t in s), Counter(e for s in entities for e in s), defaultdict(Counter)
+    for s, es in zip(terms, entities, strict=True):
+        for e in es:
+            both[e].update(s)
+    expected = set()
+    for e, c in both.items():
+        seen = {t: k for t, k in c.items() if k >= pii.SUPPORT}
+        for t, k in seen.items():
+            p, q = k / df[t], n[e] / len(texts)
+            bits = df[t] * (p * math.log2(p / q) + ((1 - p) * math.log2((1 - p) / (1 - q)) if p < 1 else 0)) if p > q else 0
+            if p >= pii.GENERALISE and bits >= math.log2(len(seen) * pii.DOUBT):
+                expected.add(t)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = set()
+    for x in pii.spans(rows).collect():
+        for s in filter(None, x.spans.split(",")):
+            kind, a, b = s.split(":")
+            if kind == "term":
+                found.add(texts[x.doc_id][int(a) : int(b)].lower())
+    # parts of the entities themselves are inside base spans
+    assert expected and found == {t for t in expected if t not in ("amber", "mail", "org", "49", "30", "1234567")}
