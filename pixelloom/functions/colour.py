@@ -237,7 +237,7 @@ def tone_affinity(rgb, tone, scale: float = 0.32) -> Column:
 
 
 def heat(v: Column) -> list[Column]:
-    """Four bands: blue to cyan to green to yellow to red, 8-bit, truncated. Inside a band ramps are four times as steep
+    """Four bands (fixed values): blue to cyan to green to yellow to red, 8-bit, truncated. Inside a band ramps are four times as steep
     as the band is wide, and saturate."""
     t = clamp01(v)
     u8 = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), c.cast("int")))
@@ -251,7 +251,7 @@ def heat(v: Column) -> list[Column]:
 
 
 def skin(r: Column, g: Column, b: Column) -> Column:
-    """Likelihood of a skin tone: R leads G, G leads B, some spread, neither dark nor blown out."""
+    """Likelihood of a skin tone: R leads G, G leads B, some spread, neither dark nor blown out. Edges are fixed values."""
     high, low = F.greatest(r, g, b), F.least(r, g, b)
     top = F.greatest(high, F.lit(1e-6))
     lead = smoothstep(0.02, 0.10, F.greatest((r - g) / top, F.lit(0.0))) * smoothstep(0.0, 0.05, F.greatest((g - b) / top, F.lit(0.0)))

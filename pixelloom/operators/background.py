@@ -1,4 +1,5 @@
-"""Background and foreground estimates: border likelihood, candidates, barriers, protection, soft masks."""
+"""Background and foreground estimates: border likelihood, candidates, barriers, protection, soft masks. Numbers are fixed values; ``planes`` has
+radii that follow an image's size and the centred form."""
 
 from __future__ import annotations
 

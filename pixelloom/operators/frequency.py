@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .stencil import clamped, col, row
 
@@ -34,7 +35,21 @@ def tile_complexity(tiles: DataFrame, t: int = 4) -> DataFrame:
 
 
 def complexity_map(df: DataFrame, column: str, t: int = 4) -> DataFrame:
-    """Adds complexity: of the 8x8 block at x-4..x+3, y-4..y+3, edges clamped; separable windows."""
+    """Adds complexity: of the 8x8 block at x-4..x+3, y-4..y+3, edges clamped. An image is one group, as its plane is what is reckoned with;
+    ``complexity_windows`` gives the same without one."""
+    from . import planes
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["y", "x"])
+        w, h = int(p.x.max()) + 1, int(p.y.max()) + 1
+        return p.assign(complexity=planes.complexity(p[column].to_numpy(float).reshape(h, w), t).ravel())
+
+    schema = StructType([*df.schema.fields, StructField("complexity", DoubleType())])
+    return df.groupBy("image_id").applyInPandas(one, schema)
+
+
+def complexity_windows(df: DataFrame, column: str, t: int = 4) -> DataFrame:
+    """``complexity_map`` by separable windows: an image's size bounds no task."""
     rows = {"_sq": sum((clamped(F.col(column), i - 4, row()) ** 2 for i in range(1, 8)), clamped(F.col(column), -4, row()) ** 2)}
     for u in range(t):
         k = dct_row(u)

@@ -1,4 +1,5 @@
-"""Feature statistics, dynamic weights, fusion of feature maps, and scores of clusters and regions."""
+"""Feature statistics, dynamic weights, fusion of feature maps, scores of clusters and regions, compositing. Numbers in the expressions are fixed
+values."""
 
 from __future__ import annotations
 

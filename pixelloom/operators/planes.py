@@ -1,7 +1,8 @@
 """Filters on whole planes of one image (numpy arrays of rows), for programs that need some thirty of them at once.
 
 ``stencil``, ``normalise``, ``frequency`` and ``background`` have the same operators as windows over pixel tables, where an
-image's size bounds nothing; here an image is one group, bounded by the loader's max_dim, and no map is shuffled. Tests compare the two.
+image's size bounds nothing; here an image is one group, bounded by the loader's max_dim, and no map is shuffled. Tests compare the two. Numbers in the expressions are fixed
+values.
 """
 
 from __future__ import annotations

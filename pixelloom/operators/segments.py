@@ -1,6 +1,8 @@
 """Region features, scores and weights: aggregates of labelled pixels, expressions over region rows, and lookups back to pixels.
 
 Regions are rows (image_id, region, ...); a label's lookup is a join on (image_id, region), missing ones are 0.
+
+Numbers in the expressions are fixed values.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Whole programs: feature fusion with its colours, and impression colour.
 
 Maps of an image are made on its planes in one task (``planes``; an image is bounded by max_dim), so that no map is shuffled; regions,
-statistics, weights, fusion, filters and clusters are DataFrame operations on the maps, which are written once between them.
+statistics, weights, fusion, filters and clusters are DataFrame operations on the maps, which are written once between them. Numbers in the
+expressions are fixed values.
 """
 
 from __future__ import annotations

@@ -58,6 +58,7 @@ def test_planes_equal_windows(spark, noise):
     same(S.sobel(df, ["lab_l"]), "lab_l", P.sobel(planes[0]))
     same(S.edge_strength(df), "edge", P.edge_strength(planes, 0.15, 0.65))
     same(Q.complexity_map(df, "v", 3), "complexity", P.complexity(v, 3))
+    same(Q.complexity_windows(df, "v", 3), "complexity", P.complexity(v, 3))
     same(N.percentile_stretch(df, "v", 5, 95), "v", P.stretch(v, 5, 95))
     same(B.border_likelihood(df, 3, 4), "border_bg", P.border_likelihood(planes, 3, 4))
     sat, light = P.hsl_planes(noise / 255)
