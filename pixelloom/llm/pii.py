@@ -187,10 +187,10 @@ def all_spans() -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base kinds, base_sha256 and spans of every row."""
+    """doc_id, counts of base kinds, base_sha256, spans, and how many spans there are, of every row."""
     rows = analysed(docs.select("doc_id", "text"), ["doc_id"])
     counts = [F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(joined(F.col("_spans")).cast("binary"), 256).alias("base_sha256"), joined(all_spans()).alias("spans"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(joined(F.col("_spans")).cast("binary"), 256).alias("base_sha256"), joined(all_spans()).alias("spans"), F.size(all_spans()).cast("long").alias("n_spans"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

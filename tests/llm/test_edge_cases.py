@@ -94,6 +94,7 @@ def test_pii(docs, none):
     by = {r.doc_id: r for r in rows}
     assert by[8].spans == "email:8:19,phone:23:39" and by[0].spans == ""
     assert None in by and by[None].spans == "" and (by[10].n_email, by[10].n_card, by[10].n_phone) == (3000, 3000, 3000)
+    assert by[10].n_spans == 9000 and by[8].n_spans == 2 and by[0].n_spans == 0
     clean = pii.sanitised(docs)
     assert clean.columns == docs.columns
     texts = {r.doc_id: r.text for r in clean.collect()}
