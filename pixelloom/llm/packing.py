@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, saved
-from .tokens import encoder, parts, spread
+from .tokens import PART, encoder, parts, spread
 
 CAPACITY = 4096
 END = 1
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = encoder(vocabulary, cut).column
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        for part in parts(batches, 1):
+        for part in parts(batches, 1, PART // 2):
             ids, cuts = column(part.column(1))
             raw, last = memoryview(ids.astype("<u4")).cast("B"), np.array([end], "<u4").tobytes()
             # a document's ids and its end, in pieces of at most capacity

@@ -168,13 +168,13 @@ class Encoder:
         return flat[spread(starts[both.ravel()], sizes.ravel())], sizes.sum(1)
 
 
-def parts(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in runs whose texts have about PART bytes; a longer text is a run of its own."""
+def parts(batches: Iterable[pa.RecordBatch], column: int, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in runs whose texts have about ``most`` bytes; a longer text is a run of its own."""
     held, size = [], 0
     for batch in batches:
-        for part in _runs(batch, column):
+        for part in _runs(batch, column, most):
             n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
-            if held and size + n > PART * 5 // 4:
+            if held and size + n > most * 5 // 4:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                 held, size = [], 0
             held.append(part)
@@ -183,10 +183,10 @@ def parts(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordB
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _runs(batch: pa.RecordBatch, column: int) -> list[pa.RecordBatch]:
+def _runs(batch: pa.RecordBatch, column: int, most: int) -> list[pa.RecordBatch]:
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     # equal runs, so that the last one isn't a small rest
-    step = max(1, -(-int(sizes.sum()) // max(1, -(-int(sizes.sum()) // PART))))
+    step = max(1, -(-int(sizes.sum()) // max(1, -(-int(sizes.sum()) // most))))
     part = (np.cumsum(sizes) - sizes) // step
     starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
     return [batch.slice(a, b - a) for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True)]
