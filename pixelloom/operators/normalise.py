@@ -31,14 +31,15 @@ def ceil_rank(p: float) -> Column:
     return F.least(F.ceil(F.col("n") * (p / 100)), F.col("n") - 1)
 
 
-def percentile_stretch(df: DataFrame, column: str, low: float = 1.0, high: float = 99.0, unit_feature: bool = False) -> DataFrame:
-    """The column, stretched between two rank percentiles; with unit_feature a flat map in 0..1 stays as it is."""
+def percentile_stretch(df: DataFrame, column: str, low: float = 1.0, high: float = 99.0, unit_feature: bool | Column = False) -> DataFrame:
+    """The column, stretched between two rank percentiles; where unit_feature holds (of all images, or a condition on
+    image_id) a flat map in 0..1 stays as it is."""
     ranks = {"_lo": floor_rank(low), "_hi": ceil_rank(high), "_min": F.lit(0), "_max": F.col("n") - 1}
     s = at_ranks(df, column, ranks)
     v = F.col(column)
     out = clamp01((v - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12)))
-    if unit_feature:
-        flat = (F.col("_hi") - F.col("_lo") < 1e-12) & (F.col("_min") >= -1e-9) & (F.col("_max") <= 1 + 1e-9)
+    if unit_feature is not False:
+        flat = F.lit(unit_feature) & (F.col("_hi") - F.col("_lo") < 1e-12) & (F.col("_min") >= -1e-9) & (F.col("_max") <= 1 + 1e-9)
         out = F.when(flat, v).otherwise(out)
     return df.join(s, "image_id").withColumn(column, out).drop("_lo", "_hi", "_min", "_max")
 

@@ -5,9 +5,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom.operators import clustering as K
 from pixelloom.operators import frequency as Q
+from pixelloom.operators import normalise as N
 from pixelloom.operators import regions as R
 from pixelloom.sources import images
 
@@ -143,3 +145,12 @@ def test_stream(spark, tmp_path):
     assert q.awaitTermination(60)
     # halves of one colour's pixels
     assert {r.hex for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"#5a5a5a"}
+
+
+def test_flat_maps_stay_where_they_are_unit_features(spark):
+    flat = {1: 0.5, 2: 0.5, 3: 1.5}
+    df = spark.createDataFrame([(i, x, 0, v) for i, v in flat.items() for x in range(4)], "image_id long, x int, y int, v double")
+    seen = lambda unit: {r.image_id: r.v for r in N.percentile_stretch(df, "v", unit_feature=unit).collect()}
+    assert seen(False) == {1: 0, 2: 0, 3: 0}
+    assert seen(True) == {1: 0.5, 2: 0.5, 3: 0}
+    assert seen(F.col("image_id") < 2) == {1: 0.5, 2: 0, 3: 0}
